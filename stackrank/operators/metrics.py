@@ -12,21 +12,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stackrank.operators.positions import exclusive_running_sums
+from stackrank.operators.positions import exclusive_running_sums, needs_split
 
 SCORE_DIGITS = 9   # scores are rounded before equal scores are grouped
 AUC_DIGITS = 12
 
 
 def exact_auc(scored: DataFrame, group_cols, score_col: str = "score", label_col: str = "y",
-              buckets: int = 64) -> DataFrame:
-    """(group..., n_pos BIGINT, n_neg BIGINT, auc DOUBLE)."""
+              buckets: int = 64, split: bool | None = None) -> DataFrame:
+    """(group..., n_pos BIGINT, n_neg BIGINT, auc DOUBLE).
+
+    ``split`` forces the skew-safe path on or off; by default it is decided from
+    the largest group of ``scored`` (rows bound the distinct scores from above).
+    """
     group_cols = list(group_cols)
+    if split is None:
+        split = needs_split(scored, group_cols)
     s = scored.select(*group_cols, F.round(F.col(score_col).cast("double"), SCORE_DIGITS).alias("_s"),
                       F.col(label_col).cast("bigint").alias("_y"))
     collapsed = s.groupBy(*group_cols, "_s").agg(
         F.sum("_y").alias("p"), (F.count(F.lit(1)) - F.sum("_y")).alias("n"))
-    ranked = exclusive_running_sums(collapsed, group_cols, "_s", ["n"], buckets=buckets)
+    ranked = exclusive_running_sums(collapsed, group_cols, "_s", ["n"], buckets=buckets,
+                                    split=split)
     agg = ranked.groupBy(*group_cols).agg(
         F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg"),
         F.sum(F.col("p") * (F.col("n_below") + F.col("n") * 0.5)).alias("_u"))

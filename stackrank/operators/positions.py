@@ -2,8 +2,10 @@
 
 A plain ``row_number() OVER (PARTITION BY g ORDER BY ...)`` sends a whole group
 to one task; a target, a stratum or a score source can hold a third of all rows.
-Both helpers here give the *same* numbers as the single window but split every
-group into value-defined sub-buckets that are monotone in the sort order:
+Both helpers here give the *same* numbers as the single window. When the largest
+group is above ``stackrank.window.maxGroupRows`` (checked at runtime with one
+small aggregate, like AQE checks a join side before broadcasting) they split
+every group into value-defined sub-buckets that are monotone in the sort order:
 
 1. sub-bucket each row (hash prefix, or the per-group quantile bucket of a score);
 2. count / sum per (group, bucket) — a small table — and take an exclusive
@@ -11,7 +13,8 @@ group into value-defined sub-buckets that are monotone in the sort order:
 3. number rows (or running-sum) inside (group, bucket) only, then add the offset.
 
 Buckets depend on values, not on partitioning, so recomputed tasks after an
-executor loss produce identical results.
+executor loss produce identical results. Below the limit the single window is
+used: one shuffle instead of five.
 """
 
 from __future__ import annotations
@@ -22,17 +25,39 @@ from pyspark.sql import functions as F
 from stackrank.functions.hashing import h
 
 HASH_BITS = 32
+MAX_GROUP_ROWS_CONF = "stackrank.window.maxGroupRows"
+DEFAULT_MAX_GROUP_ROWS = 4_000_000
+
+
+def max_group_rows(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get(MAX_GROUP_ROWS_CONF, str(DEFAULT_MAX_GROUP_ROWS)))
+
+
+def needs_split(df: DataFrame, group_cols) -> bool:
+    """True when some group exceeds the configured row limit (0 = always split)."""
+    limit = max_group_rows(df)
+    if limit <= 0:
+        return True
+    top = (df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_c"))
+             .agg(F.max("_c")).first()[0])
+    return (top or 0) > limit
 
 
 def hash_positions(df: DataFrame, group_cols, salt: str, id_col: str = "customer_id",
-                   out: str = "pos", bucket_bits: int = 12, hash_col: str = "_h") -> DataFrame:
+                   out: str = "pos", bucket_bits: int = 12, hash_col: str = "_h",
+                   split: bool | None = None) -> DataFrame:
     """Add ``out`` = 0-based position inside ``group_cols`` ordered by (h(salt,id), id).
 
     Also keeps the hash in ``hash_col`` (callers reuse it as a sort key).
     """
     group_cols = list(group_cols)
-    d = (df.withColumn(hash_col, h(salt, id_col))
-           .withColumn("_b", F.shiftright(F.col(hash_col), HASH_BITS - bucket_bits)))
+    d = df.withColumn(hash_col, h(salt, id_col))
+    if split is None:
+        split = needs_split(df, group_cols)
+    if not split:
+        w = Window.partitionBy(*group_cols).orderBy(hash_col, id_col)
+        return d.withColumn(out, (F.row_number().over(w) - 1).cast("bigint"))
+    d = d.withColumn("_b", F.shiftright(F.col(hash_col), HASH_BITS - bucket_bits))
     counts = d.groupBy(*group_cols, "_b").agg(F.count(F.lit(1)).alias("_n"))
     w_off = Window.partitionBy(*group_cols).orderBy("_b").rowsBetween(
         Window.unboundedPreceding, -1)
@@ -45,15 +70,26 @@ def hash_positions(df: DataFrame, group_cols, salt: str, id_col: str = "customer
 
 
 def exclusive_running_sums(df: DataFrame, group_cols, order_col: str, sum_cols,
-                           buckets: int = 64, suffix: str = "_below") -> DataFrame:
+                           buckets: int = 64, suffix: str = "_below",
+                           split: bool | None = None) -> DataFrame:
     """For rows unique per (group, order_col): add ``<c>_below`` = sum of ``c`` over
     rows of the same group with a strictly smaller ``order_col``.
 
-    Buckets are per-group approximate quantiles of ``order_col`` (a small aggregate
-    with map-side partials); the bucket index counts bounds strictly below the
-    value, so it is monotone in the order and equal values share a bucket.
+    Split path: buckets are per-group approximate quantiles of ``order_col`` (a
+    small aggregate with map-side partials); the bucket index counts bounds
+    strictly below the value, so it is monotone in the order and equal values
+    share a bucket.
     """
     group_cols, sum_cols = list(group_cols), list(sum_cols)
+    if split is None:
+        split = needs_split(df, group_cols)
+    if not split:
+        w = Window.partitionBy(*group_cols).orderBy(order_col).rowsBetween(
+            Window.unboundedPreceding, -1)
+        out = df
+        for c in sum_cols:
+            out = out.withColumn(c + suffix, F.coalesce(F.sum(c).over(w), F.lit(0)))
+        return out
     qs = [i / buckets for i in range(1, buckets)]
     bounds = df.groupBy(*group_cols).agg(
         F.percentile_approx(order_col, qs, 10000).alias("_q"))

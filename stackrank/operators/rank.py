@@ -11,19 +11,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stackrank.operators.positions import exclusive_running_sums, hash_positions
+from stackrank.functions.hashing import h
+from stackrank.operators.positions import exclusive_running_sums, hash_positions, needs_split
 
 TIE_SALT = "tie"
 
 
 def rank_normalize(df: DataFrame, group_cols, score_col: str = "score",
-                   id_col: str = "customer_id", out: str = "rank_score") -> DataFrame:
+                   id_col: str = "customer_id", out: str = "rank_score",
+                   split: bool | None = None) -> DataFrame:
     """Add ``out`` = position / (n - 1) under the order (score, h(id), id); 0 if n = 1."""
     group_cols = list(group_cols)
+    if split is None:
+        split = needs_split(df, group_cols)
+    if not split:
+        w = Window.partitionBy(*group_cols)
+        wo = w.orderBy(score_col, h(TIE_SALT, id_col), id_col)
+        n = F.count(F.lit(1)).over(w)
+        return df.withColumn(out, F.when(n > 1, (F.row_number().over(wo) - 1) / (n - 1))
+                             .otherwise(F.lit(0.0)))
     collapsed = df.groupBy(*group_cols, score_col).agg(F.count(F.lit(1)).alias("c"))
-    below = exclusive_running_sums(collapsed, group_cols, score_col, ["c"])
+    below = exclusive_running_sums(collapsed, group_cols, score_col, ["c"], split=True)
     n = collapsed.groupBy(*group_cols).agg(F.sum("c").alias("_n"))
-    tie = hash_positions(df, [*group_cols, score_col], TIE_SALT, id_col, out="_tp")
+    tie = hash_positions(df, [*group_cols, score_col], TIE_SALT, id_col, out="_tp", split=True)
     out_df = (tie.join(below.select(*group_cols, score_col, "c_below"), [*group_cols, score_col])
                  .join(n, group_cols))
     pos = F.col("c_below") + F.col("_tp")
@@ -33,11 +43,18 @@ def rank_normalize(df: DataFrame, group_cols, score_col: str = "score",
 
 
 def rank_average(df: DataFrame, group_cols, score_col: str = "score",
-                 out: str = "rank_avg") -> DataFrame:
+                 out: str = "rank_avg", split: bool | None = None) -> DataFrame:
     """Add ``out`` = average 1-based rank of the score / n (ties share the mean)."""
     group_cols = list(group_cols)
+    if split is None:
+        split = needs_split(df, group_cols)
+    if not split:
+        w = Window.partitionBy(*group_cols)
+        ties = F.count(F.lit(1)).over(Window.partitionBy(*group_cols, score_col))
+        return df.withColumn(out, (F.rank().over(w.orderBy(score_col)) + (ties - 1) / 2.0)
+                             / F.count(F.lit(1)).over(w))
     collapsed = df.groupBy(*group_cols, score_col).agg(F.count(F.lit(1)).alias("c"))
-    below = exclusive_running_sums(collapsed, group_cols, score_col, ["c"])
+    below = exclusive_running_sums(collapsed, group_cols, score_col, ["c"], split=True)
     n = collapsed.groupBy(*group_cols).agg(F.sum("c").alias("_n"))
     ranked = below.join(n, group_cols).select(
         *group_cols, score_col,

@@ -219,7 +219,7 @@ def _blend_apply_sql() -> str:
         ("twide", f"SELECT target, customer_id, {piv} FROM trank GROUP BY target, customer_id"),
     ]
     final = f"""SELECT t.customer_id, t.target,
-  round(CASE WHEN b.grid_id IS NULL THEN {raw} ELSE {blend} END, 9) AS score
+  CASE WHEN b.grid_id IS NULL THEN {raw} ELSE round({blend}, 9) END AS score
 FROM twide t JOIN best b USING (target)"""
     return with_ctes(final, "preds", "labels", extra=extra)
 
