@@ -45,13 +45,14 @@ def needs_split(df: DataFrame, group_cols) -> bool:
 
 def hash_positions(df: DataFrame, group_cols, salt: str, id_col: str = "customer_id",
                    out: str = "pos", bucket_bits: int = 12, hash_col: str = "_h",
-                   split: bool | None = None) -> DataFrame:
-    """Add ``out`` = 0-based position inside ``group_cols`` ordered by (h(salt,id), id).
+                   split: bool | None = None, hash_extra=()) -> DataFrame:
+    """Add ``out`` = 0-based position inside ``group_cols`` ordered by
+    (h(salt, *hash_extra, id), id).
 
     Also keeps the hash in ``hash_col`` (callers reuse it as a sort key).
     """
     group_cols = list(group_cols)
-    d = df.withColumn(hash_col, h(salt, id_col))
+    d = df.withColumn(hash_col, h(salt, *hash_extra, id_col))
     if split is None:
         split = needs_split(df, group_cols)
     if not split:
