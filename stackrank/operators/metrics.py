@@ -19,16 +19,23 @@ AUC_DIGITS = 12
 
 
 def exact_auc(scored: DataFrame, group_cols, score_col: str = "score", label_col: str = "y",
-              buckets: int = 64, split: bool | None = None) -> DataFrame:
+              buckets: int = 64, split: bool | None = None,
+              score_digits: int | None = SCORE_DIGITS) -> DataFrame:
     """(group..., n_pos BIGINT, n_neg BIGINT, auc DOUBLE).
 
     ``split`` forces the skew-safe path on or off; by default it is decided from
     the largest group of ``scored`` (rows bound the distinct scores from above).
+    ``score_digits`` rounds scores before equal scores are grouped (so summation
+    noise cannot split a tie); ``None`` keeps scores computed by a fixed
+    expression exactly as they are.
     """
     group_cols = list(group_cols)
     if split is None:
         split = needs_split(scored, group_cols)
-    s = scored.select(*group_cols, F.round(F.col(score_col).cast("double"), SCORE_DIGITS).alias("_s"),
+    sc = F.col(score_col).cast("double")
+    if score_digits is not None:
+        sc = F.round(sc, score_digits)
+    s = scored.select(*group_cols, sc.alias("_s"),
                       F.col(label_col).cast("bigint").alias("_y"))
     collapsed = s.groupBy(*group_cols, "_s").agg(
         F.sum("_y").alias("p"), (F.count(F.lit(1)) - F.sum("_y")).alias("n"))

@@ -161,16 +161,18 @@ block("oof_scored", ("preds", "labels"), """SELECT p.source, p.target, p.custome
 FROM preds p JOIN labels l USING (target, customer_id) WHERE p.split = 'oof'""")
 
 
-def auc_sql(scored: str, group: str, score: str = "score", label: str = "y") -> str:
+def auc_sql(scored: str, group: str, score: str = "score", label: str = "y",
+            digits: int | None = 9) -> str:
     """Exact AUC per group over a relation ``scored`` (group cols comma-separated)."""
     g = group
+    rs = f"round({score}::DOUBLE, {digits})" if digits is not None else f"{score}::DOUBLE"
     return f"""(SELECT {g}, sum(p)::BIGINT AS n_pos, sum(n)::BIGINT AS n_neg,
   round(sum(p * (below + n * 0.5::DOUBLE)) / nullif((sum(p) * sum(n))::DOUBLE, 0), 12) AS auc
 FROM (SELECT {g}, p, n, coalesce(sum(n) OVER (PARTITION BY {g} ORDER BY s
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below
-      FROM (SELECT {g}, round({score}::DOUBLE, 9) AS s, sum({label})::BIGINT AS p,
+      FROM (SELECT {g}, {rs} AS s, sum({label})::BIGINT AS p,
               (count(*) - sum({label}))::BIGINT AS n
-            FROM {scored} GROUP BY {g}, round({score}::DOUBLE, 9)))
+            FROM {scored} GROUP BY {g}, {rs}))
 GROUP BY {g})"""
 
 

@@ -81,3 +81,11 @@ class Context:
 
 def context(spark: SparkSession, sf_dir: str) -> Context:
     return Context(spark, sf_dir)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a sub-result that later plans reference several times
+    (a per-target table, a pool, a sample): reliable checkpoint into the shared
+    checkpoint folder, so it is computed once and survives executor loss."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
