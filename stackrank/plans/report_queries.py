@@ -1,3 +1,349 @@
-"""Queries (filled in below)."""
+"""Report queries: correlation, groups, leaderboard, promotion, run log, filters,
+class weights, fold averages, stacking meta-features, univariate shift."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from stackrank.operators import blend as B
+from stackrank.operators import metrics as M
+from stackrank.operators import report as RP
+from stackrank.operators.encode import ALPHA, smoothed_stats
+from stackrank.plans.catalog import query
+from stackrank.plans.core_queries import BLEND_SOURCES, _blend_ctes
+from stackrank.plans.sqlblocks import auc_sql, block, with_ctes
+from stackrank.sources import mart as MT
+from stackrank.sources import predictions as P
+from stackrank.sources import reports as RS
+from stackrank.sources.context import context, cut
+
+# Parameters of the report queries.
+NEIGHBORS_K, TOP_PAIRS = 6, 80
+RARE_K, HARD_K, RARE_CAP = 2, 2, 0.01
+RARE_RATE = 0.05
+BASELINE = "s_te_seg"
+INCLUDE, EXCLUDE, INCLUDE_GROUPS = ("target_2_1",), ("target_9_9",), ("rare",)
+STACK_SOURCES = ("s_te_seg", "s_te_nation", "s_bal")
+STACK_NEIGHBORS, MIN_OWN = 2, 2
+FEATURE_KEEP_TOP = 10
+
+# -- correlation ---------------------------------------------------------------------------
+block("phi", ("labels",), """SELECT a.target AS "left", b.target AS "right",
+  round(abs((coalesce(p.n11, 0)::DOUBLE * nn.n - a.n1 * b.n1) / nullif(sqrt(a.n1 * (nn.n - a.n1) * b.n1
+    * (nn.n - b.n1)), 0)), 9) AS corr_abs
+FROM (SELECT target, sum(y)::DOUBLE AS n1 FROM labels GROUP BY target) a
+JOIN (SELECT target, sum(y)::DOUBLE AS n1 FROM labels GROUP BY target) b ON a.target < b.target
+CROSS JOIN (SELECT count(DISTINCT customer_id)::DOUBLE AS n FROM labels) nn
+LEFT JOIN (SELECT x.target AS l, y.target AS r, count(*) AS n11 FROM labels x JOIN labels y
+           USING (customer_id) WHERE x.y = 1 AND y.y = 1 AND x.target < y.target GROUP BY ALL) p
+  ON p.l = a.target AND p.r = b.target""")
+
+
+def _phi(ctx):
+    return cut(RP.phi_pairs(ctx.labels))
+
+
+@query("target_corr", with_ctes('SELECT "left", "right", corr_abs FROM phi', "phi"))
+def q_target_corr(spark, sf_dir):
+    """H6 + O5: absolute phi (Pearson on 0/1 labels) for every target pair."""
+    return _phi(context(spark, sf_dir))
+
+
+@query("target_neighbors", with_ctes(f"""SELECT * FROM (
+  SELECT target, neighbor, corr_abs, row_number() OVER (PARTITION BY target ORDER BY corr_abs DESC NULLS LAST,
+    neighbor)::INTEGER AS rank FROM (SELECT "left" AS target, "right" AS neighbor, corr_abs FROM phi
+    UNION ALL SELECT "right", "left", corr_abs FROM phi)) WHERE rank <= {NEIGHBORS_K}""", "phi"))
+def q_target_neighbors(spark, sf_dir):
+    return RP.neighbors(_phi(context(spark, sf_dir)), NEIGHBORS_K)
+
+
+@query("target_top_pairs", with_ctes(f"""SELECT * FROM (SELECT "left", "right", corr_abs,
+  row_number() OVER (ORDER BY corr_abs DESC NULLS LAST, "left", "right")::INTEGER AS rank FROM phi)
+  WHERE rank <= {TOP_PAIRS}""", "phi"))
+def q_target_top_pairs(spark, sf_dir):
+    return RP.top_pairs(_phi(context(spark, sf_dir)), TOP_PAIRS)
+
+
+# -- target groups (O4) through a JSON score report (A6, A11) --------------------------------
+def _groups_ctes() -> list[tuple[str, str]]:
+    return _blend_ctes() + [
+        ("rates", "SELECT target, avg(coalesce(y, 0)::DOUBLE) AS rate FROM labels GROUP BY target"),
+        ("rare", f"""SELECT target FROM rates
+WHERE NOT (SELECT count(*) > 0 FROM rates WHERE rate <= {RARE_CAP}) OR rate <= {RARE_CAP}
+QUALIFY row_number() OVER (ORDER BY rate, target) <= {RARE_K}"""),
+        ("hard", f"""SELECT target FROM best WHERE auc IS NOT NULL
+QUALIFY row_number() OVER (ORDER BY auc, target) <= {HARD_K}"""),
+        ("groups", """SELECT 'rare' AS grp, target FROM rare
+UNION ALL SELECT 'hard', target FROM hard
+UNION ALL SELECT 'common', target FROM rates
+  WHERE target NOT IN (SELECT target FROM rare UNION ALL SELECT target FROM hard)"""),
+    ]
+
+
+def _groups(ctx):
+    spark = ctx.spark
+    best = B.blend_search(spark, ctx.preds, ctx.labels, BLEND_SOURCES)
+    path = RS.scratch_path(spark, "blend-scores")
+    RS.write_score_report(best.select(F.lit("blend").alias("model"), "target", "auc"), path)
+    scores = RS.read_target_scores(spark, path).select("target", "auc")
+    rates = M.target_rates(ctx.labels)
+    return cut(RP.target_groups(rates, scores, RARE_K, HARD_K, RARE_CAP))
+
+
+@query("target_groups", with_ctes("SELECT grp, target FROM groups", "preds", "labels",
+                                  extra=_groups_ctes()))
+def q_target_groups(spark, sf_dir):
+    """O4 + J3: rare / hard / common groups; hard uses the per-target blend AUC read
+    back from a JSON score report."""
+    return _groups(context(spark, sf_dir))
+
+
+@query("target_filter", with_ctes(f"""SELECT target, (row_number() OVER (ORDER BY target) - 1)::INTEGER
+  AS position FROM (SELECT DISTINCT target FROM labels) t WHERE target IN (
+    SELECT target FROM groups WHERE grp IN ({', '.join(f"'{x}'" for x in INCLUDE_GROUPS)})
+    UNION ALL SELECT * FROM (VALUES {', '.join(f"('{x}')" for x in INCLUDE)}) v(target))
+  AND target NOT IN ({', '.join(f"'{x}'" for x in EXCLUDE)})""", "preds", "labels",
+    extra=_groups_ctes()))
+def q_target_filter(spark, sf_dir):
+    """Keep a target when (no include list or listed / in an included group)
+    and not excluded; an unknown group is an error. Column order is kept."""
+    ctx = context(spark, sf_dir)
+    groups = _groups(ctx)
+    known = {r.grp for r in groups.select("grp").distinct().collect()}   # <= 3 names
+    for g in INCLUDE_GROUPS:
+        if g not in known:
+            raise KeyError(f"unknown target group {g}")
+    inc = groups.filter(F.col("grp").isin(list(INCLUDE_GROUPS))).select("target").unionByName(
+        spark.createDataFrame([(t,) for t in INCLUDE], "target STRING"))
+    targets = ctx.labels.select("target").distinct()
+    kept = (targets.join(inc, "target", "left_semi")
+                   .filter(~F.col("target").isin(list(EXCLUDE))))
+    from pyspark.sql import Window
+    return kept.select("target", (F.row_number().over(Window.orderBy("target")) - 1)
+                       .cast("int").alias("position"))
+
+
+@query("feature_filter", with_ctes(
+    f"SELECT d.pos, d.feature FROM (SELECT DISTINCT pos FROM extra_long) e JOIN dict d USING (pos) "
+    f"WHERE d.feature IN (SELECT feature FROM var_rank WHERE rank <= {FEATURE_KEEP_TOP}) "
+    f"AND d.feature NOT IN ('extra_discount_avg', 'extra_rf_n')", "extra_long", "dict", "var_rank"))
+def q_feature_filter(spark, sf_dir):
+    """Keep-list (top variance features) then drop-list on the discovered features."""
+    from stackrank.operators import profile as PR
+    from stackrank.plans.feature_queries import DROP_LIST
+    ctx = context(spark, sf_dir)
+    dic = MT.feature_dictionary(spark)
+    present = ctx.extra_long.select("pos").distinct().join(dic, "pos")
+    keep = PR.take_slice(PR.variance_ranking(ctx.extra_long, dic), top_k=FEATURE_KEEP_TOP)
+    drop = spark.createDataFrame([(f,) for f in DROP_LIST], "feature STRING")
+    return (present.join(keep.select("feature"), "feature", "left_semi")
+                   .join(drop, "feature", "left_anti").select("pos", "feature"))
+
+
+@query("class_weights", with_ctes("""SELECT target, n_pos::BIGINT AS n_pos, n_neg::BIGINT AS n_neg,
+  round(CASE WHEN n_pos > 0 THEN n_neg / greatest(n_pos, 1) ELSE 1.0 END, 9) AS scale_pos_weight,
+  round((n_pos + n_neg)::DOUBLE / nullif((2 * n_pos)::DOUBLE, 0), 9) AS w_pos_balanced,
+  round((n_pos + n_neg)::DOUBLE / nullif((2 * n_neg)::DOUBLE, 0), 9) AS w_neg_balanced,
+  round(least(greatest(n_neg / greatest(n_pos, 1), 1.0), 50.0), 9) AS pos_weight_clipped
+FROM (SELECT target, sum(y) AS n_pos, count(*) - sum(y) AS n_neg FROM labels GROUP BY target)""",
+    "labels"))
+def q_class_weights(spark, sf_dir):
+    return RP.class_weights(context(spark, sf_dir).labels)
+
+
+# -- leaderboard / gains / promotion / run log ---------------------------------------------------
+def _run_scores(ctx):
+    """(run, metric, value) and per-(run, target) AUCs, runs = manifest sources."""
+    scored = ctx.oof_scored()
+    aucs = cut(M.exact_auc(scored, ["target", "source"]))
+    fold = M.exact_auc(scored.join(ctx.folds, "customer_id"), ["target", "source", "fold"])
+    rates = M.target_rates(ctx.labels).select("target", "rate")
+    oof = M.macro_auc(aucs, ["source"]).select(F.col("source").alias("run"),
+                                               F.lit("oof").alias("metric"),
+                                               F.col("macro_auc").alias("value"))
+    fm = (M.macro_auc(fold, ["source", "fold"]).groupBy("source")
+          .agg(F.round(F.avg("macro_auc"), 12).alias("value"))
+          .select(F.col("source").alias("run"), F.lit("fold_mean").alias("metric"), "value"))
+    ar = aucs.join(rates, "target")
+    rare = M.macro_auc(ar.filter(F.col("rate") < RARE_RATE), ["source"]).select(
+        F.col("source").alias("run"), F.lit("rare").alias("metric"), F.col("macro_auc").alias("value"))
+    common = M.macro_auc(ar.filter(F.col("rate") >= RARE_RATE), ["source"]).select(
+        F.col("source").alias("run"), F.lit("common").alias("metric"), F.col("macro_auc").alias("value"))
+    return oof.unionByName(fm).unionByName(rare).unionByName(common), aucs
+
+
+block("fold_auc", ("oof_scored", "folds"), "SELECT * FROM " + auc_sql(
+    "(SELECT o.*, f.fold FROM oof_scored o JOIN folds f USING (customer_id))", "target, source, fold"))
+block("rates", ("labels",), "SELECT target, avg(coalesce(y, 0)::DOUBLE) AS rate FROM labels GROUP BY target")
+block("board", ("src_auc", "fold_auc", "rates"), f"""SELECT run,
+  round(oof, 12) AS oof, round(fold_mean, 12) AS fold_mean, round(rare, 12) AS rare,
+  round(common, 12) AS common,
+  round(oof - first_value(oof) OVER (ORDER BY (run = '{BASELINE}') DESC), 12) AS d_oof,
+  round(fold_mean - first_value(fold_mean) OVER (ORDER BY (run = '{BASELINE}') DESC), 12) AS d_fold_mean
+FROM (SELECT a.source AS run, round(avg(a.auc), 12) AS oof,
+        round(avg(a.auc) FILTER (WHERE r.rate < {RARE_RATE}), 12) AS rare,
+        round(avg(a.auc) FILTER (WHERE r.rate >= {RARE_RATE}), 12) AS common,
+        (SELECT round(avg(m), 12) FROM (SELECT round(avg(f.auc), 12) AS m FROM fold_auc f
+           WHERE f.source = a.source GROUP BY f.fold)) AS fold_mean
+      FROM src_auc a JOIN rates r USING (target) GROUP BY a.source)""")
+block("gains", ("src_auc",), f"""SELECT a.source AS run, a.target, round(a.auc - b.auc, 12) AS delta,
+  (round(a.auc - b.auc, 12) > 0)::INTEGER AS is_gain
+FROM src_auc a JOIN src_auc b ON b.target = a.target AND b.source = '{BASELINE}'
+WHERE a.auc IS NOT NULL AND b.auc IS NOT NULL""")
+
+
+@query("leaderboard", with_ctes("SELECT * FROM board", "board"))
+def q_leaderboard(spark, sf_dir):
+    """O1 + B7: four scores per run (source) and deltas to the baseline run."""
+    scores, _ = _run_scores(context(spark, sf_dir))
+    return RP.leaderboard(scores, BASELINE)
+
+
+@query("target_gains", with_ctes("SELECT * FROM gains", "gains"))
+def q_target_gains(spark, sf_dir):
+    _, aucs = _run_scores(context(spark, sf_dir))
+    return RP.target_gains(aucs.withColumnRenamed("source", "run"), BASELINE)
+
+
+@query("promotion", with_ctes(f"""SELECT b.run, b.d_oof AS delta, coalesce(g.n, 0)::BIGINT AS n_gains,
+  CASE WHEN b.d_oof >= {RP.STRONG_DELTA} THEN 'strong'
+       WHEN b.d_oof >= {RP.CONDITIONAL_DELTA} AND coalesce(g.n, 0) >= {RP.MIN_GAINS} THEN 'conditional'
+       ELSE 'reject' END AS decision
+FROM board b LEFT JOIN (SELECT run, sum(is_gain) AS n FROM gains GROUP BY run) g USING (run)
+WHERE b.run <> '{BASELINE}'""", "board", "gains"))
+def q_promotion(spark, sf_dir):
+    scores, aucs = _run_scores(context(spark, sf_dir))
+    board = RP.leaderboard(scores, BASELINE)
+    gains = RP.target_gains(aucs.withColumnRenamed("source", "run"), BASELINE)
+    return RP.promotion(board, gains, BASELINE)
+
+
+@query("run_log_latest", with_ctes(f"""SELECT run, seq, event, macro_auc, n_targets FROM (
+  SELECT m.source AS run, (m.position * 10 + 1)::BIGINT AS seq, 'scored' AS event, b.oof AS macro_auc,
+    (SELECT count(auc) FROM src_auc s WHERE s.source = m.source)::BIGINT AS n_targets
+  FROM manifest m JOIN board b ON b.run = m.source
+  UNION ALL
+  SELECT m.source, (m.position * 10 + 2)::BIGINT, 'rescored', b.fold_mean,
+    (SELECT count(auc) FROM src_auc s WHERE s.source = m.source)::BIGINT
+  FROM manifest m JOIN board b ON b.run = m.source WHERE m.position % 2 = 0)
+QUALIFY row_number() OVER (PARTITION BY run ORDER BY seq DESC) = 1""", "manifest", "board", "src_auc"))
+def q_run_log_latest(spark, sf_dir):
+    """A10: events appended to a JSON-lines run log in two writes, read back with a
+    schema; the latest event per run by ``max_by``."""
+    ctx = context(spark, sf_dir)
+    scores, aucs = _run_scores(ctx)
+    board = RP.leaderboard(scores, BASELINE)
+    n = aucs.groupBy("source").agg(F.count("auc").alias("n_targets"))
+    base = (P.manifest_frame(spark).join(board, F.col("source") == F.col("run"))
+            .join(n, "source"))
+    first = base.select((F.col("position") * 10 + 1).cast("bigint").alias("seq"),
+                        F.lit("scored").alias("event"), "run", F.col("oof").alias("macro_auc"),
+                        F.col("n_targets").cast("bigint").alias("n_targets"))
+    second = base.filter(F.col("position") % 2 == 0).select(
+        (F.col("position") * 10 + 2).cast("bigint").alias("seq"), F.lit("rescored").alias("event"),
+        "run", F.col("fold_mean").alias("macro_auc"), F.col("n_targets").cast("bigint").alias("n_targets"))
+    path = RS.scratch_path(spark, "run-log")
+    RS.append_run_log(first, path)
+    RS.append_run_log(second, path)
+    return RS.latest_per_run(RS.read_run_log(spark, path)).select(
+        "run", "seq", "event", "macro_auc", "n_targets")
+
+
+# -- C6 / I8 / K12 / K10 ---------------------------------------------------------------------------
+@query("sigmoid_score", with_ctes("""SELECT customer_id,
+  round(1.0 / (1.0 + exp(-((num_feature_acctbal - s.mu) / s.sd))), 9) AS score
+FROM mart CROSS JOIN (SELECT avg(num_feature_acctbal) AS mu, stddev_pop(num_feature_acctbal) AS sd
+  FROM mart) s""", "mart"))
+def q_sigmoid_score(spark, sf_dir):
+    """Sigmoid of a linear score (the standardised account balance)."""
+    from stackrank.functions.exprs import sigmoid
+    mart = context(spark, sf_dir).mart
+    st = mart.agg(F.avg("num_feature_acctbal").alias("mu"),
+                  F.stddev_pop("num_feature_acctbal").alias("sd"))
+    z = (F.col("num_feature_acctbal") - F.col("mu")) / F.col("sd")
+    return mart.crossJoin(F.broadcast(st)).select("customer_id", F.round(sigmoid(z), 9).alias("score"))
+
+
+@query("fold_average", with_ctes(f"""SELECT v.customer_id, g.target,
+  round(avg(coalesce(((s.ty - s.sy) + g.gm * {ALPHA}::DOUBLE) / ((s.tn - s.n) + {ALPHA}::DOUBLE), g.gm)), 9)
+    AS score
+FROM s_te_seg_vals v CROSS JOIN s_te_seg_gm g CROSS JOIN (SELECT DISTINCT fold FROM folds) k
+LEFT JOIN s_te_seg_stats s ON s.target = g.target AND s.value = v.value AND s.fold = k.fold
+WHERE v.is_test = 1 GROUP BY v.customer_id, g.target""", "s_te_seg_vals", "s_te_seg_gm",
+    "s_te_seg_stats", "folds"))
+def q_fold_average(spark, sf_dir):
+    """I8: test prediction = mean over folds of the fold models' predictions; each
+    fold's model is the segment encoding fitted without that fold."""
+    ctx = context(spark, sf_dir)
+    vals = ctx.mart.select("customer_id", "is_test",
+                           F.col("cat_feature_segment").cast("string").alias("value"))
+    train = (ctx.labels.join(ctx.folds, "customer_id")
+             .join(vals.filter("is_test = 0").drop("is_test"), "customer_id"))
+    stats, gm = smoothed_stats(train, ["target"])
+    fold_map = stats.join(gm, "target").select(
+        "target", "value", "fold",
+        (((F.col("ty") - F.col("sy")) + F.col("gm") * ALPHA) / ((F.col("tn") - F.col("n")) + ALPHA))
+        .alias("enc"))
+    folds = ctx.folds.select("fold").distinct()
+    test = (vals.filter("is_test = 1").drop("is_test")
+            .crossJoin(F.broadcast(gm)).crossJoin(F.broadcast(folds)))   # targets x k: bounded
+    return (test.join(fold_map, ["target", "value", "fold"], "left")
+                .groupBy("customer_id", "target")
+                .agg(F.round(F.avg(F.coalesce("enc", "gm")), 9).alias("score")))
+
+
+def _stack_sql() -> str:
+    srcs = ", ".join(f"'{s}'" for s in STACK_SOURCES)
+    return with_ctes(f"""
+SELECT split, customer_id, target, 'own:' || source AS feature, score AS value FROM sp
+UNION ALL
+SELECT s.split, s.customer_id, n.target, 'nb' || n.rank || ':' || s.source, s.score
+FROM sp s JOIN nbr n ON n.neighbor = s.target
+UNION ALL
+SELECT a.split, a.customer_id, a.target, 'prod:' || a.source || '*' || b.source, a.score * b.score
+FROM sp a JOIN sp b ON a.split = b.split AND a.customer_id = b.customer_id AND a.target = b.target
+  AND a.source < b.source""", "preds", "phi", extra=[
+        ("sp", f"SELECT * FROM preds WHERE source IN ({srcs})"),
+        ("nbr", f"""SELECT * FROM (SELECT target, neighbor, row_number() OVER (PARTITION BY target
+  ORDER BY corr_abs DESC NULLS LAST, neighbor) AS rank FROM (SELECT "left" AS target, "right" AS neighbor,
+  corr_abs FROM phi UNION ALL SELECT "right", "left", corr_abs FROM phi)) WHERE rank <= {STACK_NEIGHBORS}""")])
+
+
+@query("stack_features", _stack_sql())
+def q_stack_features(spark, sf_dir):
+    """K12 + B5 + C7: meta-features per (split, customer, target): own source scores,
+    the top neighbour targets' source scores, pairwise products of own scores.
+    Fewer than the minimum number of own sources is an error."""
+    ctx = context(spark, sf_dir)
+    sp = ctx.preds.filter(F.col("source").isin(list(STACK_SOURCES)))
+    own_n = sp.filter("split = 'oof'").groupBy("target").agg(
+        F.countDistinct("source").alias("n")).filter(F.col("n") < MIN_OWN)
+    if not own_n.isEmpty():
+        raise ValueError("fewer own sources than required for the stack")
+    nbr = RP.neighbors(_phi(ctx), STACK_NEIGHBORS).select("target", "neighbor", "rank")
+    own = sp.select("split", "customer_id", "target",
+                    F.concat(F.lit("own:"), "source").alias("feature"), F.col("score").alias("value"))
+    nb = (sp.join(F.broadcast(nbr), F.col("neighbor") == sp.target)   # targets x k: bounded
+            .select("split", "customer_id", nbr.target,
+                    F.concat(F.lit("nb"), F.col("rank").cast("string"), F.lit(":"), "source")
+                    .alias("feature"), F.col("score").alias("value")))
+    a, b = sp.alias("a"), sp.alias("b")
+    prod = (a.join(b, ["split", "customer_id", "target"])
+             .filter(F.col("a.source") < F.col("b.source"))
+             .select("split", "customer_id", "target",
+                     F.concat(F.lit("prod:"), F.col("a.source"), F.lit("*"), F.col("b.source"))
+                     .alias("feature"), (F.col("a.score") * F.col("b.score")).alias("value")))
+    return own.unionByName(nb).unionByName(prod)
+
+
+@query("shift_univariate", with_ctes("SELECT d.feature, a.auc, round(abs(a.auc - 0.5), 12) AS shift "
+                                     "FROM " + auc_sql("(SELECT pos, coalesce(value, 0) AS score, is_test "
+                                                       "AS y FROM extra_long)", "pos")
+                                     + " a JOIN dict d USING (pos)", "extra_long", "dict"))
+def q_shift_univariate(spark, sf_dir):
+    """Per-feature train/test shift — AUC of ``is_test`` scored by the feature."""
+    ctx = context(spark, sf_dir)
+    x = ctx.extra_long.select("pos", F.coalesce("value", F.lit(0.0)).alias("score"),
+                              F.col("is_test").alias("y"))
+    a = M.exact_auc(x, ["pos"]).join(MT.feature_dictionary(spark), "pos")
+    return a.select("feature", "auc", F.round(F.abs(F.col("auc") - 0.5), 12).alias("shift"))
