@@ -16,6 +16,7 @@ from stackrank.operators.positions import exclusive_running_sums, needs_split
 
 SCORE_DIGITS = 9   # scores are rounded before equal scores are grouped
 AUC_DIGITS = 12
+MACRO_DIGITS = 14   # means of AUCs rounded to 12 digits: two more, never on a half
 
 
 def exact_auc(scored: DataFrame, group_cols, score_col: str = "score", label_col: str = "y",
@@ -55,7 +56,7 @@ def macro_auc(aucs: DataFrame, group_cols, auc_col: str = "auc") -> DataFrame:
     """Mean AUC over targets with both classes (null AUCs are skipped)."""
     return aucs.groupBy(*group_cols).agg(
         F.count(auc_col).cast("bigint").alias("n_scored"),
-        F.round(F.avg(auc_col), AUC_DIGITS).alias("macro_auc"))
+        F.round(F.avg(auc_col), MACRO_DIGITS).alias("macro_auc"))
 
 
 def target_rates(labels: DataFrame) -> DataFrame:
@@ -83,4 +84,4 @@ def any_target(labels: DataFrame) -> DataFrame:
 def mean_fold_auc(fold_aucs: DataFrame, group_cols) -> DataFrame:
     """H4: per-fold AUC rows plus the mean over folds of the same group."""
     w = Window.partitionBy(*group_cols)
-    return fold_aucs.withColumn("mean_fold_auc", F.round(F.avg("auc").over(w), AUC_DIGITS))
+    return fold_aucs.withColumn("mean_fold_auc", F.round(F.avg("auc").over(w), MACRO_DIGITS))

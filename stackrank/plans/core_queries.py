@@ -100,7 +100,7 @@ def q_auc_by_source(spark, sf_dir):
 
 
 @query("macro_auc", with_ctes(
-    "SELECT source, count(auc)::BIGINT AS n_scored, round(avg(auc), 12) AS macro_auc "
+    "SELECT source, count(auc)::BIGINT AS n_scored, round(avg(auc), 14) AS macro_auc "
     "FROM src_auc GROUP BY source", "src_auc"))
 def q_macro_auc(spark, sf_dir):
     aucs = M.exact_auc(context(spark, sf_dir).oof_scored(), ["target", "source"])
@@ -109,7 +109,7 @@ def q_macro_auc(spark, sf_dir):
 
 @query("auc_by_fold", with_ctes(
     "SELECT target, source, fold, n_pos, n_neg, auc, "
-    "round(avg(auc) OVER (PARTITION BY target, source), 12) AS mean_fold_auc FROM "
+    "round(avg(auc) OVER (PARTITION BY target, source), 14) AS mean_fold_auc FROM "
     + auc_sql("(SELECT o.*, f.fold FROM oof_scored o JOIN folds f USING (customer_id))",
               "target, source, fold"), "oof_scored", "folds"))
 def q_auc_by_fold(spark, sf_dir):

@@ -162,7 +162,7 @@ def _run_scores(ctx):
                                                F.lit("oof").alias("metric"),
                                                F.col("macro_auc").alias("value"))
     fm = (M.macro_auc(fold, ["source", "fold"]).groupBy("source")
-          .agg(F.round(F.avg("macro_auc"), 12).alias("value"))
+          .agg(F.round(F.avg("macro_auc"), 16).alias("value"))
           .select(F.col("source").alias("run"), F.lit("fold_mean").alias("metric"), "value"))
     ar = aucs.join(rates, "target")
     rare = M.macro_auc(ar.filter(F.col("rate") < RARE_RATE), ["source"]).select(
@@ -176,14 +176,14 @@ block("fold_auc", ("oof_scored", "folds"), "SELECT * FROM " + auc_sql(
     "(SELECT o.*, f.fold FROM oof_scored o JOIN folds f USING (customer_id))", "target, source, fold"))
 block("rates", ("labels",), "SELECT target, avg(coalesce(y, 0)::DOUBLE) AS rate FROM labels GROUP BY target")
 block("board", ("src_auc", "fold_auc", "rates"), f"""SELECT run,
-  round(oof, 12) AS oof, round(fold_mean, 12) AS fold_mean, round(rare, 12) AS rare,
-  round(common, 12) AS common,
-  round(oof - first_value(oof) OVER (ORDER BY (run = '{BASELINE}') DESC), 12) AS d_oof,
-  round(fold_mean - first_value(fold_mean) OVER (ORDER BY (run = '{BASELINE}') DESC), 12) AS d_fold_mean
-FROM (SELECT a.source AS run, round(avg(a.auc), 12) AS oof,
-        round(avg(a.auc) FILTER (WHERE r.rate < {RARE_RATE}), 12) AS rare,
-        round(avg(a.auc) FILTER (WHERE r.rate >= {RARE_RATE}), 12) AS common,
-        (SELECT round(avg(m), 12) FROM (SELECT round(avg(f.auc), 12) AS m FROM fold_auc f
+  round(oof, 14) AS oof, round(fold_mean, 14) AS fold_mean, round(rare, 14) AS rare,
+  round(common, 14) AS common,
+  round(oof - first_value(oof) OVER (ORDER BY (run = '{BASELINE}') DESC), 14) AS d_oof,
+  round(fold_mean - first_value(fold_mean) OVER (ORDER BY (run = '{BASELINE}') DESC), 14) AS d_fold_mean
+FROM (SELECT a.source AS run, round(avg(a.auc), 14) AS oof,
+        round(avg(a.auc) FILTER (WHERE r.rate < {RARE_RATE}), 14) AS rare,
+        round(avg(a.auc) FILTER (WHERE r.rate >= {RARE_RATE}), 14) AS common,
+        (SELECT round(avg(m), 16) FROM (SELECT round(avg(f.auc), 14) AS m FROM fold_auc f
            WHERE f.source = a.source GROUP BY f.fold)) AS fold_mean
       FROM src_auc a JOIN rates r USING (target) GROUP BY a.source)""")
 block("gains", ("src_auc",), f"""SELECT a.source AS run, a.target, round(a.auc - b.auc, 12) AS delta,
