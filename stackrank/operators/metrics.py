@@ -40,7 +40,28 @@ def exact_auc(scored: DataFrame, group_cols, score_col: str = "score", label_col
                       F.col(label_col).cast("bigint").alias("_y"))
     collapsed = s.groupBy(*group_cols, "_s").agg(
         F.sum("_y").alias("p"), (F.count(F.lit(1)) - F.sum("_y")).alias("n"))
-    ranked = exclusive_running_sums(collapsed, group_cols, "_s", ["n"], buckets=buckets,
+    return auc_from_counts(collapsed, group_cols, "_s", buckets, split)
+
+
+def collapse_scores(scored: DataFrame, group_cols, score_col: str = "score", label_col: str = "y",
+                    score_digits: int | None = SCORE_DIGITS) -> DataFrame:
+    """(group..., _s, p, n): positives and negatives per distinct score. Map-side
+    partial aggregation makes this small when scores take few values."""
+    sc = F.col(score_col).cast("double")
+    if score_digits is not None:
+        sc = F.round(sc, score_digits)
+    y = F.col(label_col).cast("bigint")
+    return scored.groupBy(*group_cols, sc.alias("_s")).agg(
+        F.sum(y).alias("p"), (F.count(F.lit(1)) - F.sum(y)).alias("n"))
+
+
+def auc_from_counts(collapsed: DataFrame, group_cols, score_col: str = "_s", buckets: int = 64,
+                    split: bool | None = None) -> DataFrame:
+    """Exact AUC from (group..., score, p, n) rows unique per (group, score)."""
+    group_cols = list(group_cols)
+    if split is None:
+        split = needs_split(collapsed, group_cols)
+    ranked = exclusive_running_sums(collapsed, group_cols, score_col, ["n"], buckets=buckets,
                                     split=split)
     agg = ranked.groupBy(*group_cols).agg(
         F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg"),

@@ -27,6 +27,10 @@ from stackrank.functions.hashing import h
 HASH_BITS = 32
 MAX_GROUP_ROWS_CONF = "stackrank.window.maxGroupRows"
 DEFAULT_MAX_GROUP_ROWS = 4_000_000
+# Upper bound on the rows of any group: every windowed group in the package holds
+# at most one row per entity, so the entity count (recorded when the mart is
+# materialised) bounds them all. Below the limit no size-check job is needed.
+ENTITY_ROWS_CONF = "stackrank.window.entityRows"
 
 
 def max_group_rows(df: DataFrame) -> int:
@@ -38,11 +42,21 @@ def needs_split(df: DataFrame, group_cols) -> bool:
     limit = max_group_rows(df)
     if limit <= 0:
         return True
+    bound = df.sparkSession.conf.get(ENTITY_ROWS_CONF, None)
+    if bound is not None and int(bound) <= limit:
+        return False
     top = (df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_c"))
              .agg(F.max("_c")).first()[0])
     return (top or 0) > limit
 
 
+def record_entity_rows(spark, n: int) -> None:
+    """Raise the session's entity-row bound to at least ``n``."""
+    cur = spark.conf.get(ENTITY_ROWS_CONF, None)
+    if cur is None or int(cur) < n:
+        spark.conf.set(ENTITY_ROWS_CONF, str(int(n)))
+
+
 def hash_positions(df: DataFrame, group_cols, salt: str, id_col: str = "customer_id",
                    out: str = "pos", bucket_bits: int = 12, hash_col: str = "_h",
                    split: bool | None = None, hash_extra=()) -> DataFrame:

@@ -98,8 +98,12 @@ def _evals(ctx):
                    .select("target", "trial", "fold", "y",
                            (((F.col("ty") - F.col("sy")) + F.col("gm") * F.col("alpha"))
                             / ((F.col("tn") - F.col("n")) + F.col("alpha"))).alias("score")))
-    oof = M.exact_auc(scored, ["target", "trial"])
-    fold = M.exact_auc(scored, ["target", "trial", "fold"]).groupBy("target", "trial").agg(
+    # One collapse per (target, trial, fold, score); the OOF counts re-aggregate it.
+    per_fold = cut(M.collapse_scores(scored, ["target", "trial", "fold"]))
+    oof_counts = per_fold.groupBy("target", "trial", "_s").agg(F.sum("p").alias("p"),
+                                                              F.sum("n").alias("n"))
+    oof = M.auc_from_counts(oof_counts, ["target", "trial"])
+    fold = M.auc_from_counts(per_fold, ["target", "trial", "fold"]).groupBy("target", "trial").agg(
         F.round(F.avg("auc"), 12).alias("mean_fold_auc"))
     return trials, cut(oof.join(fold, ["target", "trial"]).select(
         "target", "trial", "auc", "mean_fold_auc"))

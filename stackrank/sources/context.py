@@ -50,8 +50,14 @@ class Context:
 
     @property
     def mart(self) -> DataFrame:
+        from stackrank.operators.positions import record_entity_rows
         from stackrank.sources.mart import build_mart
-        return self._get("mart", lambda: build_mart(self.spark, self.sf_dir))
+        k = (self.spark.sparkContext.applicationId, *self._key, "mart")
+        fresh = k not in _MEMO
+        m = self._get("mart", lambda: build_mart(self.spark, self.sf_dir))
+        if fresh:
+            record_entity_rows(self.spark, m.count())
+        return m
 
     @property
     def labels(self) -> DataFrame:
