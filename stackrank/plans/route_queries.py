@@ -330,3 +330,25 @@ def q_pending_targets(spark, sf_dir):
     work = ctx.labels.select("target").distinct().crossJoin(F.broadcast(P.manifest_frame(spark)))
     done = ctx.preds.select("target", "source").distinct()
     return work.join(done, ["target", "source"], "left_anti").select("target", "source")
+
+
+@query("stream_source_scores", with_ctes(
+    "SELECT target, source, n_pos, n_neg, auc FROM src_auc", "src_auc"))
+def q_stream_source_scores(spark, sf_dir):
+    """A9 + A14 in streaming form: sources are written to the prediction sink in two
+    waves; a file-source stream scores each wave as it lands (availableNow trigger);
+    the score table then holds every (target, source) AUC."""
+    import os
+    from stackrank.sources import reports as RS
+    from stackrank.streaming import read_scores, start_scoring
+    ctx = context(spark, sf_dir)
+    base = RS.scratch_path(spark, "stream")
+    pred_dir, score_dir = os.path.join(base, "preds"), os.path.join(base, "scores")
+    ckpt = os.path.join(base, "checkpoint")
+    first, second = list(P.SOURCE_ORDER[:2]), list(P.SOURCE_ORDER[2:])
+    for wave in (first, second):
+        part = ctx.preds.filter(F.col("source").isin(wave))
+        part.write.mode("append").partitionBy("source").parquet(pred_dir)
+        q = start_scoring(spark, pred_dir, ctx.labels, score_dir, ckpt)
+        q.awaitTermination()
+    return read_scores(spark, score_dir)
