@@ -307,10 +307,12 @@ def q_row_zeros(spark, sf_dir):
 
 
 # -- C2 / C3 / C4 / D3 ---------------------------------------------------------------------------
+# (SQL text, Spark column builder) per coerced column; builders run only inside a session.
 _coerce_cols = {"priority_code": ("substr(cat_feature_priority, 1, 1)",
-                                  F.substring("cat_feature_priority", 1, 1)),
-                "status": ("cat_feature_status", F.col("cat_feature_status")),
-                "nation": ("cat_feature_nation::VARCHAR", F.col("cat_feature_nation").cast("string"))}
+                                  lambda: F.substring("cat_feature_priority", 1, 1)),
+                "status": ("cat_feature_status", lambda: F.col("cat_feature_status")),
+                "nation": ("cat_feature_nation::VARCHAR",
+                           lambda: F.col("cat_feature_nation").cast("string"))}
 
 
 @query("numeric_coerce", with_ctes(" UNION ALL ".join(
@@ -319,7 +321,7 @@ _coerce_cols = {"priority_code": ("substr(cat_feature_priority, 1, 1)",
     "mart"))
 def q_numeric_coerce(spark, sf_dir):
     mart = context(spark, sf_dir).mart
-    parts = [mart.select("customer_id", F.lit(k).alias("feature"), c.alias("value_text"))
+    parts = [mart.select("customer_id", F.lit(k).alias("feature"), c().alias("value_text"))
              for k, (_, c) in _coerce_cols.items()]
     out = parts[0]
     for p in parts[1:]:
