@@ -523,3 +523,84 @@ def q_shuffle_column(spark, sf_dir):
     shuffled = SA.shuffle_within(t, ["pos", "fold"], "value")
     return shuffled.join(t, ["customer_id", "pos", "fold"]).select(
         "customer_id", "pos", "fold", "value", "shuffled")
+
+
+# -- E10 + J4: audit candidate sets ------------------------------------------------------------
+# Candidate-set parameters.
+ROW_STAT_COLS = ("row_extra_mean", "row_extra_min", "row_extra_max", "row_extra_sum",
+                 "row_extra_null_count", "row_extra_zero_count", "row_extra_null_share",
+                 "row_extra_zero_share")
+AUDIT_MODES = ("selected_extra", "selected_extra_plus_row_stats", "feature_cols", "extra_and_num")
+FORCE_PREFIXES = ("cat_feature_seg",)
+EXCLUDE_PREFIXES = ("extra_tax",)
+CANDIDATE_CAP = 12
+
+
+def _starts_any(col, prefixes):
+    cond = F.lit(False)
+    for p in prefixes:
+        cond = cond | F.col(col).startswith(p)
+    return cond
+
+
+@query("audit_candidates", with_ctes(
+    f"""SELECT mode, feature, (row_number() OVER (PARTITION BY mode ORDER BY k) - 1)::INTEGER AS position
+FROM (SELECT mode, feature, min(k) AS k FROM (
+        SELECT m.mode, b.feature, b.k FROM modes m JOIN base b ON
+          (m.mode = 'selected_extra' AND b.kind = 'sel')
+          OR (m.mode = 'selected_extra_plus_row_stats' AND b.kind IN ('sel', 'row'))
+          OR (m.mode = 'feature_cols' AND b.kind IN ('num', 'cat', 'sel', 'row'))
+          OR (m.mode = 'extra_and_num' AND b.kind IN ('num', 'sel'))
+        UNION ALL
+        SELECT m.mode, b.feature, 1000000 + b.k FROM modes m JOIN base b
+          ON b.kind IN ('num', 'cat', 'sel', 'row') AND ({' OR '.join(f"starts_with(b.feature, '{p}')" for p in FORCE_PREFIXES)}))
+      WHERE feature IN (SELECT feature FROM present)
+        AND NOT ({' OR '.join(f"starts_with(feature, '{p}')" for p in EXCLUDE_PREFIXES)})
+      GROUP BY mode, feature)
+QUALIFY position < {CANDIDATE_CAP}""", "var_rank", "mart", "extra_long", "dict", extra=[
+        ("modes", "SELECT * FROM (VALUES " + ", ".join(f"('{m}')" for m in AUDIT_MODES) + ") t(mode)"),
+        ("base", "SELECT * FROM (VALUES " + ", ".join(
+            [f"('{c}', 'num', {i})" for i, c in enumerate(MT.NUM_FEATURES)]
+            + [f"('{c}', 'cat', {10 + i})" for i, c in enumerate(MT.CAT_FEATURES)]
+            + [f"('{c}', 'row', {1000 + i})" for i, c in enumerate(ROW_STAT_COLS)])
+         + ") t(feature, kind, k) UNION ALL SELECT feature, 'sel', 100 + rank FROM var_rank "
+           f"WHERE rank <= {VAR_TOP_K}"),
+        ("present", "SELECT DISTINCT d.feature FROM extra_long e JOIN dict d USING (pos) "
+                    "WHERE e.is_test = 0 AND e.value IS NOT NULL UNION ALL SELECT * FROM (VALUES "
+                    + ", ".join(f"('{c}')" for c in MT.NUM_FEATURES + MT.CAT_FEATURES + ROW_STAT_COLS)
+                    + ") t(feature)"),
+    ]))
+def q_audit_candidates(spark, sf_dir):
+    """E10 + J4: the audit's candidate lists for its four modes — selected extras,
+    plus row statistics, all feature columns, extras and main numerics — with forced
+    prefixes appended, excluded prefixes removed, intersected with the columns
+    present in the train data, and capped (first n in list order)."""
+    from pyspark.sql import Window
+    ctx = context(spark, sf_dir)
+    dic = _dictionary(spark)
+    sel = PR.take_slice(PR.variance_ranking(ctx.extra_long, dic), top_k=VAR_TOP_K).select(
+        "feature", F.lit("sel").alias("kind"), (F.col("rank") + 100).alias("k"))
+    fixed = spark.createDataFrame(
+        [(c, "num", i) for i, c in enumerate(MT.NUM_FEATURES)]
+        + [(c, "cat", 10 + i) for i, c in enumerate(MT.CAT_FEATURES)]
+        + [(c, "row", 1000 + i) for i, c in enumerate(ROW_STAT_COLS)], "feature STRING, kind STRING, k INT")
+    base = fixed.unionByName(sel)
+    kinds = {"selected_extra": ["sel"], "selected_extra_plus_row_stats": ["sel", "row"],
+             "feature_cols": ["num", "cat", "sel", "row"], "extra_and_num": ["num", "sel"]}
+    modes = spark.createDataFrame([(m, k) for m, ks in kinds.items() for k in ks],
+                                  "mode STRING, kind STRING")
+    chosen = modes.join(F.broadcast(base), "kind").select("mode", "feature", "k")
+    forced = (spark.createDataFrame([(m,) for m in AUDIT_MODES], "mode STRING")
+              .crossJoin(base.filter(_starts_any("feature", FORCE_PREFIXES)))
+              .select("mode", "feature", (F.col("k") + 1000000).alias("k")))
+    present = (ctx.extra_long.filter("is_test = 0 AND value IS NOT NULL").select("pos").distinct()
+               .join(dic, "pos").select("feature")
+               .unionByName(spark.createDataFrame(
+                   [(c,) for c in MT.NUM_FEATURES + MT.CAT_FEATURES + ROW_STAT_COLS], "feature STRING")))
+    cand = (chosen.unionByName(forced)
+            .join(present.distinct(), "feature", "left_semi")          # J4: present columns only
+            .filter(~_starts_any("feature", EXCLUDE_PREFIXES))
+            .groupBy("mode", "feature").agg(F.min("k").alias("k")))
+    w = Window.partitionBy("mode").orderBy("k")
+    return (cand.withColumn("position", (F.row_number().over(w) - 1).cast("int"))
+                .filter(F.col("position") < CANDIDATE_CAP).select("mode", "feature", "position"))
