@@ -270,7 +270,13 @@ def q_importance_union(spark, sf_dir):
     """Universal features (top by mean importance) union per-target specialists,
     ordered by best rank then name, first n. Importance = binned MI per target."""
     from pyspark.sql import Window
+    from stackrank.sources import reports as RS
     mi = _mi(context(spark, sf_dir)).select("target", "feature", F.round("mi", 12).alias("mi"))
+    # The importance report goes through a CSV with a header and an index
+    # column and is read back with an explicit schema.
+    path = RS.scratch_path(spark, "importance-csv")
+    RS.write_csv_report(mi.withColumn("idx", F.concat_ws("|", "target", "feature")), path, "idx")
+    mi = RS.read_csv_report(spark, path, "idx STRING, feature STRING, mi DOUBLE, target STRING")
     uni = (mi.groupBy("feature").agg(F.avg("mi").alias("m"))
              .withColumn("r", F.row_number().over(Window.orderBy(F.col("m").desc(), "feature")))
              .filter(F.col("r") <= IMP_UNIVERSAL).select("feature", "r"))
