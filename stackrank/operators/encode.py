@@ -106,15 +106,34 @@ def quantize(df: DataFrame, cols, decimals) -> DataFrame:
     return out
 
 
-def median_impute_long(long_df: DataFrame, group_cols=("pos",), value: str = "value") -> DataFrame:
-    """D8 on the long layout: null -> exact median of the non-null values per feature.
-
-    ``median`` is an exact percentile (a sort per feature); the feature count,
-    not the row count, bounds the number of groups.
+def exact_median(long_df: DataFrame, group_cols=("pos",), value: str = "value") -> DataFrame:
+    """(group..., med): exact median of the non-null values per group (the mean of the
+    two middle values for an even count, as ``quantile_cont(0.5)``).
+
+    Built from distributed pieces instead of the ``median`` aggregate (which keeps
+    every distinct value of a group in one task's memory): counts per distinct
+    value, skew-safe running counts below each value, then the value(s) whose rank
+    range holds the middle rank(s).
     """
+    from stackrank.operators.positions import exclusive_running_sums
+    group_cols = list(group_cols)
+    c = (long_df.filter(F.col(value).isNotNull())
+                .groupBy(*group_cols, value).agg(F.count(F.lit(1)).alias("c")))
+    below = exclusive_running_sums(c, group_cols, value, ["c"])
+    n = c.groupBy(*group_cols).agg(F.sum("c").alias("_n"))
+    j = below.join(n, group_cols).withColumn("_k1", F.floor((F.col("_n") - 1) / 2)) \
+             .withColumn("_k2", F.ceil((F.col("_n") - 1) / 2))
+    hit = lambda k: (F.col("c_below") <= F.col(k)) & (F.col(k) < F.col("c_below") + F.col("c"))
+    return j.groupBy(*group_cols).agg(
+        ((F.max(F.when(hit("_k1"), F.col(value))) + F.max(F.when(hit("_k2"), F.col(value)))) / 2.0)
+        .alias("med"))
+
+
+def median_impute_long(long_df: DataFrame, group_cols=("pos",), value: str = "value") -> DataFrame:
+    """D8 on the long layout: null -> exact median of the non-null values per feature."""
     group_cols = list(group_cols)
-    med = long_df.groupBy(*group_cols).agg(F.median(value).alias("_med"))
-    return (long_df.join(med, group_cols)
+    med = exact_median(long_df, group_cols, value).withColumnRenamed("med", "_med")
+    return (long_df.join(med, group_cols, "left")
                    .withColumn(value, F.coalesce(F.col(value), F.col("_med")))
                    .drop("_med"))
 

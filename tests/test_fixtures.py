@@ -106,3 +106,10 @@ def test_pearson_constant_is_null(spark):
     lab = spark.createDataFrame([(i, t, y) for i in range(4) for t, y in (("x", 1), ("z", i % 2))],
                                 "customer_id BIGINT, target STRING, y INT")
     assert RP.phi_pairs(lab).first().corr_abs is None
+
+
+@pytest.mark.parametrize("vals,expect", [([3.0, 1.0, 2.0], 2.0), ([4.0, 1.0, 2.0, 3.0], 2.5),
+                                         ([5.0, 5.0, 1.0, None], 5.0), ([7.0], 7.0)])
+def test_exact_median(spark, vals, expect):
+    df = spark.createDataFrame([(0, v) for v in vals], "pos INT, value DOUBLE")
+    assert EN.exact_median(df).first().med == expect
