@@ -114,6 +114,9 @@ def optimized_weights(spark: SparkSession, pool: DataFrame, oof: DataFrame, labe
     (the bounds cannot hold for it); constant targets get uniform weights.
     ``fit_rows`` (target, customer_id) restricts the rows of the objective.
     """
+    for n in range(2, max_width + 1):   # L10: bounds must admit weights summing to 1
+        if n * min_w > 1 + 1e-12 or n * max_w < 1 - 1e-12:
+            raise ValueError(f"infeasible weight bounds [{min_w}, {max_w}] for {n} sources")
     r = pool.withColumn("rank", F.row_number().over(
         Window.partitionBy("target").orderBy("ord")).cast("int")).filter(
         F.col("rank") <= max_width)

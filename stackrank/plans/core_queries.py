@@ -54,7 +54,11 @@ def q_constant_targets(spark, sf_dir):
 # G1/G2/A12, G3, G4 ------------------------------------------------------------------
 @query("fold_assign", with_ctes("SELECT customer_id, fold FROM folds", "folds"))
 def q_fold_assign(spark, sf_dir):
-    return FO.multilabel_folds(context(spark, sf_dir).labels)
+    """G1/G2 + A12: folds written as a (customer_id, fold) Parquet table and read back."""
+    from stackrank.sources import reports as RS
+    path = RS.scratch_path(spark, "folds")
+    FO.multilabel_folds(context(spark, sf_dir).labels).write.parquet(path)
+    return spark.read.parquet(path)
 
 
 @query("fold_single", with_ctes(
@@ -80,6 +84,7 @@ def q_sources_long(spark, sf_dir):
     """Round trip through the contest layout: wide per source (target_x / predict_x)
     -> tolerant unpivot back to long, one union over the manifest."""
     preds = context(spark, sf_dir).preds
+    P.check_manifest(P.manifest_frame(spark))
     parts = []
     for s in P.SOURCE_ORDER:
         one = preds.filter(F.col("source") == s)

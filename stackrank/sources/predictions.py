@@ -39,6 +39,15 @@ def manifest_frame(spark: SparkSession) -> DataFrame:
                                  "source STRING, position INT")
 
 
+def check_manifest(manifest: DataFrame) -> DataFrame:
+    """A label may appear once; duplicates are an error (checked on the manifest,
+    whose size is the number of sources)."""
+    dup = manifest.groupBy("source").count().filter("count > 1").select("source").collect()
+    if dup:
+        raise ValueError(f"duplicate source labels in manifest: {[r.source for r in dup]}")
+    return manifest
+
+
 def te_source(mart: DataFrame, labels: DataFrame, folds: DataFrame, cat_col: str,
               name: str) -> DataFrame:
     vals = mart.select(ID, "is_test", F.col(cat_col).cast("string").alias("value"))

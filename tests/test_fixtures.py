@@ -113,3 +113,24 @@ def test_pearson_constant_is_null(spark):
 def test_exact_median(spark, vals, expect):
     df = spark.createDataFrame([(0, v) for v in vals], "pos INT, value DOUBLE")
     assert EN.exact_median(df).first().med == expect
+
+
+def test_score_report_unparsable_macro_is_null(spark, tmp_path):
+    from stackrank.sources import reports as RS
+    p = str(tmp_path / "rep")
+    with open(tmp_path / "rep.json", "w") as f:
+        f.write('{"model": "a", "macro_auc": "abc", "target_scores": {"t1": 0.7}}\n')
+        f.write('{"model": "b", "target_scores": {"t1": 0.6, "t2": null}}\n')
+        f.write('{"model": "c", "macro_auc": 0.75, "target_scores": {"t1": 0.8}}\n')
+    got = RS.read_target_scores(spark, str(tmp_path / "rep.json")).collect()
+    macro = {r.model: r.macro_auc for r in got}
+    assert macro == {"a": None, "b": None, "c": 0.75}
+    assert len(got) == 4
+    del p
+
+
+def test_duplicate_manifest_label_is_error(spark):
+    from stackrank.sources.predictions import check_manifest
+    m = spark.createDataFrame([("a", 0), ("a", 1)], "source STRING, position INT")
+    with pytest.raises(ValueError):
+        check_manifest(m)
