@@ -81,8 +81,12 @@ class Context:
         return self._get("extra_long", lambda: extra_long(self.mart))
 
     def oof_scored(self) -> DataFrame:
-        """OOF predictions joined to their labels by key (never by row order)."""
-        return self.preds.filter("split = 'oof'").join(self.labels, ["target", "customer_id"])
+        """OOF predictions joined to their labels by key (never by row order).
+
+        The largest join of the package, used by most metric and routing queries:
+        materialised once per session instead of once per query."""
+        return self._get("oof_scored", lambda: self.preds.filter("split = 'oof'").join(
+            self.labels, ["target", "customer_id"]))
 
 
 def context(spark: SparkSession, sf_dir: str) -> Context:
