@@ -60,15 +60,3 @@ def rank_average(df: DataFrame, group_cols, score_col: str = "score",
         *group_cols, score_col,
         ((F.col("c_below") + (F.col("c") + 1) / 2.0) / F.col("_n")).alias(out))
     return df.join(ranked, [*group_cols, score_col])
-
-
-def top_k(df: DataFrame, group_cols, order_cols, k: int, out: str = "rank") -> DataFrame:
-    """Rows with ``row_number`` <= k per group under a total order.
-
-    Only for small inputs (per-target / per-feature tables); a top-k over a large
-    group reduces through ``row_number`` on map-side pre-ranked candidates.
-    """
-    w = Window.partitionBy(*group_cols) if group_cols else Window.partitionBy(F.lit(0))
-    w = w.orderBy(*order_cols)
-    ranked = df.withColumn(out, F.row_number().over(w))
-    return ranked.filter(F.col(out) <= k) if k and k > 0 else ranked

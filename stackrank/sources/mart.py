@@ -117,9 +117,3 @@ def labels_long(mart: DataFrame) -> DataFrame:
     """(customer_id, target, y INT) for train rows."""
     wide = labels_wide(mart)
     return wide.unpivot([ID], list(TARGETS), "target", "y")
-
-
-def load(spark: SparkSession, sf_dir: str):
-    """(mart, labels_long) for a scale-factor directory."""
-    mart = build_mart(spark, sf_dir)
-    return mart, labels_long(mart)

@@ -20,8 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stackrank.operators.encode import oof_target_encoding
-from stackrank.operators.folds import multilabel_folds
-from stackrank.sources.mart import EXTRA_FEATURES, ID, TARGETS, load
+from stackrank.sources.mart import EXTRA_FEATURES, ID, TARGETS
 
 SCORE_DIGITS = 9
 SPEC_TARGETS = ("target_3_1", "target_3_2")
@@ -85,13 +84,6 @@ def build_sources(spark: SparkSession, mart: DataFrame, labels: DataFrame,
     return seg.unionByName(nat).unionByName(bal).unionByName(spec).unionByName(dup)
 
 
-def load_all(spark: SparkSession, sf_dir: str):
-    """mart, labels, folds, sources for a scale-factor directory."""
-    mart, labels = load(spark, sf_dir)
-    folds = multilabel_folds(labels)
-    return mart, labels, folds, build_sources(spark, mart, labels, folds)
-
-
 def long_to_wide(preds: DataFrame, split: str, targets=TARGETS) -> DataFrame:
     """One source's frame in the contest spelling: OOF -> target_x, test -> predict_x."""
     prefix = "target_" if split == "oof" else "predict_"
