@@ -72,8 +72,13 @@ class Context:
         self.spark, self.sf_dir = spark, sf_dir
         self._key = (os.path.abspath(sf_dir), _stamp(sf_dir))
 
-    def _get(self, name: str, build, bucket: bool = True) -> DataFrame:
-        return materialize(self.spark, (*self._key, name), build, bucket=bucket)
+    # Entity tables joined with each other on customer_id in most plans; the large
+    # long tables (sources, extra block) are grouped by other keys and stay
+    # checkpoints (a bucketed, sorted write of them costs more than it saves).
+    BUCKETED = ("mart", "labels", "folds")
+
+    def _get(self, name: str, build) -> DataFrame:
+        return materialize(self.spark, (*self._key, name), build, bucket=name in self.BUCKETED)
 
     @property
     def mart(self) -> DataFrame:
