@@ -58,3 +58,15 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() > 0
     assert df.columns == ["target", "grid_id", "w_0", "w_1", "auc"]
+
+
+def test_sample_random_split_path_same_rows(spark, ctx):
+    from stackrank.operators.positions import MAX_GROUP_ROWS_CONF
+    ids = ctx.mart.select("customer_id")
+    a = SA.sample_random(ids, 300, seed=3)
+    spark.conf.set(MAX_GROUP_ROWS_CONF, "10")
+    try:
+        b = SA.sample_random(ids, 300, seed=3).collect()
+    finally:
+        spark.conf.unset(MAX_GROUP_ROWS_CONF)
+    assert sorted(r.customer_id for r in a.collect()) == sorted(r.customer_id for r in b)
