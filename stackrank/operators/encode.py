@@ -83,12 +83,16 @@ def category_codes(values: DataFrame, missing: str = MISSING) -> DataFrame:
     appearance, defined as the smallest customer_id holding the value (ties by
     value text). Returns customer_id, feature, value_text, code INT.
     """
+    from stackrank.operators.positions import exclusive_running_sums
     v = values.select("customer_id", "feature",
                       F.coalesce(F.col("value").cast("string"), F.lit(missing)).alias("value_text"))
-    first = v.groupBy("feature", "value_text").agg(F.min("customer_id").alias("first_id"))
-    w = Window.partitionBy("feature").orderBy("first_id", "value_text")
-    codes = first.select("feature", "value_text",
-                         (F.row_number().over(w) - 1).cast("int").alias("code"))
+    # A customer holds one value per feature, so first_id is unique per (feature,
+    # value): the code is the number of values that appeared earlier — a skew-safe
+    # running count, not one window over every distinct value of a feature.
+    first = v.groupBy("feature", "value_text").agg(F.min("customer_id").alias("first_id"),
+                                                   F.lit(1).alias("one"))
+    codes = exclusive_running_sums(first, ["feature"], "first_id", ["one"]).select(
+        "feature", "value_text", F.col("one_below").cast("int").alias("code"))
     return v.join(codes, ["feature", "value_text"])
 
 

@@ -7,7 +7,8 @@ from stackrank.operators.positions import MAX_GROUP_ROWS_CONF
 from tests.conftest import SF_SMALL
 
 NAMES = ["fold_single", "auc_by_source", "rank_normalize", "rank_average", "blend_search",
-         "sample_stratified", "shuffle_column", "impute_median", "hpo_eval", "route_top2"]
+         "sample_stratified", "shuffle_column", "impute_median", "hpo_eval", "route_top2",
+         "cat_codes", "fold_assign"]
 
 
 @pytest.mark.parametrize("name", NAMES)
