@@ -22,6 +22,24 @@ DEFAULT_CONF = {
 }
 
 
+def cluster_conf(executors: int = 1000, cores_per_executor: int = 8) -> dict:
+    """Settings for a large cluster (the data volume of the package's design target).
+
+    Shuffle partitions start high and AQE coalesces them to ~256 MB; scans split
+    files at 256 MB; skewed join partitions are split by AQE. ``spark.checkpoint.dir``
+    must name a shared folder (set by the cluster, read by ``ensure_checkpoint_dir``).
+    """
+    return {
+        **DEFAULT_CONF,
+        "spark.sql.shuffle.partitions": str(executors * cores_per_executor * 3),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64m",
+        "spark.sql.files.maxPartitionBytes": "256m",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "stackrank.fit.parallelism": "8",
+    }
+
+
 def get_spark(master: str | None = None, shuffle_partitions: int = 8,
               app_name: str = "stackrank", extra_conf: dict | None = None) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
