@@ -251,7 +251,7 @@ def q_run_log_latest(spark, sf_dir):
 
 # -- C6 / I8 / K12 / K10 ---------------------------------------------------------------------------
 @query("sigmoid_score", with_ctes("""SELECT customer_id,
-  round(1.0 / (1.0 + exp(-((num_feature_acctbal - s.mu) / s.sd))), 9) AS score
+  round(1.0 / (1.0 + exp(-((num_feature_acctbal - s.mu) / s.sd))), 6) AS score
 FROM mart CROSS JOIN (SELECT avg(num_feature_acctbal) AS mu, stddev_pop(num_feature_acctbal) AS sd
   FROM mart) s""", "mart"))
 def q_sigmoid_score(spark, sf_dir):
@@ -261,7 +261,7 @@ def q_sigmoid_score(spark, sf_dir):
     st = mart.agg(F.avg("num_feature_acctbal").alias("mu"),
                   F.stddev_pop("num_feature_acctbal").alias("sd"))
     z = (F.col("num_feature_acctbal") - F.col("mu")) / F.col("sd")
-    return mart.crossJoin(F.broadcast(st)).select("customer_id", F.round(sigmoid(z), 9).alias("score"))
+    return mart.crossJoin(F.broadcast(st)).select("customer_id", F.round(sigmoid(z), 6).alias("score"))
 
 
 @query("fold_average", with_ctes(f"""SELECT v.customer_id, g.target,
