@@ -40,3 +40,15 @@ def op4(spark, sf_dir):
     from stackrank.llm.packing import pack_documents
     return pack_documents(table(spark, sf_dir, "documents"),
                           public_tokenizers.path("word_bpe_49k.json")).drop("ids")
+
+
+def _op10_sql():
+    from stackrank.llm.decontaminate import ORACLE
+    return ORACLE
+
+
+@_query("op10_winnowing", oracle=_op10_sql())
+def op10(spark, sf_dir):
+    """Every document against every benchmark item, by winnowed fingerprints."""
+    from stackrank.llm.decontaminate import contamination
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
