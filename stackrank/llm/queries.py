@@ -52,3 +52,27 @@ def op10(spark, sf_dir):
     """Every document against every benchmark item, by winnowed fingerprints."""
     from stackrank.llm.decontaminate import contamination
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _op6_sql():
+    from stackrank.llm.sharding import ORACLE
+    return ORACLE
+
+
+@_query("op6_rendezvous", oracle=_op6_sql())
+def op6(spark, sf_dir):
+    """Documents over 40 equal shards by rendezvous hashing of doc_id."""
+    from stackrank.llm.sharding import shard_documents
+    return shard_documents(table(spark, sf_dir, "documents"), 40)
+
+
+def _op8_sql():
+    from stackrank.llm.warc import ORACLE
+    return ORACLE
+
+
+@_query("op8_warc", oracle=_op8_sql())
+def op8(spark, sf_dir):
+    """Pages as WARC archives, read back."""
+    from stackrank.llm.warc import archive_pages
+    return archive_pages(table(spark, sf_dir, "pages"))
