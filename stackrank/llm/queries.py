@@ -76,3 +76,15 @@ def op8(spark, sf_dir):
     """Pages as WARC archives, read back."""
     from stackrank.llm.warc import archive_pages
     return archive_pages(table(spark, sf_dir, "pages"))
+
+
+def _op5_sql():
+    from stackrank.llm.onebit import ORACLE
+    return ORACLE
+
+
+@_query("op5_onebit", oracle=_op5_sql())
+def op5(spark, sf_dir):
+    """The 20 nearest of every 20th embedding, by rotated one-bit codes and reranking."""
+    from stackrank.llm.onebit import nearest
+    return nearest(table(spark, sf_dir, "embeddings"))
