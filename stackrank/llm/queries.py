@@ -88,3 +88,15 @@ def op5(spark, sf_dir):
     """The 20 nearest of every 20th embedding, by rotated one-bit codes and reranking."""
     from stackrank.llm.onebit import nearest
     return nearest(table(spark, sf_dir, "embeddings"))
+
+
+def _op3_sql():
+    from stackrank.llm.nearjoin import ORACLE
+    return ORACLE
+
+
+@_query("op3_jaccard_join", oracle=_op3_sql())
+def op3(spark, sf_dir):
+    """Documents with a Jaccard similarity of 0.8 or more on five-word shingles."""
+    from stackrank.llm.nearjoin import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("_rid", "_first")
