@@ -100,3 +100,24 @@ def op3(spark, sf_dir):
     """Documents with a Jaccard similarity of 0.8 or more on five-word shingles."""
     from stackrank.llm.nearjoin import near_duplicates
     return near_duplicates(table(spark, sf_dir, "documents")).drop("_rid", "_first")
+
+
+@_query("op2_surrogates")
+def op2(spark, sf_dir):
+    """Documents with personal data replaced by surrogates."""
+    from stackrank.llm.pii import replace_pii
+    return replace_pii(table(spark, sf_dir, "documents"))
+
+
+@_query("op7_factorization")
+def op7(spark, sf_dir):
+    """Toxicity of every document."""
+    from stackrank.llm.toxicity import toxicity
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_query("op9_attention")
+def op9(spark, sf_dir):
+    """Quality of every document."""
+    from stackrank.llm.quality import quality
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

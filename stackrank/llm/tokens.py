@@ -21,8 +21,8 @@ from itertools import chain
 import numpy as np
 
 _ODD = re.compile(r"[\x00-\x09\x0b-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_ENDINGS = ".,;:!?*%$&#"          # never part of a contraction or of a word
 _SAFE = re.compile(r"(?<=\S)(?= )")
-_BREAKS = str.maketrans("\n\t\r", "   ")
 
 
 class _Index(dict):
@@ -42,7 +42,7 @@ class PieceEncoder:
     """Encodes texts with a ``tokenizers`` JSON file. The cache is emptied beyond
     ``max_pieces`` pieces, so memory is bounded."""
 
-    def __init__(self, path: str, max_pieces: int = 500_000):
+    def __init__(self, path: str, max_pieces: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import json
 
@@ -68,7 +68,7 @@ class PieceEncoder:
 
     def _pieces(self, text: str) -> list:
         if self.drops_space:
-            return text.translate(_BREAKS).split(" ")
+            return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         if (text[0] in " \n" or "  " in text or " \n" in text or "\n " in text
                 or "\n\n" in text or _ODD.search(text)):
             return ["\x01" + p for p in _SAFE.split(text)]
@@ -82,38 +82,66 @@ class PieceEncoder:
         return "\n" if piece == "\x02" else " " + piece
 
     def _learn(self):
-        """Encode the new pieces, many at a time: joined by a pre-token of one id that
-        none of them can hold."""
-        strings = [self._string(p) for p in self.index.new]
+        """Find the ids of the new pieces. A word with punctuation behind it is the word's
+        ids and the punctuation's, as these are always pre-tokens of their own."""
+        new, base = self.index.new, len(self.index) - len(self.index.new)
+        easy, hard, made, k = [], [], [], 0
+        no_space = "" if self.drops_space else "\x00"
+        while k < len(new):                               # grows by stems and endings
+            p = new[k]
+            if p.isalpha():
+                easy.append(k)
+            elif p and p[-1] in _ENDINGS and p[0] != "\x01" and \
+                    (stem := p.rstrip(_ENDINGS)) and stem[-1].isalnum():
+                made.append((k, self.index[stem], self.index[no_space + p[len(stem):]]))
+            else:
+                hard.append(k)
+            k += 1
         self.index.new = []
-        mark = self.sep.strip(" ")
-        odd = [not s or mark in s or _ODD.search(s) is not None for s in strings]
-        easy = [s for s, o in zip(strings, odd) if not o]
-        runs = [self.sep.join(easy[i:i + 64]) for i in range(0, len(easy), 64)]
-        ids = np.fromiter(chain.from_iterable(
-            chain(e.ids, (self.sep_id,))
-            for e in self.tok.encode_batch_fast(runs, add_special_tokens=False)), np.uint32)
-        is_sep = ids == self.sep_id
-        found = np.diff(np.flatnonzero(is_sep), prepend=-1) - 1
-        ids = ids[~is_sep]
-        if len(easy) < len(strings):
-            rest = self.tok.encode_batch_fast([s for s, o in zip(strings, odd) if o],
-                                              add_special_tokens=False)
-            parts = iter(np.split(ids, np.cumsum(found)[:-1]))
-            rest = iter([np.array(e.ids, np.uint32) for e in rest])
-            parts = [next(rest) if o else next(parts) for o in odd]
-            found = np.fromiter(map(len, parts), np.int64, len(parts))
-            ids = np.concatenate(parts)
+        self.off = np.concatenate([self.off, np.zeros(len(new), np.int64)])
+        self.len = np.concatenate([self.len, np.zeros(len(new), np.int64)])
+        self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
+        space = "" if self.drops_space else " "
+        self._put(base + np.array(easy, np.int64), *self._encode_words(
+            [space + new[k] for k in easy]))
+        rest = [e.ids for e in self.tok.encode_batch_fast(
+            [self._string(new[k]) for k in hard], add_special_tokens=False)]
+        lens = np.fromiter(map(len, rest), np.int64, len(rest))
+        self._put(base + np.array(hard, np.int64),
+                  np.fromiter(chain.from_iterable(rest), np.uint32, int(lens.sum())), lens)
+        if made:
+            made = np.array(made, np.int64)
+            parts = made[:, 1:].ravel()
+            self._put(base + made[:, 0], self._gather(parts),
+                      self.len[parts].reshape(-1, 2).sum(axis=1))
+
+    def _put(self, where, ids, lens):
         total = len(ids)
         if self.used + total > len(self.flat):
             self.flat = np.concatenate(
                 [self.flat, np.zeros(max(len(self.flat), total), np.uint32)])
         self.flat[self.used:self.used + total] = ids
-        self.off = np.concatenate([self.off, self.used + np.cumsum(found) - found])
-        self.len = np.concatenate([self.len, found])
-        self.uses = np.concatenate([self.uses, np.zeros(len(found), np.int64)])
+        self.off[where] = self.used + np.cumsum(lens) - lens
+        self.len[where] = lens
         self.used += total
 
+    def _gather(self, idx):
+        """Ids of the pieces ``idx`` one after the other."""
+        lens = self.len[idx]
+        ends = np.cumsum(lens)
+        where = np.repeat(self.off[idx] - (ends - lens), lens)
+        where += np.arange(len(where))
+        return self.flat[where]
+
+    def _encode_words(self, strings: list) -> tuple[np.ndarray, np.ndarray]:
+        """Encode words, many at a time: joined by a pre-token of one id that none holds."""
+        runs = [self.sep.join(strings[i:i + 64]) for i in range(0, len(strings), 64)]
+        ids = np.fromiter(chain.from_iterable(
+            chain(e.ids, (self.sep_id,))
+            for e in self.tok.encode_batch_fast(runs, add_special_tokens=False)), np.uint32)
+        is_sep = ids == self.sep_id
+        return ids[~is_sep], np.diff(np.flatnonzero(is_sep), prepend=-1) - 1
+
     def _shrink(self):
         """Keep the more used half of the pieces."""
         keep = np.sort(np.argsort(-self.uses, kind="stable")[:self.max_pieces // 2])
@@ -144,14 +172,9 @@ class PieceEncoder:
         if self.index.new:
             self._learn()
         self.uses += np.bincount(idx, minlength=len(self.uses))
-        lens = self.len[idx]
-        ends = np.cumsum(lens)
-        total = int(ends[-1]) if len(ends) else 0
-        where = np.repeat(self.off[idx] - (ends - lens), lens)
-        where += np.arange(total)
-        cum = np.concatenate([[0], ends])
+        cum = np.concatenate([[0], np.cumsum(self.len[idx])])
         edges = np.concatenate([[0], np.cumsum(counts)])
-        return self.flat[where], cum[edges[1:]] - cum[edges[:-1]]
+        return self._gather(idx), cum[edges[1:]] - cum[edges[:-1]]
 
 
 _CACHE: dict[str, PieceEncoder] = {}
