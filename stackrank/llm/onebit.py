@@ -1,11 +1,12 @@
 """Inner-product search with randomly rotated one-bit codes.
 
-A vector is centred, turned by a random orthogonal matrix and reduced to the signs of
-its components (one bit each), plus two scalars: the length r of the centred vector
+A vector is centred, padded with zeros to the code length, turned by a random
+orthogonal matrix and reduced to the signs of its components (one bit each), plus two
+scalars: the length r of the centred vector
 and the inner product a of its direction with its own code. For a query, turned in
 the same way, <code, query> / a estimates the inner product with the direction; the
-estimate's error is below ``eps * sqrt((1 - a^2) / (a^2 (d - 1)))`` times the query's
-length except with a probability that falls like exp(-c eps^2). All vectors whose
+estimate's error is below ``eps * sqrt((1 - a^2) / (a^2 (b - 1)))`` times the query's
+length, for b bits, except with a probability that falls like exp(-c eps^2). All vectors whose
 upper bound reaches the k-th best exact score seen so far are scored exactly in double
 precision; the others are never touched.
 
@@ -28,60 +29,50 @@ from pyspark.sql import functions as F
 
 from stackrank.llm.common import written
 
-BLOCK_ROWS, QUERY_ROWS = 8192, 2048
+BLOCK_ROWS, QUERY_ROWS, CODE_BITS = 8192, 2048, 256
 EPS = 3.5
 
 
-def rotation(dim: int, seed: int) -> np.ndarray:
-    """Random orthogonal matrix."""
-    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, dim)))
-    return q * np.sign(np.diag(r))
+def rotation(dim: int, bits: int, seed: int) -> np.ndarray:
+    """The first ``dim`` rows of a random orthogonal matrix of ``bits`` rows and columns:
+    turns vectors padded with zeros. Rows are orthonormal."""
+    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((bits, bits)))
+    return (q * np.sign(np.diag(r)))[:dim]
 
 
 def encode(x: np.ndarray, centre: np.ndarray, rot: np.ndarray):
     """(packed bits, r, a) of the rows of ``x``."""
     y = (x - centre) @ rot
     r = np.linalg.norm(y, axis=1)
-    bits = y > 0
-    d = x.shape[1]
-    a = np.abs(y).sum(axis=1) / np.sqrt(d) / np.where(r > 0, r, 1)
-    return np.packbits(bits, axis=1), r, np.where(r > 0, a, 1)
-
-
-def exact(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Inner products in double precision, summed in order of the components."""
-    s = np.zeros(len(rows))
-    for j in range(rows.shape[1]):
-        s += rows[:, j] * query[j]
-    return s
-
-
-def search_block(x, ids, first_id, bits, r, a, queries, centre, rot, k: int, eps: float):
-    """For each query the best (row, score) of the block, at least all that can be among its
-    ``k`` nearest ids; ``first_id`` is the smallest id of each row."""
-    d = x.shape[1]
-    code = np.unpackbits(bits, axis=1, count=d).astype(np.float32)
-    code *= 2 / np.sqrt(d)
-    code -= 1 / np.sqrt(d)
+    a = np.abs(y).sum(axis=1) / np.sqrt(rot.shape[1]) / np.where(r > 0, r, 1)
+    return np.packbits(y > 0, axis=1), r, np.where(r > 0, a, 1)
+
+
+def search_block(x, first_id, bits, r, a, queries, centre, rot, k: int, eps: float):
+    """For each query the best rows of the block and their scores, at least all that can
+    hold one of its ``k`` nearest ids; ``first_id`` is the smallest id of each row."""
+    b = rot.shape[1]
+    code = np.unpackbits(bits, axis=1, count=b).astype(np.float32)
+    code *= 2 / np.sqrt(b)
+    code -= 1 / np.sqrt(b)
     scale = (r / a).astype(np.float32)
-    miss = (eps * r * np.sqrt(np.maximum(0, 1 - a * a)) / a / np.sqrt(max(1, d - 1))).astype(
+    miss = (eps * r * np.sqrt(np.maximum(0, 1 - a * a)) / a / np.sqrt(max(1, b - 1))).astype(
         np.float32)
+    n = min(len(x), 2 * k)
     for lo in range(0, len(queries), 256):
         q = queries[lo:lo + 256]
-        # <x, q> = r <direction, R q> + <c, q>; the centred query is not needed
-        turned = (q @ rot).astype(np.float32)
-        est = (turned @ code.T) * scale + (q @ centre).astype(np.float32)[:, None]
+        # <x, q> = r <direction, q> + <centre, q>
+        est = ((q @ rot).astype(np.float32) @ code.T) * scale
+        est += (q @ centre).astype(np.float32)[:, None]
         width = np.linalg.norm(q, axis=1).astype(np.float32)
-        for i in range(len(q)):
-            e = est[i]
-            n = min(len(e), 2 * k)
-            seed = np.argpartition(-e, n - 1)[:n] if n < len(e) else np.arange(len(e))
+        for i, e in enumerate(est):
             floor = -np.inf
-            s = exact(x[seed], q[i])
             if n >= k:
+                seed = np.argpartition(e, len(e) - n)[len(e) - n:]
+                s = x[seed] @ q[i]
                 floor = np.partition(s, n - k)[n - k]
             more = np.flatnonzero(e + miss * width[i] >= floor - 1e-5 * (1 + abs(floor)))
-            s = exact(x[more], q[i])
+            s = x[more] @ q[i]
             order = np.lexsort((first_id[more], -s))[:k]
             yield lo + i, more[order], s[order]
 
@@ -114,7 +105,7 @@ def valid_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 def nearest(df: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding",
             every: int = 20, eps: float = EPS, seed: int = 7, block_rows: int = BLOCK_ROWS,
-            query_rows: int = QUERY_ROWS) -> DataFrame:
+            query_rows: int = QUERY_ROWS, code_bits: int = CODE_BITS) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest rows of each row whose id is
     divisible by ``every``, nearest first, ties to the smaller id, itself left out.
 
@@ -137,7 +128,7 @@ def nearest(df: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "
         return spark.createDataFrame([], out_schema)
     dim, n = dims["_dim"], dims["count"]
     classes = classes.where(F.col("_dim") == dim)
-    rot = rotation(dim, seed)
+    rot = rotation(dim, max(code_bits, -(-dim // 8) * 8), seed)
     # any centre is right; the mean of at most 10,000 vectors with the lowest digests
     sample = classes.orderBy("_key").limit(10_000).select("_vec").collect()
     centre = np.mean([np.frombuffer(s["_vec"], "<f8") for s in sample], axis=0)
@@ -178,7 +169,7 @@ def nearest(df: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "
         bits = np.frombuffer(b"".join(left["_bits"]), np.uint8).reshape(len(x), -1)
         keys, found, scores, counts = right["_key"].tolist(), [], [], []
         asked_keys = []
-        for i, where, s in search_block(x, ids, first, bits, left["_r"].to_numpy(),
+        for i, where, s in search_block(x, first, bits, left["_r"].to_numpy(),
                                         left["_a"].to_numpy(), q, centre, rot, k + 1, eps):
             v = np.concatenate([ids[j] for j in where]) if len(where) else np.zeros(0, np.int64)
             sv = np.repeat(s, [len(ids[j]) for j in where])

@@ -1,7 +1,8 @@
 """Toxicity scores by a factorization machine over hashed terms.
 
-Terms are whole words and the first 4 to 8 bytes of longer words, hashed to 2^18
-places. A document's score is ``w0 + sum w_i + 1/2 sum_f ((sum v_if)^2 - sum v_if^2)``
+Terms are whole words and the first 4 to 8 bytes of longer words, hashed to 2^23
+places; a place has parameters if it occurs in ``LEAST_DOCS`` documents of the fit. A
+document's score is ``w0 + sum w_i + 1/2 sum_f ((sum v_if)^2 - sum v_if^2)``
 over its distinct terms, through a sigmoid: besides a weight of its own each term has
 a vector, so that a pair of terms can say more than both alone. A text is scored by
 its windows of 128 words (half overlapping, so that every pair within 64 words shares
@@ -9,7 +10,7 @@ a window) and takes its highest window's score: one insult weighs as much in a l
 text as in a short one.
 
 The model is fitted on the driver on a bounded sample of labelled rows (``max_rows``,
-those with the lowest hash of their id), and sent to the tasks: 2^18 x 9 floats.
+those with the lowest hash of their id), and sent to the tasks: 9 floats a place.
 """
 
 from __future__ import annotations
@@ -22,8 +23,7 @@ from pyspark.sql import functions as F
 from stackrank.llm.common import slices
 from stackrank.llm.wordhash import _VALUE, _powers, mix, text_buffer, word_spans
 
-BITS, FACTORS = 18, 8
-PLACES = 1 << BITS
+BITS, FACTORS, LEAST_DOCS = 23, 8, 3
 PREFIXES = (4, 5, 6, 7, 8)
 WINDOW, HOP = 128, 64
 
@@ -58,18 +58,43 @@ def windows(place: np.ndarray, word: np.ndarray, counts: np.ndarray):
     pos = np.arange(len(doc_of_word)) - np.repeat(np.cumsum(counts) - counts, counts)
     hop = np.minimum(pos // HOP, per[doc_of_word] - 1) + first[doc_of_word]
     back = (pos >= HOP) & (pos // HOP < per[doc_of_word])  # also in the window before
-    key = np.concatenate([hop[word], (hop - 1)[word][back[word]]]) * PLACES
+    key = np.concatenate([hop[word], (hop - 1)[word][back[word]]]) << BITS
     key += np.concatenate([place, place[back[word]]])
     key = np.unique(key)
-    return key // PLACES, key % PLACES, np.repeat(np.arange(len(counts)), per)
+    return key >> BITS, key & ((1 << BITS) - 1), np.repeat(np.arange(len(counts)), per)
+
+
+class Vocabulary:
+    """Places with parameters, numbered; others are left out of a text's terms."""
+
+    def __init__(self, places: np.ndarray):
+        self.places, self._number = np.sort(places), None
+
+    def __getstate__(self):
+        return self.places
+
+    def __setstate__(self, places):
+        self.places, self._number = places, None
+
+    def __len__(self):
+        return len(self.places)
+
+    def keep(self, place, word, counts):
+        if self._number is None:
+            self._number = np.full(1 << BITS, -1, np.int32)
+            self._number[self.places] = np.arange(len(self.places))
+        n = self._number[place]
+        known = n >= 0
+        return n[known].astype(np.int64), word[known], counts
 
 
 class Machine:
-    def __init__(self, seed: int = 5):
+    def __init__(self, vocabulary: Vocabulary, seed: int = 5):
         rng = np.random.default_rng(seed)
+        self.vocabulary = vocabulary
         self.w0 = np.float32(0)
-        self.w = np.zeros(PLACES, np.float32)
-        self.v = (rng.standard_normal((PLACES, FACTORS)) * 0.02).astype(np.float32)
+        self.w = np.zeros(len(vocabulary), np.float32)
+        self.v = (rng.standard_normal((len(vocabulary), FACTORS)) * 0.005).astype(np.float32)
 
     def raw(self, win: np.ndarray, place: np.ndarray, n: int):
         """Score of each of ``n`` windows before the sigmoid, and the factor sums."""
@@ -86,21 +111,26 @@ class Machine:
 
     def score(self, place, word, counts) -> np.ndarray:
         """Probability of each text: that of its highest window."""
-        win, pl, doc = windows(place, word, counts)
+        if not len(counts):
+            return np.zeros(0)
+        win, pl, doc = windows(*self.vocabulary.keep(place, word, counts))
         y, _ = self.raw(win, pl, len(doc))
         first = np.searchsorted(doc, np.arange(len(counts)))
-        return 1 / (1 + np.exp(-np.clip(np.maximum.reduceat(y, first), -30, 30))) \
-            if len(counts) else np.zeros(0)
+        return 1 / (1 + np.exp(-np.clip(np.maximum.reduceat(y, first), -30, 30)))
 
 
-def fit(docs: list, labels: np.ndarray, epochs: int = 6, rate: float = 0.1,
-        decay: float = 2e-5, batch: int = 256, seed: int = 5, sizes: dict | None = None,
-        lift: float = 0.5) -> Machine:
+def fit(vocabulary: Vocabulary, docs: list, labels: np.ndarray, epochs: int = 6, rate: float = 0.1,
+        pair_rate: float = 0.01, sparse: float = 0.02, pair_decay: float = 1e-3,
+        batch: int = 256, seed: int = 5, sizes: dict | None = None,
+        lift: float = 0.8) -> Machine:
     """Fit on (win, place, n windows) triples of whole documents with 0/1 labels by AdaGrad
-    on the log loss of each document's highest window. ``sizes`` are the classes' sizes
+    on the log loss of each document's highest window: the weights alone for half of the
+    epochs, then the vectors too, more slowly and drawn to zero, so that they say only
+    what the weights cannot. Weights are drawn to zero by ``sparse`` a step (an L1 penalty),
+    which leaves the terms that many documents agree on. ``sizes`` are the classes' sizes
     where the documents are a sample of each; a class of share q weighs q^-lift as
     much per document as it would in the whole."""
-    m = Machine(seed)
+    m = Machine(vocabulary, seed)
     if not len(labels) or labels.min() == labels.max():
         m.w0 = np.float32(4 if len(labels) and labels[0] else -4)
         return m
@@ -110,8 +140,8 @@ def fit(docs: list, labels: np.ndarray, epochs: int = 6, rate: float = 0.1,
     whole /= whole.sum()
     each = whole ** (1 - lift) / (whole ** (1 - lift)).sum() / share
     weight = each[labels.astype(int)]
-    gw, gv, g0 = np.full(PLACES, 1e-2), np.full((PLACES, FACTORS), 1e-2), 1e-2
-    for _ in range(epochs):
+    gw, gv, g0 = np.full(m.w.shape, 1e-2), np.full(m.v.shape, 1e-2), 1e-2
+    for epoch in range(epochs):
         order = rng.permutation(len(docs))
         for lo in range(0, len(order), batch):
             part = order[lo:lo + batch]
@@ -130,14 +160,17 @@ def fit(docs: list, labels: np.ndarray, epochs: int = 6, rate: float = 0.1,
             g0 += grad.sum() ** 2
             m.w0 -= np.float32(rate * grad.sum() / np.sqrt(g0))
             u, inv = np.unique(place, return_inverse=True)
-            dw = np.bincount(inv, weights=g) + decay * m.w[u]
+            dw = np.bincount(inv, weights=g)
             gw[u] += dw * dw
-            m.w[u] -= (rate * dw / np.sqrt(gw[u])).astype(np.float32)
+            w = m.w[u] - rate * dw / np.sqrt(gw[u])
+            m.w[u] = np.sign(w) * np.maximum(0, np.abs(w) - rate * sparse / np.sqrt(gw[u]))
+            if epoch < epochs // 2:
+                continue
             part_v = g[:, None] * (sums[win] - m.v[place])
             dv = np.stack([np.bincount(inv, weights=part_v[:, f]) for f in range(FACTORS)], 1)
-            dv += decay * m.v[u]
+            dv += pair_decay * m.v[u]
             gv[u] += dv * dv
-            m.v[u] -= (rate * 0.3 * dv / np.sqrt(gv[u])).astype(np.float32)
+            m.v[u] -= (pair_rate * dv / np.sqrt(gv[u])).astype(np.float32)
     return m
 
 
@@ -168,35 +201,53 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, re
             .join(F.broadcast(chosen), "_id"))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = 8_000, **kw) -> Machine:
+def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = 6_000, **kw) -> Machine:
     """Fit on at most ``rows_per_class`` labelled documents of each class whose crc32(id)
     mod 5 is not 0. Repeated ids count once (the smallest text's features)."""
     rows = labelled_sample(docs, labels, "toxic", 5, 0, rows_per_class)
 
+    def places(batches):
+        for batch in batches:
+            for part in slices(batch, "_text", 8 << 20):
+                place, word, counts = terms(*text_buffer(part.column("_text")))
+                text = np.searchsorted(np.cumsum(counts), word, "right")
+                got = np.unique((text << BITS) | place) & ((1 << BITS) - 1)
+                u, n = np.unique(got, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(n)],
+                                                 names=["place", "n"])
+
+    known = (rows.select("_text").mapInArrow(places, "place long, n long").groupBy("place")
+             .agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_DOCS).select("place"))
+    vocabulary = Vocabulary(known.toPandas()["place"].to_numpy(np.int64))
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
     def run(batches):
+        vocabulary = sent.value
         for batch in batches:
             for part in slices(batch, "_text"):
-                win, pl, doc = windows(*terms(*text_buffer(part.column("_text"))))
+                win, pl, doc = windows(*vocabulary.keep(*terms(*text_buffer(
+                    part.column("_text")))))
                 edge = np.searchsorted(doc, np.arange(part.num_rows + 1))
                 cut = np.searchsorted(win, edge)
-                code = (win << BITS) | pl
-                out = [(code[a:b] - (e << BITS)).astype("<u4").tobytes()
-                       for a, b, e in zip(cut[:-1], cut[1:], edge[:-1])]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("_id"), part.column("_y"), part.column("_n"),
-                     pa.array(np.diff(edge), pa.int64()), pa.array(out, pa.binary())],
-                    names=["_id", "_y", "_n", "_w", "_f"])
+                     pa.array(np.diff(edge), pa.int64()),
+                     pa.array([(win[a:b] - e).astype("<u4").tobytes() for a, b, e in
+                               zip(cut[:-1], cut[1:], edge[:-1])], pa.binary()),
+                     pa.array([pl[a:b].astype("<u4").tobytes() for a, b in
+                               zip(cut[:-1], cut[1:])], pa.binary())],
+                    names=["_id", "_y", "_n", "_w", "_f", "_p"])
 
-    got = (rows.mapInArrow(run, "_id long, _y int, _n long, _w long, _f binary")
+    got = (rows.mapInArrow(run, "_id long, _y int, _n long, _w long, _f binary, _p binary")
            .groupBy("_id").agg(F.max("_y").alias("_y"), F.max("_n").alias("_n"),
-                               F.min(F.struct("_f", "_w")).alias("_s")))
+                               F.min(F.struct("_p", "_f", "_w")).alias("_s")))
     data, y, share = [], [], {}
     for r in sorted(got.collect(), key=lambda r: r["_id"]):
-        code = np.frombuffer(r["_s"]["_f"], "<u4")
-        data.append((code >> np.uint32(BITS), code & np.uint32(PLACES - 1), r["_s"]["_w"]))
+        s = r["_s"]
+        data.append((np.frombuffer(s["_f"], "<u4"), np.frombuffer(s["_p"], "<u4"), s["_w"]))
         y.append(r["_y"])
         share[r["_y"]] = r["_n"]
-    return fit(data, np.array(y, float), sizes=share, **kw)
+    return fit(vocabulary, data, np.array(y, float), sizes=share, **kw)
 
 
 def score_documents(docs: DataFrame, machine: Machine, carry: tuple = ()) -> DataFrame:
