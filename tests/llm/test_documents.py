@@ -239,22 +239,29 @@ def auc(score, y):
 
 
 def test_machine_learns_a_pair():
-    """Two words are harmless alone and toxic together: weights alone cannot tell."""
+    """Each of two words is toxic alone and harmless beside the other: no sum of weights
+    can tell, the vectors can."""
     rng = np.random.default_rng(8)
     texts, y = [], []
     for _ in range(3000):
         a, b = rng.random() < 0.5, rng.random() < 0.5
         filler = [f"f{i}" for i in rng.integers(0, 300, 12)]
         texts.append(" ".join(filler + ["mention"] * a + ["slur"] * b))
-        y.append(int(a and b))
-    win, place, doc = toxicity.windows(*toxicity.terms(*toxicity.text_buffer(pa.array(texts))))
+        y.append(int(a != b))
+    terms = toxicity.terms(*toxicity.text_buffer(pa.array(texts)))
+    vocabulary = toxicity.Vocabulary(np.unique(terms[0]))
+    win, place, doc = toxicity.windows(*vocabulary.keep(*terms))
     e = np.searchsorted(doc, np.arange(len(texts) + 1))
     c = np.searchsorted(win, e)
     docs = [(win[c[i]:c[i + 1]] - e[i], place[c[i]:c[i + 1]], int(e[i + 1] - e[i]))
             for i in range(len(texts))]
-    m = toxicity.fit(docs, np.array(y, float), epochs=12)
-    one = lambda t: float(m.score(*toxicity.terms(*toxicity.text_buffer(pa.array([t]))))[0])
-    assert one("f1 f2 mention slur f3") > 0.5 > max(one("f1 mention f3"), one("f2 slur f9"))
+    made = {r: toxicity.fit(vocabulary, docs, np.array(y, float), epochs=30, pair_rate=r,
+                            lift=0.5) for r in (0.1, 0.0)}
+    one = lambda t, r: float(made[r].score(
+        *toxicity.terms(*toxicity.text_buffer(pa.array([t]))))[0])
+    both, single = "f1 f2 mention slur f3", ("f1 mention f3", "f2 slur f9")
+    assert one(both, 0.1) < 0.3 < 0.5 < min(one(t, 0.1) for t in single)
+    assert max(abs(one(t, 0.0) - 0.5) for t in (both, *single)) < 0.15
 
 
 def test_attention_gradient():

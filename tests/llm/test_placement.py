@@ -138,9 +138,9 @@ def test_nearest_is_brute_force(llm):
 def test_code_bounds_hold():
     rng = np.random.default_rng(3)
     x, q = rng.standard_normal((4000, 64)), rng.standard_normal(64)
-    rot, centre = onebit.rotation(64, 1), x.mean(axis=0)
+    rot, centre = onebit.rotation(64, 256, 1), x.mean(axis=0)
     bits, r, a = onebit.encode(x, centre, rot)
-    code = (np.unpackbits(bits, axis=1) * 2.0 - 1) / 8
+    code = (np.unpackbits(bits, axis=1) * 2.0 - 1) / 16
     est = (code @ (q @ rot)) * r / a + q @ centre
-    miss = 3.5 * r * np.sqrt(1 - a * a) / a / np.sqrt(63) * np.linalg.norm(q)
+    miss = 3.5 * r * np.sqrt(1 - a * a) / a / np.sqrt(255) * np.linalg.norm(q)
     assert (np.abs(est - x @ q) <= miss).mean() > 0.999
