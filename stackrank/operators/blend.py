@@ -21,7 +21,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stackrank.operators.metrics import AUC_DIGITS, exact_auc
-from stackrank.operators.positions import needs_split
 from stackrank.operators.rank import rank_normalize
 
 STEP = 0.05
@@ -76,16 +75,15 @@ def blend_search(spark: SparkSession, preds: DataFrame, labels: DataFrame, sourc
     sources = list(sources)
     n = len(sources)
     oof = preds.filter((F.col("split") == "oof") & F.col("source").isin(sources))
-    split = needs_split(oof, ["target", "source"])
     if use_rank:
-        oof = rank_normalize(oof, ["split", "target", "source"], "score", out="r", split=split)
+        oof = rank_normalize(oof, ["split", "target", "source"], "score", out="r")
     else:
         oof = oof.withColumn("r", F.col("score"))
     wide = _pivot_sources(oof, sources, "r").join(labels, ["target", "customer_id"])
     grid = simplex_grid(spark, n, step)
     blended = wide.crossJoin(F.broadcast(grid)).select(
         "target", "grid_id", "y", F.round(_blend_expr(n), SCORE_DIGITS).alias("score"))
-    aucs = exact_auc(blended, ["target", "grid_id"], split=split)
+    aucs = exact_auc(blended, ["target", "grid_id"])
     w = Window.partitionBy("target").orderBy(F.col("auc").desc_nulls_last(), "grid_id")
     best = (aucs.withColumn("_rk", F.row_number().over(w)).filter("_rk = 1")
                 .join(F.broadcast(grid), "grid_id"))
@@ -110,12 +108,11 @@ def blend_apply(preds: DataFrame, best: DataFrame, sources, split: str = "test",
     part = preds.filter((F.col("split") == split) & F.col("source").isin(sources))
     ranked = (rank_normalize(part, ["split", "target", "source"], "score", out="r")
               if use_rank else part.withColumn("r", F.col("score")))
-    wide_r = _pivot_sources(ranked, sources, "r")
-    wide_raw = _pivot_sources(part, sources, "score").select(
-        "target", "customer_id", *[F.col(f"r_{i}").alias(f"raw_{i}") for i in range(n)])
+    wide = ranked.groupBy("target", "customer_id").agg(*[
+        F.max(F.when(F.col("source") == s, F.col(c))).alias(f"{name}_{i}")
+        for i, s in enumerate(sources) for c, name in (("r", "r"), ("score", "raw"))])
     raw_mean = sum((F.col(f"raw_{i}") for i in range(n)), F.lit(0.0)) / n
-    j = (wide_r.join(wide_raw, ["target", "customer_id"])
-               .join(F.broadcast(best), "target"))
+    j = wide.join(F.broadcast(best), "target")
     # The uniform mean is left unrounded: both engines compute the same IEEE value,
     # while rounding a mean of 9-digit scores would sit on exact halves.
     return j.select(

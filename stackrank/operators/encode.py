@@ -60,7 +60,7 @@ def oof_target_encoding(train: DataFrame, test: DataFrame | None, group_cols,
         (((F.col("ty") - F.col("sy")) + F.col("gm") * alpha)
          / ((F.col("tn") - F.col("n")) + alpha)).alias("enc_oof"))
     tr = (train.join(oof_map, [*group_cols, "value", "fold"], "left")
-               .join(gm, group_cols)
+               .join(F.broadcast(gm), group_cols)       # one row per group
                .select("customer_id", *group_cols,
                        F.coalesce("enc_oof", "gm").alias("enc")))
     if test is None:
@@ -71,7 +71,7 @@ def oof_target_encoding(train: DataFrame, test: DataFrame | None, group_cols,
                              ((F.col("ty") + F.col("gm") * alpha) / (F.col("tn") + alpha))
                              .alias("enc_full")))
     te = (test.join(full_map, [*group_cols, "value"], "left")
-              .join(gm, group_cols)
+              .join(F.broadcast(gm), group_cols)
               .select("customer_id", *group_cols, F.coalesce("enc_full", "gm").alias("enc")))
     return tr, te
 
@@ -125,7 +125,7 @@ def exact_median(long_df: DataFrame, group_cols=("pos",), value: str = "value")
                 .groupBy(*group_cols, value).agg(F.count(F.lit(1)).alias("c")))
     below = exclusive_running_sums(c, group_cols, value, ["c"])
     n = c.groupBy(*group_cols).agg(F.sum("c").alias("_n"))
-    j = below.join(n, group_cols).withColumn("_k1", F.floor((F.col("_n") - 1) / 2)) \
+    j = below.join(F.broadcast(n), group_cols).withColumn("_k1", F.floor((F.col("_n") - 1) / 2)) \
              .withColumn("_k2", F.ceil((F.col("_n") - 1) / 2))
     hit = lambda k: (F.col("c_below") <= F.col(k)) & (F.col(k) < F.col("c_below") + F.col("c"))
     return j.groupBy(*group_cols).agg(
@@ -133,27 +133,31 @@ def exact_median(long_df: DataFrame, group_cols=("pos",), value: str = "value")
         .alias("med"))
 
 
-def median_impute_long(long_df: DataFrame, group_cols=("pos",), value: str = "value") -> DataFrame:
-    """D8 on the long layout: null -> exact median of the non-null values per feature."""
+def median_impute_long(long_df: DataFrame, group_cols=("pos",), value: str = "value",
+                       fit: DataFrame | None = None) -> DataFrame:
+    """D8 on the long layout: null -> exact median per feature of the non-null values of
+    ``fit`` (the training rows; default all)."""
     group_cols = list(group_cols)
-    med = exact_median(long_df, group_cols, value).withColumnRenamed("med", "_med")
-    return (long_df.join(med, group_cols, "left")
+    med = exact_median(long_df if fit is None else fit, group_cols, value).withColumnRenamed(
+        "med", "_med")
+    return (long_df.join(F.broadcast(med), group_cols, "left")   # one row per feature
                    .withColumn(value, F.coalesce(F.col(value), F.col("_med")))
                    .drop("_med"))
 
 
 def standardize_long(long_df: DataFrame, group_cols=("pos",), value: str = "value",
-                     with_mean: bool = True) -> DataFrame:
-    """D9 on the long layout: (x - mean) / population std (scikit-learn's scaling).
+                     with_mean: bool = True, fit: DataFrame | None = None) -> DataFrame:
+    """D9 on the long layout: (x - mean) / population std (scikit-learn's scaling), both
+    from the rows of ``fit`` (the training rows; default all).
 
     A zero deviation divides by 1, as scikit-learn does.
     """
     group_cols = list(group_cols)
-    st = long_df.groupBy(*group_cols).agg(F.avg(value).alias("_mu"),
+    st = (long_df if fit is None else fit).groupBy(*group_cols).agg(F.avg(value).alias("_mu"),
                                           F.stddev_pop(value).alias("_sd"))
     centre = F.col("_mu") if with_mean else F.lit(0.0)
     scale = F.when((F.col("_sd").isNull()) | (F.col("_sd") == 0), F.lit(1.0)).otherwise(
         F.col("_sd"))
-    return (long_df.join(st, group_cols)
+    return (long_df.join(F.broadcast(st), group_cols)           # one row per feature
                    .withColumn(value, (F.col(value) - centre) / scale)
                    .drop("_mu", "_sd"))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stackrank.operators.positions import exclusive_running_sums, needs_split
+from stackrank.operators.positions import exclusive_running_sums
 
 SCORE_DIGITS = 9   # scores are rounded before equal scores are grouped
 AUC_DIGITS = 12
@@ -20,27 +20,16 @@ MACRO_DIGITS = 14   # means of AUCs rounded to 12 digits: two more, never on a h
 
 
 def exact_auc(scored: DataFrame, group_cols, score_col: str = "score", label_col: str = "y",
-              buckets: int = 64, split: bool | None = None,
-              score_digits: int | None = SCORE_DIGITS) -> DataFrame:
+              score_digits: int | None = SCORE_DIGITS,
+              rows_per_bucket: int | None = None) -> DataFrame:
     """(group..., n_pos BIGINT, n_neg BIGINT, auc DOUBLE).
 
-    ``split`` forces the skew-safe path on or off; by default it is decided from
-    the largest group of ``scored`` (rows bound the distinct scores from above).
     ``score_digits`` rounds scores before equal scores are grouped (so summation
     noise cannot split a tie); ``None`` keeps scores computed by a fixed
     expression exactly as they are.
     """
-    group_cols = list(group_cols)
-    if split is None:
-        split = needs_split(scored, group_cols)
-    sc = F.col(score_col).cast("double")
-    if score_digits is not None:
-        sc = F.round(sc, score_digits)
-    s = scored.select(*group_cols, sc.alias("_s"),
-                      F.col(label_col).cast("bigint").alias("_y"))
-    collapsed = s.groupBy(*group_cols, "_s").agg(
-        F.sum("_y").alias("p"), (F.count(F.lit(1)) - F.sum("_y")).alias("n"))
-    return auc_from_counts(collapsed, group_cols, "_s", buckets, split)
+    return auc_from_counts(collapse_scores(scored, group_cols, score_col, label_col,
+                                           score_digits), group_cols, "_s", rows_per_bucket)
 
 
 def collapse_scores(scored: DataFrame, group_cols, score_col: str = "score", label_col: str = "y",
@@ -55,22 +44,31 @@ def collapse_scores(scored: DataFrame, group_cols, score_col: str = "score", lab
         F.sum(y).alias("p"), (F.count(F.lit(1)) - F.sum(y)).alias("n"))
 
 
-def auc_from_counts(collapsed: DataFrame, group_cols, score_col: str = "_s", buckets: int = 64,
-                    split: bool | None = None) -> DataFrame:
-    """Exact AUC from (group..., score, p, n) rows unique per (group, score)."""
+LOW = 1 << 24
+
+
+def auc_from_counts(collapsed: DataFrame, group_cols, score_col: str = "_s",
+                    rows_per_bucket: int | None = None) -> DataFrame:
+    """Exact AUC from (group..., score, p, n) rows unique per (group, score).
+
+    ``sum p (2 below + n)`` is summed in whole numbers (two halves, put together as a
+    decimal), so it neither overflows nor depends on the order, up to 2^38 rows of a class.
+    """
     group_cols = list(group_cols)
-    if split is None:
-        split = needs_split(collapsed, group_cols)
-    ranked = exclusive_running_sums(collapsed, group_cols, score_col, ["n"], buckets=buckets,
-                                    split=split)
+    ranked = exclusive_running_sums(collapsed, group_cols, score_col, ["n"],
+                                    rows_per_bucket=rows_per_bucket)
+    v = F.col("n_below") * 2 + F.col("n")
     agg = ranked.groupBy(*group_cols).agg(
         F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg"),
-        F.sum(F.col("p") * (F.col("n_below") + F.col("n") * 0.5)).alias("_u"))
+        F.sum(F.col("p") * F.shiftright(v, 24)).alias("_hi"),
+        F.sum(F.col("p") * v.bitwiseAND(F.lit(LOW - 1).cast("bigint"))).alias("_lo"))
+    whole = F.col("_hi").cast("decimal(20,0)") * F.lit(LOW).cast("decimal(10,0)") + F.col(
+        "_lo").cast("decimal(20,0)")
+    pairs = F.col("n_pos").cast("double") * F.col("n_neg").cast("double") * 2
     return agg.select(
         *group_cols, F.col("n_pos").cast("bigint").alias("n_pos"),
         F.col("n_neg").cast("bigint").alias("n_neg"),
-        F.round(F.try_divide(F.col("_u"), (F.col("n_pos") * F.col("n_neg")).cast("double")),
-                AUC_DIGITS).alias("auc"))
+        F.round(F.try_divide(whole.cast("double"), pairs), AUC_DIGITS).alias("auc"))
 
 
 def macro_auc(aucs: DataFrame, group_cols, auc_col: str = "auc") -> DataFrame:

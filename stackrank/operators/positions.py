@@ -1,116 +1,104 @@
 """Exact positions and running sums inside groups, without one task per group.
 
-A plain ``row_number() OVER (PARTITION BY g ORDER BY ...)`` sends a whole group
-to one task; a target, a stratum or a score source can hold a third of all rows.
-Both helpers here give the *same* numbers as the single window. When the largest
-group is above ``stackrank.window.maxGroupRows`` (checked at runtime with one
-small aggregate, like AQE checks a join side before broadcasting) they split
-every group into value-defined sub-buckets that are monotone in the sort order:
-
-1. sub-bucket each row (hash prefix, or the per-group quantile bucket of a score);
-2. count / sum per (group, bucket) — a small table — and take an exclusive
-   cumulative sum over buckets: the offset of each bucket;
-3. number rows (or running-sum) inside (group, bucket) only, then add the offset.
-
-Buckets depend on values, not on partitioning, so recomputed tasks after an
-executor loss produce identical results. Below the limit the single window is
-used: one shuffle instead of five.
+A plain ``row_number() OVER (PARTITION BY g ORDER BY ...)`` sends a whole group to one
+task; a target, a stratum or a score source can hold a third of all rows. Both helpers
+here give the same numbers as the single window by one plan at every size:
+
+1. each row gets a sub-bucket that is monotone in the sort order: a hash prefix, or
+   the interval of the value between quantiles of its group. The number of buckets
+   follows from the group's rows (``rows_per_bucket`` rows each);
+2. counts / sums per (group, bucket), a table bounded by groups x buckets, give the
+   offset of each bucket;
+3. rows are numbered (or summed) inside (group, bucket) only and the offset is added.
+
+Groups are configuration (targets, folds, sources, features, grid points), so the
+tables of steps 1 and 2 are broadcast; the rows are shuffled once. Buckets depend on
+values, not on partitioning, so recomputed tasks after an executor loss agree.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stackrank.functions.hashing import h
 
-HASH_BITS = 32
-MAX_GROUP_ROWS_CONF = "stackrank.window.maxGroupRows"
-DEFAULT_MAX_GROUP_ROWS = 4_000_000
-# Upper bound on the rows of any group: every windowed group in the package holds
-# at most one row per entity, so the entity count (recorded when the mart is
-# materialised) bounds them all. Below the limit no size-check job is needed.
-ENTITY_ROWS_CONF = "stackrank.window.entityRows"
+HASH_BITS, FINE_BITS = 32, 12
+ROWS_PER_BUCKET = 1_000_000
+QUANTILES = 512           # at most so many value buckets of a group
+SAMPLE = 64               # quantiles are taken from about one row in SAMPLE
 
 
-def max_group_rows(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get(MAX_GROUP_ROWS_CONF, str(DEFAULT_MAX_GROUP_ROWS)))
-
-
-def needs_split(df: DataFrame, group_cols) -> bool:
-    """True when some group exceeds the configured row limit (0 = always split)."""
-    limit = max_group_rows(df)
-    if limit <= 0:
-        return True
-    bound = df.sparkSession.conf.get(ENTITY_ROWS_CONF, None)
-    if bound is not None and int(bound) <= limit:
-        return False
-    top = (df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_c"))
-             .agg(F.max("_c")).first()[0])
-    return (top or 0) > limit
-
-
-def record_entity_rows(spark, n: int) -> None:
-    """Raise the session's entity-row bound to at least ``n``."""
-    cur = spark.conf.get(ENTITY_ROWS_CONF, None)
-    if cur is None or int(cur) < n:
-        spark.conf.set(ENTITY_ROWS_CONF, str(int(n)))
+def _attach(df: DataFrame, small: DataFrame, cols: list) -> DataFrame:
+    """Join a table with one row per ``cols`` (bounded) to ``df``."""
+    small = F.broadcast(small)
+    return df.join(small, cols, "left") if cols else df.crossJoin(small)
 
 
 def hash_positions(df: DataFrame, group_cols, salt: str, id_col: str = "customer_id",
-                   out: str = "pos", bucket_bits: int = 12, hash_col: str = "_h",
-                   split: bool | None = None, hash_extra=()) -> DataFrame:
+                   out: str = "pos", hash_col: str = "_h", hash_extra=(),
+                   rows_per_bucket: int | None = None) -> DataFrame:
     """Add ``out`` = 0-based position inside ``group_cols`` ordered by
     (h(salt, *hash_extra, id), id).
 
     Also keeps the hash in ``hash_col`` (callers reuse it as a sort key).
     """
     group_cols = list(group_cols)
-    d = df.withColumn(hash_col, h(salt, *hash_extra, id_col))
-    if split is None:
-        split = needs_split(df, group_cols)
-    if not split:
-        w = Window.partitionBy(*group_cols).orderBy(hash_col, id_col)
-        return d.withColumn(out, (F.row_number().over(w) - 1).cast("bigint"))
-    d = d.withColumn("_b", F.shiftright(F.col(hash_col), HASH_BITS - bucket_bits))
-    counts = d.groupBy(*group_cols, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    w_off = Window.partitionBy(*group_cols).orderBy("_b").rowsBetween(
-        Window.unboundedPreceding, -1)
-    offsets = counts.select(*group_cols, "_b",
-                            F.coalesce(F.sum("_n").over(w_off), F.lit(0)).alias("_off"))
-    w_in = Window.partitionBy(*group_cols, "_b").orderBy(hash_col, id_col)
-    return (d.join(offsets, [*group_cols, "_b"])
-             .withColumn(out, (F.col("_off") + F.row_number().over(w_in) - 1).cast("bigint"))
-             .drop("_b", "_off"))
+    rows = rows_per_bucket or ROWS_PER_BUCKET
+    d = df.withColumn(hash_col, h(salt, *hash_extra, id_col)).withColumn(
+        "_f", F.shiftright(F.col(hash_col), HASH_BITS - FINE_BITS))
+    fine = d.groupBy(*group_cols, "_f").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(*group_cols)
+    # 2^bits buckets hold at most about ``rows`` rows each
+    bits = F.least(F.lit(FINE_BITS), F.greatest(F.lit(0), F.ceil(
+        F.log2(F.sum("_n").over(w) / F.lit(rows))))).cast("int")
+    fine = fine.withColumn("_b", F.floor(
+        F.col("_f") / F.pow(F.lit(2.0), F.lit(FINE_BITS) - bits)).cast("bigint"))
+    before = w.orderBy("_b").rangeBetween(Window.unboundedPreceding, -1)
+    fine = fine.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    inside = Window.partitionBy(*group_cols, "_b").orderBy(hash_col, id_col)
+    return (_attach(d, fine, [*group_cols, "_f"])
+            .withColumn(out, (F.col("_off") + F.row_number().over(inside) - 1).cast("bigint"))
+            .drop("_f", "_b", "_off"))
+
+
+def value_bounds(df: DataFrame, group_cols: list, value: str, by: str,
+                 rows_per_bucket: int | None = None) -> DataFrame:
+    """(group..., _q): ascending split points of ``value`` in each group, about one per
+    ``rows_per_bucket`` rows, from the rows whose hash of ``by`` falls on one in SAMPLE.
+    The sample only places the splits; results do not depend on it."""
+    rows = rows_per_bucket or ROWS_PER_BUCKET
+    some = df.where(F.pmod(F.xxhash64(by), F.lit(SAMPLE)) == 0)
+    q = some.groupBy(*group_cols).agg(
+        F.percentile_approx(value, [i / QUANTILES for i in range(1, QUANTILES)], 2_000).alias("_a"),
+        (F.count(F.lit(1)) * SAMPLE).alias("_n"))
+    step = F.greatest(F.lit(1), F.least(F.lit(QUANTILES), F.floor(
+        F.lit(float(rows)) * QUANTILES / F.col("_n")))).cast("int")
+    return q.withColumn("_k", step).select(*group_cols, F.array_distinct(F.filter(
+        "_a", lambda x, i: (i + 1) % F.col("_k") == 0)).alias("_q"))
+
+
+def bucket_of(value: str, bounds: str = "_q") -> Column:
+    """Number of bounds strictly below the value (binary search): monotone, and equal
+    values share a bucket."""
+    steps, s = [], 1
+    while s < QUANTILES:
+        steps.append(F.lit(s))
+        s *= 2
+    n = F.coalesce(F.size(bounds), F.lit(0))
+    return F.aggregate(F.array(*reversed(steps)), F.lit(0), lambda lo, k: F.when(
+        (lo + k <= n) & (F.try_element_at(F.col(bounds), lo + k) < F.col(value)), lo + k)
+        .otherwise(lo))
 
 
 def exclusive_running_sums(df: DataFrame, group_cols, order_col: str, sum_cols,
-                           buckets: int = 64, suffix: str = "_below",
-                           split: bool | None = None) -> DataFrame:
+                           suffix: str = "_below",
+                           rows_per_bucket: int | None = None) -> DataFrame:
     """For rows unique per (group, order_col): add ``<c>_below`` = sum of ``c`` over
-    rows of the same group with a strictly smaller ``order_col``.
-
-    Split path: buckets are per-group approximate quantiles of ``order_col`` (a
-    small aggregate with map-side partials); the bucket index counts bounds
-    strictly below the value, so it is monotone in the order and equal values
-    share a bucket.
-    """
+    rows of the same group with a strictly smaller ``order_col``."""
     group_cols, sum_cols = list(group_cols), list(sum_cols)
-    if split is None:
-        split = needs_split(df, group_cols)
-    if not split:
-        w = Window.partitionBy(*group_cols).orderBy(order_col).rowsBetween(
-            Window.unboundedPreceding, -1)
-        out = df
-        for c in sum_cols:
-            out = out.withColumn(c + suffix, F.coalesce(F.sum(c).over(w), F.lit(0)))
-        return out
-    qs = [i / buckets for i in range(1, buckets)]
-    bounds = df.groupBy(*group_cols).agg(
-        F.percentile_approx(order_col, qs, 10000).alias("_q"))
-    d = (df.join(bounds, group_cols)
-           .withColumn("_b", F.size(F.filter("_q", lambda q: q < F.col(order_col))))
-           .drop("_q"))
+    bounds = value_bounds(df, group_cols, order_col, order_col, rows_per_bucket)
+    d = _attach(df, bounds, group_cols).withColumn("_b", bucket_of(order_col)).drop("_q")
     tot = d.groupBy(*group_cols, "_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
     w_off = Window.partitionBy(*group_cols).orderBy("_b").rowsBetween(
         Window.unboundedPreceding, -1)
@@ -118,7 +106,7 @@ def exclusive_running_sums(df: DataFrame, group_cols, order_col: str, sum_cols,
         F.coalesce(F.sum(f"_t_{c}").over(w_off), F.lit(0)).alias(f"_o_{c}") for c in sum_cols])
     w_in = Window.partitionBy(*group_cols, "_b").orderBy(order_col).rowsBetween(
         Window.unboundedPreceding, -1)
-    out = d.join(offsets, [*group_cols, "_b"])
+    out = _attach(d, offsets, [*group_cols, "_b"])
     for c in sum_cols:
         out = out.withColumn(
             c + suffix, F.col(f"_o_{c}") + F.coalesce(F.sum(c).over(w_in), F.lit(0)))

@@ -12,51 +12,51 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stackrank.functions.hashing import h
-from stackrank.operators.positions import exclusive_running_sums, hash_positions, needs_split
+from stackrank.operators.positions import (_attach, bucket_of, exclusive_running_sums,
+                                           value_bounds)
 
 TIE_SALT = "tie"
 
 
 def rank_normalize(df: DataFrame, group_cols, score_col: str = "score",
                    id_col: str = "customer_id", out: str = "rank_score",
-                   split: bool | None = None) -> DataFrame:
-    """Add ``out`` = position / (n - 1) under the order (score, h(id), id); 0 if n = 1."""
-    group_cols = list(group_cols)
-    if split is None:
-        split = needs_split(df, group_cols)
-    if not split:
-        w = Window.partitionBy(*group_cols)
-        wo = w.orderBy(score_col, h(TIE_SALT, id_col), id_col)
-        n = F.count(F.lit(1)).over(w)
-        return df.withColumn(out, F.when(n > 1, (F.row_number().over(wo) - 1) / (n - 1))
-                             .otherwise(F.lit(0.0)))
-    collapsed = df.groupBy(*group_cols, score_col).agg(F.count(F.lit(1)).alias("c"))
-    below = exclusive_running_sums(collapsed, group_cols, score_col, ["c"], split=True)
-    n = collapsed.groupBy(*group_cols).agg(F.sum("c").alias("_n"))
-    tie = hash_positions(df, [*group_cols, score_col], TIE_SALT, id_col, out="_tp", split=True)
-    out_df = (tie.join(below.select(*group_cols, score_col, "c_below"), [*group_cols, score_col])
-                 .join(n, group_cols))
-    pos = F.col("c_below") + F.col("_tp")
-    return (out_df.withColumn(out, F.when(F.col("_n") > 1, pos / (F.col("_n") - 1))
-                              .otherwise(F.lit(0.0)))
-                  .drop("c_below", "_tp", "_n", "_h"))
+                   rows_per_bucket: int | None = None) -> DataFrame:
+    """Add ``out`` = position / (n - 1) under the order (score, h(id), id); 0 if n = 1.
 
-
-def rank_average(df: DataFrame, group_cols, score_col: str = "score",
-                 out: str = "rank_avg", split: bool | None = None) -> DataFrame:
+    Rows fall into the score interval of their group; rows whose score equals a split
+    point (a score that ties many rows is one) are cut again by their hash. The rows
+    are shuffled once, by (group, bucket).
+    """
+    group_cols = list(group_cols)
+    bounds = value_bounds(df, group_cols, score_col, id_col, rows_per_bucket)
+    d = _attach(df, bounds, group_cols).withColumn("_h", h(TIE_SALT, id_col))
+    d = d.withColumn("_b", bucket_of(score_col))
+    tied = F.coalesce(F.try_element_at(F.col("_q"), F.col("_b") + 1) == F.col(score_col),
+                      F.lit(False))
+    # within an interval the split point itself comes last, its rows by hash prefix
+    d = d.withColumn("_s", F.when(tied, F.shiftright("_h", 24) + 1).otherwise(F.lit(0))).drop("_q")
+    w = Window.partitionBy(*group_cols)
+    before = w.orderBy("_b", "_s").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = d.groupBy(*group_cols, "_b", "_s").agg(F.count(F.lit(1)).alias("_c")).select(
+        *group_cols, "_b", "_s", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"),
+        F.sum("_c").over(w).alias("_n"))
+    inside = Window.partitionBy(*group_cols, "_b", "_s").orderBy(score_col, "_h", id_col)
+    pos = F.col("_off") + F.row_number().over(inside) - 1
+    return (_attach(d, offsets, [*group_cols, "_b", "_s"])
+            .withColumn(out, F.when(F.col("_n") > 1, pos / (F.col("_n") - 1))
+                        .otherwise(F.lit(0.0)))
+            .drop("_b", "_s", "_off", "_n", "_h"))
+
+
+def rank_average(df: DataFrame, group_cols, score_col: str = "score", out: str = "rank_avg",
+                 rows_per_bucket: int | None = None) -> DataFrame:
     """Add ``out`` = average 1-based rank of the score / n (ties share the mean)."""
     group_cols = list(group_cols)
-    if split is None:
-        split = needs_split(df, group_cols)
-    if not split:
-        w = Window.partitionBy(*group_cols)
-        ties = F.count(F.lit(1)).over(Window.partitionBy(*group_cols, score_col))
-        return df.withColumn(out, (F.rank().over(w.orderBy(score_col)) + (ties - 1) / 2.0)
-                             / F.count(F.lit(1)).over(w))
     collapsed = df.groupBy(*group_cols, score_col).agg(F.count(F.lit(1)).alias("c"))
-    below = exclusive_running_sums(collapsed, group_cols, score_col, ["c"], split=True)
+    below = exclusive_running_sums(collapsed, group_cols, score_col, ["c"],
+                                   rows_per_bucket=rows_per_bucket)
     n = collapsed.groupBy(*group_cols).agg(F.sum("c").alias("_n"))
-    ranked = below.join(n, group_cols).select(
+    ranked = _attach(below, n, group_cols).select(
         *group_cols, score_col,
         ((F.col("c_below") + (F.col("c") + 1) / 2.0) / F.col("_n")).alias(out))
     return df.join(ranked, [*group_cols, score_col])

@@ -21,13 +21,12 @@ from pyspark.sql import functions as F
 
 from stackrank.operators.blend import grid_units, simplex_grid
 from stackrank.operators.metrics import AUC_DIGITS, exact_auc
-from stackrank.operators.positions import needs_split
 
 # Default fixed weights of the top-2 and top-3 modes.
 TOP2_WEIGHTS = (0.65, 0.35)
 TOP3_WEIGHTS = (0.45, 0.35, 0.20)
 MODE_WIDTH = {"winner": 1, "top2_weighted": 2, "top3_weighted": 3, "optimize_weights": 1}
-OPT_ALPHA, OPT_MIN_W, OPT_MAX_W, OPT_ROWS = 0.1, 0.01, 0.99, 150_000
+OPT_ALPHA, OPT_MIN_W, OPT_MAX_W = 0.1, 0.01, 0.99
 
 
 def normalise_weights(spark: SparkSession, weights, width: int) -> DataFrame:
@@ -103,23 +102,23 @@ def fixed_mode_weights(spark: SparkSession, pool: DataFrame, mode: str) -> DataF
 
 def optimized_weights(spark: SparkSession, pool: DataFrame, oof: DataFrame, labels: DataFrame,
                       step: float = 0.05, alpha: float = OPT_ALPHA, min_w: float = OPT_MIN_W,
-                      max_w: float = OPT_MAX_W, fit_rows: DataFrame | None = None,
-                      max_width: int = 3) -> DataFrame:
+                      max_w: float = OPT_MAX_W) -> DataFrame:
     """L9 + L10 (re-aimed): maximise AUC - alpha * sum((w - 1/n)^2) over the simplex
     grid restricted to [min_w, max_w] (feasible by construction), per target.
 
     The pool's scores are pivoted into rank columns r_1..r_m per (target, id), then
     crossed with the broadcast grid of the pool's width: the blend is a narrow
     projection, the only shuffle is the AUC's. A one-source pool takes weight 1
-    (the bounds cannot hold for it); constant targets get uniform weights.
-    ``fit_rows`` (target, customer_id) restricts the rows of the objective.
+    (the bounds cannot hold for it); constant targets get uniform weights. The width is
+    that of the widest pool (``candidate_pool``'s cap keeps it small: the grid has
+    C(1/step + width - 1, width - 1) points); all rows take part.
     """
+    max_width = pool.groupBy("target").count().agg(F.max("count")).first()[0] or 1
     for n in range(2, max_width + 1):   # L10: bounds must admit weights summing to 1
         if n * min_w > 1 + 1e-12 or n * max_w < 1 - 1e-12:
             raise ValueError(f"infeasible weight bounds [{min_w}, {max_w}] for {n} sources")
     r = pool.withColumn("rank", F.row_number().over(
-        Window.partitionBy("target").orderBy("ord")).cast("int")).filter(
-        F.col("rank") <= max_width)
+        Window.partitionBy("target").orderBy("ord")).cast("int"))
     widths = r.groupBy("target").agg(F.count(F.lit(1)).cast("int").alias("width"),
                                      F.first("is_constant").alias("is_constant"))
     grids = []
@@ -138,8 +137,6 @@ def optimized_weights(spark: SparkSession, pool: DataFrame, oof: DataFrame, labe
     for g in grids[1:]:
         grid = grid.unionByName(g)
     rows = oof.join(r.select("target", "source", "rank"), ["target", "source"])
-    if fit_rows is not None:
-        rows = rows.join(fit_rows, ["target", "customer_id"], "left_semi")
     wide = (rows.groupBy("target", "customer_id")
                 .agg(*[F.max(F.when(F.col("rank") == i, F.col("score"))).alias(f"r_{i}")
                        for i in range(1, max_width + 1)])
@@ -150,8 +147,7 @@ def optimized_weights(spark: SparkSession, pool: DataFrame, oof: DataFrame, labe
     # Grid sizes are fixed by (width, step): bounded, broadcast.
     scored = wide.join(F.broadcast(grid), "width").select("target", "grid_id", "y",
                                                           blend.alias("score"))
-    split = needs_split(wide, ["target"])
-    aucs = exact_auc(scored, ["target", "grid_id"], split=split, score_digits=None)
+    aucs = exact_auc(scored, ["target", "grid_id"], score_digits=None)
     obj = (aucs.join(widths.select("target", "width"), "target")
                .join(F.broadcast(grid.select("width", "grid_id", "pen")), ["width", "grid_id"])
                .withColumn("objective",
@@ -168,22 +164,34 @@ def optimized_weights(spark: SparkSession, pool: DataFrame, oof: DataFrame, labe
     return chosen.unionByName(uniform)
 
 
-def apply_weights(preds: DataFrame, weights: DataFrame, max_width: int = 3) -> DataFrame:
+def apply_weights(preds: DataFrame, weights: DataFrame) -> DataFrame:
     """(split, target, customer_id, score): w_1*s_1 + w_2*s_2 + ... in rank order.
 
-    The weights table is broadcast (at most targets x width rows). The sum is an
-    explicit expression in rank order, not an aggregate ``sum``, so the result is
-    the same double whatever the row order (no rounding needed downstream).
+    The weights table is broadcast (at most targets x sources rows). The terms of a row
+    are added in rank order, whatever their number, so the result is the same double
+    whatever the row order (no rounding needed downstream). A prediction with a target
+    that has no weight is an error of the routing, not a null: ``require_covered``.
     """
     j = preds.join(F.broadcast(weights.select("target", "source", "rank", "weight")),
                    ["target", "source"])
-    piv = j.groupBy("split", "target", "customer_id").agg(*[
-        F.max(F.when(F.col("rank") == i, F.col("weight") * F.col("score"))).alias(f"_p{i}")
-        for i in range(1, max_width + 1)])
-    expr = F.coalesce(F.col("_p1"), F.lit(0.0))
-    for i in range(2, max_width + 1):
-        expr = expr + F.coalesce(F.col(f"_p{i}"), F.lit(0.0))
-    return piv.select("split", "target", "customer_id", expr.alias("score"))
+    terms = F.sort_array(F.collect_list(F.struct(
+        "rank", (F.col("weight") * F.col("score")).alias("t"))))
+    return j.groupBy("split", "target", "customer_id").agg(terms.alias("_t")).select(
+        "split", "target", "customer_id",
+        F.aggregate("_t", F.lit(0.0), lambda a, x: a + F.coalesce(x["t"], F.lit(0.0)))
+        .alias("score"))
+
+
+def require_covered(labels: DataFrame, preds: DataFrame) -> DataFrame:
+    """(target, n_sources); raises for targets that no source covers."""
+    cov = (labels.select("target").distinct()
+           .join(preds.filter("split = 'oof'").select("target", "source").distinct(),
+                 "target", "left")
+           .groupBy("target").agg(F.count("source").cast("bigint").alias("n_sources")))
+    bare = [r["target"] for r in cov.where("n_sources = 0").collect()]   # bounded by targets
+    if bare:
+        raise ValueError(f"targets without a source: {sorted(bare)}")
+    return cov
 
 
 def final_aucs(routed: DataFrame, labels: DataFrame) -> DataFrame:
@@ -212,12 +220,16 @@ def source_usage(manifest: DataFrame, pools: DataFrame, weights: DataFrame) -> D
 
 def source_fingerprints(preds: DataFrame) -> DataFrame:
     """L12 (re-aimed): order-free content fingerprint per source:
-    (source, n_rows, fp) with fp = sum of a 32-bit hash of (split, target, id, score)."""
-    from stackrank.functions.hashing import h
+    (source, n_rows, fp): sums of two independent 64-bit hashes of (split, target, id,
+    score) as decimals (no overflow) and their xor."""
     scaled = F.round(F.col("score") * 1e9).cast("bigint")
+    keys = ["split", "target", "customer_id", scaled]
+    one, two = F.xxhash64(F.lit(1), *keys), F.xxhash64(F.lit(2), *keys)
     return preds.groupBy("source").agg(
         F.count(F.lit(1)).alias("n_rows"),
-        F.sum(h("fp", "split", "target", "customer_id", scaled)).alias("fp"))
+        F.struct(F.sum(one.cast("decimal(20,0)")).alias("a"),
+                 F.sum(two.cast("decimal(20,0)")).alias("b"),
+                 F.bit_xor(one).alias("x")).alias("fp"))
 
 
 def duplicate_sources(preds: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -233,17 +245,16 @@ def duplicate_sources(preds: DataFrame, manifest: DataFrame) -> DataFrame:
 def id_alignment(preds: DataFrame, mart: DataFrame) -> DataFrame:
     """B2: per (source, split) ids present, ids missing from the source and ids the
     source has that the split does not (sets, not row order)."""
-    ids = (mart.select("customer_id", F.when(F.col("is_test") == 1, F.lit("test"))
-                       .otherwise(F.lit("oof")).alias("split")))
-    src_ids = preds.select("source", "split", "customer_id").distinct()
-    pairs = src_ids.select("source", "split").distinct()
-    expected = pairs.join(ids, "split")
-    missing = expected.join(src_ids, ["source", "split", "customer_id"], "left_anti").groupBy(
-        "source", "split").agg(F.count(F.lit(1)).alias("n_missing"))
-    extra = src_ids.join(ids, ["split", "customer_id"], "left_anti").groupBy(
-        "source", "split").agg(F.count(F.lit(1)).alias("n_extra"))
-    present = src_ids.groupBy("source", "split").agg(F.count(F.lit(1)).alias("n_ids"))
-    return (present.join(missing, ["source", "split"], "left").join(extra, ["source", "split"], "left")
-                   .select("source", "split", F.col("n_ids").cast("bigint").alias("n_ids"),
-                           F.coalesce("n_missing", F.lit(0)).cast("bigint").alias("n_missing"),
-                           F.coalesce("n_extra", F.lit(0)).cast("bigint").alias("n_extra")))
+    ids = mart.select("customer_id", F.when(F.col("is_test") == 1, F.lit("test"))
+                      .otherwise(F.lit("oof")).alias("_own"))
+    have = preds.select("source", "split", "customer_id").distinct().join(ids, "customer_id",
+                                                                          "left")
+    inside = F.col("_own").eqNullSafe(F.col("split"))
+    got = have.groupBy("source", "split").agg(
+        F.count(F.lit(1)).cast("bigint").alias("n_ids"),
+        F.sum(inside.cast("bigint")).alias("_in"))
+    size = ids.groupBy(F.col("_own").alias("split")).agg(F.count(F.lit(1)).alias("_all"))
+    return got.join(F.broadcast(size), "split", "left").select(   # two rows
+        "source", "split", "n_ids",
+        (F.coalesce("_all", F.lit(0)) - F.col("_in")).cast("bigint").alias("n_missing"),
+        (F.col("n_ids") - F.col("_in")).cast("bigint").alias("n_extra"))

@@ -373,22 +373,25 @@ def q_quantize(spark, sf_dir):
 # -- D8 / D9 ----------------------------------------------------------------------------------------
 @query("impute_median", with_ctes(
     "SELECT e.customer_id, e.pos, round(coalesce(e.value, m.med), 6) AS value FROM extra_long e "
-    "JOIN (SELECT pos, median(value) AS med FROM extra_long GROUP BY pos) m USING (pos)",
+    "JOIN (SELECT pos, median(value) AS med FROM extra_long WHERE is_test = 0 GROUP BY pos) m USING (pos)",
     "extra_long"))
 def q_impute_median(spark, sf_dir):
-    long = context(spark, sf_dir).extra_long.select("customer_id", "pos", "value")
-    return EN.median_impute_long(long).withColumn("value", F.round("value", 6))
+    long = context(spark, sf_dir).extra_long
+    return EN.median_impute_long(long.drop("is_test"), fit=long.filter("is_test = 0")).withColumn(
+        "value", F.round("value", 6))
 
 
 @query("standardize", with_ctes(
     "SELECT e.customer_id, e.pos, round((e.value - s.mu) / CASE WHEN s.sd IS NULL OR s.sd = 0 "
     "THEN 1.0 ELSE s.sd END, 6) AS value FROM extra_long e JOIN (SELECT pos, avg(value) AS mu, "
-    "stddev_pop(value) AS sd FROM extra_long GROUP BY pos) s USING (pos)", "extra_long"))
+    "stddev_pop(value) AS sd FROM extra_long WHERE is_test = 0 GROUP BY pos) s USING (pos)",
+    "extra_long"))
 def q_standardize(spark, sf_dir):
-    long = context(spark, sf_dir).extra_long.select("customer_id", "pos", "value")
+    long = context(spark, sf_dir).extra_long
     # Mean and deviation are sums whose order varies between runs; 6 decimals keep
     # that noise (~1e-16) away from the rounding boundary.
-    return EN.standardize_long(long).withColumn("value", F.round("value", 6))
+    return EN.standardize_long(long.drop("is_test"), fit=long.filter("is_test = 0")).withColumn(
+        "value", F.round("value", 6))
 
 
 # -- D4 / D5 / D6 -----------------------------------------------------------------------------------

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stackrank.operators import route as R
-from stackrank.operators.sampling import sample_stratified
 from stackrank.plans.catalog import query
 from stackrank.plans.sqlblocks import block, with_ctes
 from stackrank.sources import mart as MT
@@ -172,13 +171,12 @@ WHERE w.is_constant"""),
 
 @query("route_optimized", _opt_sql())
 def q_route_optimized(spark, sf_dir):
-    """L9 + L10 (re-aimed): regularised bounded grid search on a class-preserving
-    fit sample of at most 150,000 rows per target (all rows at this scale)."""
+    """L9 + L10 (re-aimed): regularised bounded grid search over all rows; the pool's cap
+    (L8) keeps the three best sources of a target."""
     ctx = context(spark, sf_dir)
     _, pool = _routing(ctx, "optimize_weights", 0.0, OPT_CAP)
-    fit = cut(sample_stratified(ctx.labels, R.OPT_ROWS, clamp="n").select("target", "customer_id"))
     oof = ctx.preds.filter("split = 'oof'")
-    w = cut(R.optimized_weights(spark, pool, oof, ctx.labels, fit_rows=fit, max_width=OPT_CAP))
+    w = cut(R.optimized_weights(spark, pool, oof, ctx.labels))
     fa = R.final_aucs(R.apply_weights(ctx.preds, w), ctx.labels)
     return w.join(fa, "target", "left")
 
@@ -190,11 +188,7 @@ def q_route_optimized(spark, sf_dir):
 def q_source_coverage(spark, sf_dir):
     """Sources covering each target (a target with none is an error)."""
     ctx = context(spark, sf_dir)
-    cov = (ctx.labels.select("target").distinct()
-           .join(ctx.preds.filter("split = 'oof'").select("target", "source").distinct(),
-                 "target", "left")
-           .groupBy("target").agg(F.count("source").cast("bigint").alias("n_sources")))
-    return cov
+    return R.require_covered(ctx.labels, ctx.preds)
 
 
 @query("source_duplicates", with_ctes("""SELECT source, first_source AS duplicate_of FROM (
@@ -293,13 +287,23 @@ def q_submission(spark, sf_dir):
     wide = x.groupBy("customer_id").agg(*[
         F.max(F.when(F.col("target") == t, F.col("score"))).cast("double").alias(c)
         for t, c in zip(MT.TARGETS, _sub_cols)])
-    extra_ids = wide.join(sample, "customer_id", "left_anti")   # Q2: ids must match the sample
-    out = sample.join(wide, "customer_id", "left")
-    return out.select("customer_id", *_sub_cols) if extra_ids.isEmpty() else _raise_ids()
-
-
-def _raise_ids():
-    raise ValueError("prediction ids outside the sample")
+    return assemble_submission(sample, wide, _sub_cols)
+
+
+def assemble_submission(sample, wide, columns):
+    """One row per sample id with every column filled. Raises on a missing column, ids
+    outside the sample (Q2), ids without a prediction, and empty cells."""
+    lacking = [c for c in columns if c not in wide.columns]
+    if lacking:
+        raise ValueError(f"columns without predictions: {lacking}")
+    both = cut(sample.withColumn("_s", F.lit(1)).join(wide.withColumn("_w", F.lit(1)),
+                                                      "customer_id", "full"))
+    bad = both.agg(F.count(F.when(F.col("_s").isNull(), 1)).alias("extra"),
+                   F.count(F.when(F.col("_w").isNull(), 1)).alias("missing"),
+                   *[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in columns]).first()
+    if any(bad):
+        raise ValueError(f"submission does not fit the sample: {bad.asDict()}")
+    return both.select("customer_id", *columns)
 
 
 @query("id_alignment", with_ctes("""SELECT s.source, s.split, s.n_ids::BIGINT AS n_ids,

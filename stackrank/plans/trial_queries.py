@@ -92,14 +92,18 @@ def _evals(ctx):
     train = ctx.labels.join(ctx.folds, "customer_id").join(vals, "customer_id")
     from stackrank.operators.encode import smoothed_stats
     stats, gm = smoothed_stats(train, ["target", "col"])
-    scored = (train.join(F.broadcast(params), ["target", "col"])   # targets x trials rows
-                   .join(stats, ["target", "col", "value", "fold"])
-                   .join(gm, ["target", "col"])
-                   .select("target", "trial", "fold", "y",
-                           (((F.col("ty") - F.col("sy")) + F.col("gm") * F.col("alpha"))
-                            / ((F.col("tn") - F.col("n")) + F.col("alpha"))).alias("score")))
-    # One collapse per (target, trial, fold, score); the OOF counts re-aggregate it.
-    per_fold = cut(M.collapse_scores(scored, ["target", "trial", "fold"]))
+    # A score depends on (target, column, value, fold) alone: the cells of the count table
+    # are scored for all trials, the rows are not read again.
+    cells = (cut(stats).join(F.broadcast(params), ["target", "col"])   # targets x trials rows
+                       .join(F.broadcast(gm.select("target", "col", F.col("gm").alias("_gm"))),
+                             ["target", "col"])
+                       .select("target", "trial", "fold", F.col("sy").cast("bigint").alias("p"),
+                               (F.col("n") - F.col("sy")).cast("bigint").alias("n"),
+                               F.round(((F.col("ty") - F.col("sy")) + F.col("_gm") * F.col("alpha"))
+                                       / ((F.col("tn") - F.col("n")) + F.col("alpha")),
+                                       M.SCORE_DIGITS).alias("_s")))
+    per_fold = cut(cells.groupBy("target", "trial", "fold", "_s").agg(
+        F.sum("p").alias("p"), F.sum("n").alias("n")))
     oof_counts = per_fold.groupBy("target", "trial", "_s").agg(F.sum("p").alias("p"),
                                                               F.sum("n").alias("n"))
     oof = M.auc_from_counts(oof_counts, ["target", "trial"])

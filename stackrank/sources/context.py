@@ -3,15 +3,16 @@
 Mart, labels, folds and prediction sources feed almost every query, and each is
 referenced several times inside one plan (folds read the labels four times,
 every source reads labels and folds). Left lazy, Spark re-derives them in every
-branch. They are therefore cut once per session with a *reliable* checkpoint
-into ``spark.checkpoint.dir`` (a shared folder on a cluster): later plans start
+branch. They are therefore written once per session below ``spark.checkpoint.dir`` (a shared
+folder on a cluster), as Parquet tables or a reliable checkpoint: later plans start
 from those files, and a lost executor re-reads them instead of recomputing the
-lineage. Never ``localCheckpoint``.
+lineage.
 """
 
 from __future__ import annotations
 
-import os
+import hashlib
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,12 +21,12 @@ from stackrank.session import ensure_checkpoint_dir
 _MEMO: dict[tuple, DataFrame] = {}
 
 
-def _stamp(sf_dir: str) -> tuple:
-    try:
-        return tuple(sorted((f, os.path.getmtime(os.path.join(sf_dir, f)))
-                            for f in os.listdir(sf_dir)))
-    except OSError:
-        return ()
+def _stamp(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names, sizes and times of the input files, by Hadoop's file system (any store)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime())
+                        for f in fs.listStatus(path)))
 
 
 BUCKETED_CONF = "stackrank.context.bucketed"
@@ -36,29 +37,31 @@ def _bucket_count(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def materialize(spark: SparkSession, key: tuple, build, bucket: bool = False) -> DataFrame:
-    """Materialise once per session. Entity-keyed tables (``bucket=True``) are written
-    as tables bucketed and sorted by ``customer_id`` in the session's warehouse, so
-    joins and aggregations between them on the entity key need no shuffle; other
-    results (and any failure to write a table) use a reliable checkpoint."""
-    ensure_checkpoint_dir(spark)
+def materialize(spark: SparkSession, key: tuple, build, bucket: bool = False,
+                partition: tuple = ()) -> DataFrame:
+    """Materialise once per session in the shared checkpoint folder. Entity-keyed tables
+    (``bucket=True``) are bucketed and sorted by ``customer_id``, so joins and
+    aggregations between them on the entity key need no shuffle; tables with
+    ``partition`` columns are Parquet folders by them, so that filters on these skip
+    files; other results use a reliable checkpoint."""
+    base = ensure_checkpoint_dir(spark)
     k = (spark.sparkContext.applicationId, *key)
     df = _MEMO.get(k)
     if df is not None:
         return df
     built = build()
-    if bucket and BUCKET_KEY in built.columns and \
+    name = f"stackrank_{hashlib.md5(repr(k).encode()).hexdigest()[:16]}_{uuid.uuid4().hex[:8]}"
+    path = f"{base.rstrip('/')}/stackrank-tables/{name}"
+    if partition:
+        built.write.partitionBy(*partition).parquet(path)
+        df = spark.read.schema(built.schema).parquet(path).select(*built.columns)
+    elif bucket and BUCKET_KEY in built.columns and \
             spark.conf.get(BUCKETED_CONF, "true").lower() == "true":
-        import hashlib
-        name = "stackrank_" + hashlib.md5(repr(k).encode()).hexdigest()[:16]
-        try:
-            # Matching join keys on bucketed sides need not cover all join columns.
-            spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
-            (built.write.mode("overwrite").bucketBy(_bucket_count(spark), BUCKET_KEY)
-                  .sortBy(BUCKET_KEY).saveAsTable(name))
-            df = spark.table(name)
-        except Exception:  # noqa: BLE001 — no writable warehouse: fall back to a checkpoint
-            df = built.checkpoint(eager=True)
+        # Matching join keys on bucketed sides need not cover all join columns.
+        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+        (built.write.option("path", path).bucketBy(_bucket_count(spark), BUCKET_KEY)
+              .sortBy(BUCKET_KEY).saveAsTable(name))
+        df = spark.table(name)
     else:
         df = built.checkpoint(eager=True)
     _MEMO[k] = df
@@ -70,26 +73,21 @@ class Context:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
-        self._key = (os.path.abspath(sf_dir), _stamp(sf_dir))
+        self._key = (sf_dir.rstrip("/"), _stamp(spark, sf_dir))
 
-    # Entity tables joined with each other on customer_id in most plans; the large
-    # long tables (sources, extra block) are grouped by other keys and stay
-    # checkpoints (a bucketed, sorted write of them costs more than it saves).
+    # Entity tables joined with each other on customer_id in most plans; the prediction
+    # sources are read by (split, source) and are folders by these.
     BUCKETED = ("mart", "labels", "folds")
+    PARTITIONED = {"preds": ("split", "source"), "oof_scored": ("source",)}
 
     def _get(self, name: str, build) -> DataFrame:
-        return materialize(self.spark, (*self._key, name), build, bucket=name in self.BUCKETED)
+        return materialize(self.spark, (*self._key, name), build, bucket=name in self.BUCKETED,
+                           partition=self.PARTITIONED.get(name, ()))
 
     @property
     def mart(self) -> DataFrame:
-        from stackrank.operators.positions import record_entity_rows
         from stackrank.sources.mart import build_mart
-        k = (self.spark.sparkContext.applicationId, *self._key, "mart")
-        fresh = k not in _MEMO
-        m = self._get("mart", lambda: build_mart(self.spark, self.sf_dir))
-        if fresh:
-            record_entity_rows(self.spark, m.count())
-        return m
+        return self._get("mart", lambda: build_mart(self.spark, self.sf_dir))
 
     @property
     def labels(self) -> DataFrame:
@@ -109,8 +107,10 @@ class Context:
 
     @property
     def extra_long(self) -> DataFrame:
+        """The extra block in long form, exploded from the mart's array inside each plan
+        (right below its partial aggregation): never written out."""
         from stackrank.sources.mart import extra_long
-        return self._get("extra_long", lambda: extra_long(self.mart))
+        return extra_long(self.mart)
 
     def oof_scored(self) -> DataFrame:
         """OOF predictions joined to their labels by key (never by row order).

@@ -3,23 +3,23 @@
 Base models write their predictions into the prediction sink (Parquet,
 partitioned by ``source``). A file-source stream over that folder picks up every
 new source; each micro-batch joins the OOF rows to the labels (a static table)
-and appends exact AUCs per (target, source) to a score table. ``foreachBatch``
-writes each batch into its own ``batch=<id>`` folder with overwrite, so a batch
-replayed after a failure replaces its own output (exactly-once effect); the
+and appends positives and negatives per (target, source, score) to a count table.
+``foreachBatch`` writes each batch into its own ``batch=<id>`` folder with overwrite, so
+a batch replayed after a failure replaces its own output (exactly-once effect); the
 stream's progress lives in a checkpoint under the shared checkpoint folder.
 
-A source is expected to land in one write (one commit of its files); the reader
-keeps, per (target, source), the row of the latest batch.
+Counts add up, so a source may land in any number of writes: the reader merges all
+batches and computes the exact AUCs of everything seen so far.
 """
 
 from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackrank.operators.metrics import exact_auc
+from stackrank.operators.metrics import auc_from_counts, collapse_scores
 
 PRED_SCHEMA = "split STRING, target STRING, customer_id BIGINT, score DOUBLE, source STRING"
 
@@ -31,9 +31,8 @@ def start_scoring(spark: SparkSession, pred_dir: str, labels: DataFrame, score_d
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         oof = batch.filter("split = 'oof'").join(labels, ["target", "customer_id"])
-        aucs = exact_auc(oof, ["target", "source"], split=False)
-        (aucs.withColumn("batch", F.lit(batch_id))
-             .write.mode("overwrite").parquet(os.path.join(score_dir, f"batch={batch_id}")))
+        counts = collapse_scores(oof, ["target", "source"])
+        counts.write.mode("overwrite").parquet(os.path.join(score_dir, f"batch={batch_id}"))
 
     w = stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint_dir)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
@@ -41,8 +40,7 @@ def start_scoring(spark: SparkSession, pred_dir: str, labels: DataFrame, score_d
 
 
 def read_scores(spark: SparkSession, score_dir: str) -> DataFrame:
-    """(target, source, n_pos, n_neg, auc): the latest batch's row per (target, source)."""
-    df = spark.read.parquet(score_dir)
-    w = Window.partitionBy("target", "source").orderBy(F.col("batch").desc())
-    return (df.withColumn("_r", F.row_number().over(w)).filter("_r = 1")
-              .select("target", "source", "n_pos", "n_neg", "auc"))
+    """(target, source, n_pos, n_neg, auc) over all batches."""
+    counts = spark.read.parquet(score_dir).groupBy("target", "source", "_s").agg(
+        F.sum("p").alias("p"), F.sum("n").alias("n"))
+    return auc_from_counts(counts, ["target", "source"])

@@ -3,12 +3,17 @@
 import math
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from stackrank.functions.hashing import h
+
 from stackrank.operators import blend as B
 from stackrank.operators import metrics as M
-from stackrank.operators.positions import MAX_GROUP_ROWS_CONF, hash_positions
+from stackrank.operators import route as R
+from stackrank.operators.positions import hash_positions
 from stackrank.operators.rank import rank_average, rank_normalize
+from stackrank.plans.route_queries import assemble_submission
 
 
 def _scored(spark, scores, labels, group="g"):
@@ -17,18 +22,18 @@ def _scored(spark, scores, labels, group="g"):
         "g STRING, customer_id BIGINT, score DOUBLE, y INT")
 
 
-@pytest.mark.parametrize("split", [False, True])
-def test_auc_ties_count_half(spark, split):
+@pytest.mark.parametrize("rows", [None, 1])
+def test_auc_ties_count_half(spark, rows):
     df = _scored(spark, [1, 1, 1, 2], [0, 1, 0, 1])
-    r = M.exact_auc(df, ["g"], split=split).first()
+    r = M.exact_auc(df, ["g"], rows_per_bucket=rows).first()
     assert r.auc == pytest.approx(0.75)
     assert (r.n_pos, r.n_neg) == (2, 2)
 
 
-@pytest.mark.parametrize("split", [False, True])
-def test_auc_constant_label_is_null(spark, split):
+@pytest.mark.parametrize("rows", [None, 1])
+def test_auc_constant_label_is_null(spark, rows):
     df = _scored(spark, [0.1, 0.2, 0.3], [0, 0, 0])
-    assert M.exact_auc(df, ["g"], split=split).first().auc is None
+    assert M.exact_auc(df, ["g"], rows_per_bucket=rows).first().auc is None
 
 
 def test_macro_skips_null(spark):
@@ -38,52 +43,78 @@ def test_macro_skips_null(spark):
     assert r.n_scored == 2 and r.macro_auc == pytest.approx(0.7)
 
 
-@pytest.mark.parametrize("split", [False, True])
-def test_rank_normalize_ties_and_single(spark, split):
+@pytest.mark.parametrize("rows", [None, 1])
+def test_rank_normalize_ties_and_single(spark, rows):
     df = _scored(spark, [1, 1, 2, 3], [0, 0, 0, 0])
-    got = sorted(r.rank_score for r in rank_normalize(df, ["g"], split=split).collect())
+    got = sorted(r.rank_score for r in rank_normalize(df, ["g"], rows_per_bucket=rows).collect())
     assert got == pytest.approx([0, 1 / 3, 2 / 3, 1])
     one = _scored(spark, [5], [0])
-    assert rank_normalize(one, ["g"], split=split).first().rank_score == 0.0
+    assert rank_normalize(one, ["g"], rows_per_bucket=rows).first().rank_score == 0.0
 
 
-@pytest.mark.parametrize("split", [False, True])
-def test_rank_average(spark, split):
+@pytest.mark.parametrize("rows", [None, 1])
+def test_rank_average(spark, rows):
     df = _scored(spark, [1, 1, 2, 3], [0, 0, 0, 0])
-    got = {r.customer_id: r.rank_avg for r in rank_average(df, ["g"], split=split).collect()}
+    got = {r.customer_id: r.rank_avg for r in rank_average(df, ["g"], rows_per_bucket=rows).collect()}
     assert [got[i] for i in (1, 2, 3, 4)] == pytest.approx([0.375, 0.375, 0.75, 1.0])
 
 
-def test_split_paths_agree_on_real_sources(spark, ctx):
-    preds = ctx.preds
-    a = rank_normalize(preds, ["split", "source", "target"], split=False)
-    b = rank_normalize(preds, ["split", "source", "target"], split=True)
-    key = ["split", "source", "target", "customer_id"]
-    diff = (a.select(*key, F.round("rank_score", 12).alias("r"))
-             .exceptAll(b.select(*key, F.round("rank_score", 12).alias("r"))))
-    assert diff.count() == 0
-    scored = ctx.oof_scored()
-    x = M.exact_auc(scored, ["target", "source"], split=False)
-    y = M.exact_auc(scored, ["target", "source"], split=True)
+def test_buckets_agree_with_one_window_on_real_sources(spark, ctx):
+    key = ["split", "source", "target"]
+    one = Window.partitionBy(*key)
+    want = ctx.preds.select(*key, "customer_id", F.round(
+        (F.row_number().over(one.orderBy("score", h("tie", "customer_id"), "customer_id")) - 1)
+        / (F.count(F.lit(1)).over(one) - 1), 12).alias("r"))
+    for rows in (None, 30):
+        got = rank_normalize(ctx.preds, key, rows_per_bucket=rows)
+        assert want.exceptAll(got.select(*key, "customer_id",
+                                         F.round("rank_score", 12).alias("r"))).count() == 0
+    x = M.exact_auc(ctx.oof_scored(), ["target", "source"])
+    y = M.exact_auc(ctx.oof_scored(), ["target", "source"], rows_per_bucket=10)
     assert x.exceptAll(y).count() == 0 and x.count() == y.count()
-
-
-def test_hash_positions_split_matches_window(spark, ctx):
-    lab = ctx.labels
-    a = hash_positions(lab, ["target", "y"], "s", split=False).select("target", "customer_id", "pos")
-    b = hash_positions(lab, ["target", "y"], "s", split=True, bucket_bits=4).select(
-        "target", "customer_id", "pos")
-    assert a.exceptAll(b).count() == 0
-
-
-def test_forced_split_by_conf(spark, ctx):
-    spark.conf.set(MAX_GROUP_ROWS_CONF, "0")
-    try:
-        r = M.exact_auc(ctx.oof_scored(), ["target", "source"]).filter(
-            "target = 'target_9_9'").collect()
-        assert all(x.auc is None for x in r)
-    finally:
-        spark.conf.unset(MAX_GROUP_ROWS_CONF)
+    assert all(r.auc is None for r in x.filter("target = 'target_9_9'").collect())
+
+
+def test_hash_positions_match_one_window(spark, ctx):
+    w = Window.partitionBy("target", "y").orderBy(h("s", "customer_id"), "customer_id")
+    want = ctx.labels.select("target", "customer_id", (F.row_number().over(w) - 1).cast(
+        "bigint").alias("pos"))
+    for rows in (None, 10):
+        got = hash_positions(ctx.labels, ["target", "y"], "s", rows_per_bucket=rows)
+        assert want.exceptAll(got.select("target", "customer_id", "pos")).count() == 0
+
+
+def test_auc_of_billions_neither_overflows_nor_drifts(spark):
+    big = 4_000_000_000
+    df = spark.createDataFrame([("g", 0.1, 0, big), ("g", 0.2, big, 0), ("h", 0.5, big, big)],
+                               "g string, _s double, p long, n long")
+    got = {r.g: r.auc for r in M.auc_from_counts(df, ["g"]).collect()}
+    assert got == {"g": 1.0, "h": 0.5}
+
+
+def test_weights_of_any_width_are_applied(spark):
+    preds = spark.createDataFrame([("oof", "t", 1, f"s{i}", 1.0) for i in range(4)],
+                                  "split string, target string, customer_id long, source string, "
+                                  "score double")
+    weights = spark.createDataFrame([("t", f"s{i}", i + 1, 0.25) for i in range(4)],
+                                    "target string, source string, rank int, weight double")
+    assert [r.score for r in R.apply_weights(preds, weights).collect()] == [1.0]
+    labels = spark.createDataFrame([("t", 1, 0), ("bare", 1, 0)],
+                                   "target string, customer_id long, y int")
+    with pytest.raises(ValueError, match="bare"):
+        R.require_covered(labels, preds)
+
+
+def test_submission_that_does_not_fit_raises(spark):
+    sample = spark.createDataFrame([(1,), (2,)], "customer_id long")
+    whole = spark.createDataFrame([(1, 0.5), (2, 0.1)], "customer_id long, p double")
+    assert assemble_submission(sample, whole, ["p"]).count() == 2
+    with pytest.raises(ValueError, match="columns"):
+        assemble_submission(sample, whole, ["p", "q"])
+    for bad in (whole.limit(1), whole.union(spark.createDataFrame([(3, 0.1)], whole.schema)),
+                whole.withColumn("p", F.lit(None).cast("double"))):
+        with pytest.raises(ValueError, match="sample"):
+            assemble_submission(sample, bad, ["p"])
 
 
 def test_simplex_grid_shapes(spark):

@@ -60,13 +60,10 @@ def test_entry_smoke(spark):
     assert df.columns == ["target", "grid_id", "w_0", "w_1", "auc"]
 
 
-def test_sample_random_split_path_same_rows(spark, ctx):
-    from stackrank.operators.positions import MAX_GROUP_ROWS_CONF
+def test_sample_random_is_the_hash_prefix(spark, ctx):
+    from stackrank.functions.hashing import h
     ids = ctx.mart.select("customer_id")
-    a = SA.sample_random(ids, 300, seed=3)
-    spark.conf.set(MAX_GROUP_ROWS_CONF, "10")
-    try:
-        b = SA.sample_random(ids, 300, seed=3).collect()
-    finally:
-        spark.conf.unset(MAX_GROUP_ROWS_CONF)
-    assert sorted(r.customer_id for r in a.collect()) == sorted(r.customer_id for r in b)
+    want = [r.customer_id for r in ids.orderBy(h("sample3", "customer_id"), "customer_id")
+            .limit(300).collect()]
+    assert sorted(r.customer_id for r in SA.sample_random(ids, 300, seed=3).collect()) == sorted(want)
+    assert SA.sample_random(ids, 10**9).count() == ids.count()
