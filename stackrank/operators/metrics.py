@@ -71,6 +71,44 @@ def auc_from_counts(collapsed: DataFrame, group_cols, score_col: str = "_s",
         F.round(F.try_divide(whole.cast("double"), pairs), AUC_DIGITS).alias("auc"))
 
 
+GRID_BINS = 1024
+BOUND_SLACK = 1e-9        # above the rounding of AUCs and objectives
+
+
+def grid_contenders(scored: DataFrame, group_cols, point: str, low: str, high: str,
+                    penalty: str | None = None, bins: int = GRID_BINS) -> DataFrame:
+    """(group..., point): the grid points that can have the best AUC (less ``penalty``) of
+    their group.
+
+    ``scored`` has group..., point, score, y, and the range of the scores in ``low`` and
+    ``high``. Scores fall into equal bins; counts per bin, summed on the map side, bound
+    each AUC from both sides (pairs of one bin count 0 or 1). A point whose upper bound
+    does not reach the best lower bound cannot win, so only the others need the exact
+    pass over all rows. Groups of one class keep their first point.
+    """
+    group_cols = list(group_cols)
+    keys = [*group_cols, point]
+    span = F.col(high) - F.col(low)
+    b = F.coalesce(F.least(F.lit(bins - 1), F.floor(
+        F.try_divide(F.col("score") - F.col(low), span) * bins)), F.lit(-1)).cast("int")
+    extra = [F.max(penalty).alias("_pen")] if penalty else [F.lit(0.0).alias("_pen")]
+    c = scored.groupBy(*keys, b.alias("_b")).agg(
+        F.sum("y").cast("bigint").alias("p"),
+        (F.count(F.lit(1)) - F.sum("y")).cast("bigint").alias("n"), *extra)
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    c = c.withColumn("_below", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    pd, bd, nd = (F.col(x).cast("double") for x in ("p", "_below", "n"))
+    r = c.groupBy(*keys).agg(F.sum(pd * bd).alias("_l"), F.sum(pd * (bd + nd)).alias("_u"),
+                             (F.sum("p").cast("double") * F.sum("n")).alias("_pairs"),
+                             F.max("_pen").alias("_pen"))
+    r = r.withColumn("_lo", F.try_divide("_l", "_pairs") - F.col("_pen")).withColumn(
+        "_up", F.try_divide("_u", "_pairs") - F.col("_pen"))
+    w = Window.partitionBy(*group_cols)                 # one row per grid point
+    r = r.withColumn("_best", F.max("_lo").over(w)).withColumn("_first", F.min(point).over(w))
+    return r.where((F.col("_up") >= F.col("_best") - BOUND_SLACK)
+                   | (F.col("_best").isNull() & (F.col(point) == F.col("_first")))).select(*keys)
+
+
 def macro_auc(aucs: DataFrame, group_cols, auc_col: str = "auc") -> DataFrame:
     """Mean AUC over targets with both classes (null AUCs are skipped)."""
     return aucs.groupBy(*group_cols).agg(

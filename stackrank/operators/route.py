@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stackrank.operators.blend import grid_units, simplex_grid
-from stackrank.operators.metrics import AUC_DIGITS, exact_auc
+from stackrank.operators.metrics import AUC_DIGITS, exact_auc, grid_contenders
 
 # Default fixed weights of the top-2 and top-3 modes.
 TOP2_WEIGHTS = (0.65, 0.35)
@@ -144,9 +144,21 @@ def optimized_weights(spark: SparkSession, pool: DataFrame, oof: DataFrame, labe
                 .join(widths.filter(~F.col("is_constant")).select("target", "width"), "target"))
     blend = sum((F.col(f"g_{i}") * F.coalesce(F.col(f"r_{i}"), F.lit(0.0))
                  for i in range(2, max_width + 1)), F.col("g_1") * F.col("r_1"))
+    from stackrank.sources.context import cut
+    wide = cut(wide)                                    # read by the three passes below
+    cells = [F.coalesce(F.col(f"r_{i}"), F.lit(0.0)) for i in range(1, max_width + 1)]
+    span = wide.groupBy("target").agg(
+        F.min(F.least(F.lit(0.0), *cells)).alias("_min"),
+        F.max(F.greatest(F.lit(0.0), *cells)).alias("_max"))
     # Grid sizes are fixed by (width, step): bounded, broadcast.
-    scored = wide.join(F.broadcast(grid), "width").select("target", "grid_id", "y",
-                                                          blend.alias("score"))
+    binned = wide.join(F.broadcast(span), "target").join(F.broadcast(grid), "width").select(
+        "target", "grid_id", "y", blend.alias("score"), "_min", "_max",
+        (F.lit(float(alpha)) * F.col("pen")).alias("_p"))
+    able = cut(grid_contenders(binned, ["target"], "grid_id", "_min", "_max", "_p"))
+    points = able.join(widths.select("target", "width"), "target").join(
+        F.broadcast(grid), ["width", "grid_id"]).drop("width")
+    scored = wide.join(F.broadcast(points), "target").select("target", "grid_id", "y",
+                                                             blend.alias("score"))
     aucs = exact_auc(scored, ["target", "grid_id"], score_digits=None)
     obj = (aucs.join(widths.select("target", "width"), "target")
                .join(F.broadcast(grid.select("width", "grid_id", "pen")), ["width", "grid_id"])
