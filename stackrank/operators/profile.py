@@ -81,12 +81,12 @@ def binned_features(mart: DataFrame, extra_long: DataFrame, dictionary: DataFram
     by value."""
     num = (extra_long.filter("is_test = 0")
                      .withColumn("x", F.coalesce("value", F.lit(0.0)))
-                     .join(dictionary, "pos"))
+                     .join(F.broadcast(dictionary), "pos"))    # one row per feature
     rng = num.groupBy("feature").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     width = F.col("hi") - F.col("lo")
     b = F.when(width == 0, F.lit(0)).otherwise(
         F.least(F.floor((F.col("x") - F.col("lo")) / width * bins), F.lit(bins - 1)))
-    num_b = num.join(rng, "feature").select("customer_id", "feature", b.cast("string").alias("bin"))
+    num_b = num.join(F.broadcast(rng), "feature").select("customer_id", "feature", b.cast("string").alias("bin"))
     cats = mart.filter("is_test = 0").select(
         "customer_id", F.explode(F.array(*[
             F.struct(F.lit(c).alias("feature"),

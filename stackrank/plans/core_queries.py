@@ -81,20 +81,17 @@ def q_fold_balance(spark, sf_dir):
 @query("sources_long", with_ctes(
     "SELECT split, source, target, customer_id, score FROM preds", "preds"))
 def q_sources_long(spark, sf_dir):
-    """Round trip through the contest layout: wide per source (target_x / predict_x)
-    -> tolerant unpivot back to long, one union over the manifest."""
+    """Round trip through the contest layout: wide frames per source (target_x /
+    predict_x) are written, and loaded back to long by a manifest of their paths."""
+    from stackrank.sources.reports import scratch_path
     preds = context(spark, sf_dir).preds
     P.check_manifest(P.manifest_frame(spark))
-    parts = []
-    for s in P.SOURCE_ORDER:
-        one = preds.filter(F.col("source") == s)
-        targets = MT.TARGETS if s != "s_spec" else P.SPEC_TARGETS
-        for split in ("oof", "test"):
-            parts.append(P.wide_to_long(P.long_to_wide(one, split, targets), s, split))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    base = scratch_path(spark, "wide-sources")
+    for split in ("oof", "test"):
+        P.write_wide_sources(preds, split, f"{base}/{split}")
+    return P.load_sources(spark, [
+        (s, f"{base}/oof/source={s}", f"{base}/test/source={s}",
+         MT.TARGETS if s != "s_spec" else P.SPEC_TARGETS) for s in P.SOURCE_ORDER])
 
 
 # H1 / H2 / H3 / H4 ----------------------------------------------------------------------

@@ -118,6 +118,31 @@ def q_route_top3(spark, sf_dir):
     return _fixed(spark, sf_dir, "top3_weighted")
 
 
+def _top2_routed(ctx):
+    """Routed predictions (both splits) of the top-2 mode."""
+    _, pool = _routing(ctx, "top2_weighted")
+    w = cut(R.fixed_mode_weights(ctx.spark, pool, "top2_weighted"))
+    return R.apply_weights(ctx.preds, w)
+
+
+@query("route_apply", with_ctes("SELECT split, target, customer_id, score FROM routed", *_deps,
+                                extra=_fixed_ctes(2)))
+def q_route_apply(spark, sf_dir):
+    """The routed out-of-fold and test scores themselves."""
+    return _top2_routed(context(spark, sf_dir))
+
+
+@query("route_macro", with_ctes(
+    "SELECT count(final_auc)::BIGINT AS n_scored, round(avg(final_auc), 14) AS macro_auc FROM fauc",
+    *_deps, extra=_fixed_ctes(2)))
+def q_route_macro(spark, sf_dir):
+    """Macro AUC of the routed out-of-fold scores (constant targets are left out)."""
+    ctx = context(spark, sf_dir)
+    fa = R.final_aucs(_top2_routed(ctx), ctx.labels)
+    return fa.agg(F.count("final_auc").cast("bigint").alias("n_scored"),
+                  F.round(F.avg("final_auc"), 14).alias("macro_auc"))
+
+
 @query("route_pool", with_ctes(
     "SELECT target, source, ord, auc FROM pool", "ordered",
     extra=[("pool", _pool_sql(2, POOL_DELTA, POOL_CAP))]))
@@ -290,6 +315,23 @@ def q_submission(spark, sf_dir):
     return assemble_submission(sample, wide, _sub_cols)
 
 
+@query("submission_routed", with_ctes(
+    "SELECT s.customer_id, " + ", ".join(
+        f"max(CASE WHEN r.target = '{t}' THEN r.score END)::DOUBLE AS {c}"
+        for t, c in zip(MT.TARGETS, _sub_cols))
+    + " FROM (SELECT customer_id FROM mart WHERE is_test = 1) s LEFT JOIN (SELECT * FROM routed "
+      "WHERE split = 'test') r USING (customer_id) GROUP BY s.customer_id",
+    *_deps, "mart", extra=_fixed_ctes(2)))
+def q_submission_routed(spark, sf_dir):
+    """A13 + L14: the submission of the routed test scores."""
+    ctx = context(spark, sf_dir)
+    wide = _top2_routed(ctx).filter("split = 'test'").groupBy("customer_id").agg(*[
+        F.max(F.when(F.col("target") == t, F.col("score"))).cast("double").alias(c)
+        for t, c in zip(MT.TARGETS, _sub_cols)])
+    return assemble_submission(ctx.mart.filter("is_test = 1").select("customer_id"), wide,
+                               _sub_cols)
+
+
 def assemble_submission(sample, wide, columns):
     """One row per sample id with every column filled. Raises on a missing column, ids
     outside the sample (Q2), ids without a prediction, and empty cells."""

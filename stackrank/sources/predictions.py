@@ -93,6 +93,42 @@ def long_to_wide(preds: DataFrame, split: str, targets=TARGETS) -> DataFrame:
     return named.groupBy(ID).pivot("col", cols).agg(F.first("score"))
 
 
+def write_wide_sources(preds: DataFrame, split: str, path: str, targets=TARGETS) -> None:
+    """Every source's frame of one split in the contest spelling, as folders
+    ``source=<name>`` below ``path``: one scan and one pivot for all sources."""
+    prefix = "target_" if split == "oof" else "predict_"
+    cols = [t.replace("target_", prefix, 1) for t in targets]
+    named = preds.filter(F.col("split") == split).withColumn(
+        "col", F.regexp_replace("target", "^target_", prefix))
+    (named.groupBy("source", ID).pivot("col", cols).agg(F.first("score"))
+          .write.partitionBy("source").parquet(path))
+
+
+def load_sources(spark: SparkSession, entries, on_missing: str = "error") -> DataFrame:
+    """The long table of a manifest of (label, oof path, test path, targets). A frame
+    may spell a column ``target_x`` or ``predict_x`` (A8). A target without a column is
+    an error, or is left out with ``on_missing="skip"``; a label may appear once. One
+    Parquet scan per file, whose number is the manifest's."""
+    labels = [e[0] for e in entries]
+    if len(set(labels)) < len(labels):
+        raise ValueError(f"duplicate source labels in manifest: {sorted(labels)}")
+    parts = []
+    for label, oof, test, targets in entries:
+        for split, path in (("oof", oof), ("test", test)):
+            wide = spark.read.parquet(path)
+            have = {c.replace("predict_", "target_", 1): c for c in wide.columns
+                    if c.startswith(("target_", "predict_"))}
+            missing = [t for t in targets if t not in have]
+            if missing and on_missing == "error":
+                raise ValueError(f"{label} ({split}): no column for {missing}")
+            cols = [have[t] for t in targets if t in have]
+            parts.append(wide_to_long(wide.select(ID, *cols), label, split))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def wide_to_long(wide: DataFrame, source: str, split: str) -> DataFrame:
     """A8 + C1: unpivot ``target_x`` / ``predict_x`` columns to long rows keyed by
     target name (``predict_`` is renamed to ``target_``, first occurrence only)."""

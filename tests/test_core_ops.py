@@ -125,3 +125,19 @@ def test_simplex_grid_shapes(spark):
     assert (g3[0].w_0, g3[0].w_1, g3[0].w_2) == (0.0, 0.0, 1.0)
     assert all(math.isclose(r.w_0 + r.w_1 + r.w_2, 1.0) for r in g3)
     assert B.simplex_grid_size(3) == 231
+
+
+def test_manifest_load_checks_labels_and_columns(spark, tmp_path):
+    from stackrank.sources.predictions import load_sources
+    spark.createDataFrame([(1, 0.5)], "customer_id long, target_a double").write.parquet(
+        str(tmp_path / "oof"))
+    spark.createDataFrame([(2, 0.4, 0.3)], "customer_id long, predict_a double, predict_b double"
+                          ).write.parquet(str(tmp_path / "test"))
+    entry = ("s", str(tmp_path / "oof"), str(tmp_path / "test"), ["target_a", "target_b"])
+    with pytest.raises(ValueError, match="target_b"):
+        load_sources(spark, [entry])
+    with pytest.raises(ValueError, match="duplicate"):
+        load_sources(spark, [entry, entry])
+    got = sorted(tuple(r) for r in load_sources(spark, [entry], "skip").collect())
+    assert got == [("oof", "s", "target_a", 1, 0.5), ("test", "s", "target_a", 2, 0.4),
+                   ("test", "s", "target_b", 2, 0.3)]
