@@ -96,6 +96,14 @@ class Machine:
         self.w = np.zeros(len(vocabulary), np.float32)
         self.v = (rng.standard_normal((len(vocabulary), FACTORS)) * 0.005).astype(np.float32)
 
+    def pruned(self, least: float = 0.05) -> "Machine":
+        """Without the places whose weight is zero and whose vector is shorter than ``least``:
+        they change no score by much, and texts have far fewer terms to add up."""
+        keep = (self.w != 0) | (np.linalg.norm(self.v, axis=1) >= least)
+        out = Machine(Vocabulary(self.vocabulary.places[keep]))
+        out.w0, out.w, out.v = self.w0, self.w[keep], self.v[keep]
+        return out
+
     def raw(self, win: np.ndarray, place: np.ndarray, n: int):
         """Score of each of ``n`` windows before the sigmoid, and the factor sums."""
         lin = np.bincount(win, weights=self.w[place], minlength=n)
@@ -123,7 +131,7 @@ def fit(vocabulary: Vocabulary, docs: list, labels: np.ndarray, epochs: int = 6,
         pair_rate: float = 0.01, sparse: float = 0.02, pair_decay: float = 1e-3,
         batch: int = 256, seed: int = 5, sizes: dict | None = None,
         lift: float = 0.8) -> Machine:
-    """Fit on (win, place, n windows) triples of whole documents with 0/1 labels by AdaGrad
+    """Fit on (terms of each window, places) of whole documents with 0/1 labels by AdaGrad
     on the log loss of each document's highest window: the weights alone for half of the
     epochs, then the vectors too, more slowly and drawn to zero, so that they say only
     what the weights cannot. Weights are drawn to zero by ``sparse`` a step (an L1 penalty),
@@ -145,9 +153,9 @@ def fit(vocabulary: Vocabulary, docs: list, labels: np.ndarray, epochs: int = 6,
         order = rng.permutation(len(docs))
         for lo in range(0, len(order), batch):
             part = order[lo:lo + batch]
-            n = np.array([docs[i][2] for i in part])
+            n = np.array([len(docs[i][0]) for i in part])
             base = np.cumsum(n) - n
-            win = np.concatenate([docs[i][0] + b for i, b in zip(part, base)])
+            win = np.repeat(np.arange(int(n.sum())), np.concatenate([docs[i][0] for i in part]))
             place = np.concatenate([docs[i][1] for i in part])
             y, sums = m.raw(win, place, int(n.sum()))
             top = np.array([b + int(np.argmax(y[b:b + k])) for b, k in zip(base, n)])
@@ -171,7 +179,7 @@ def fit(vocabulary: Vocabulary, docs: list, labels: np.ndarray, epochs: int = 6,
             dv += pair_decay * m.v[u]
             gv[u] += dv * dv
             m.v[u] -= (pair_rate * dv / np.sqrt(gv[u])).astype(np.float32)
-    return m
+    return m.pruned()
 
 
 def held_out(id_col, mod: int, rest: int):
@@ -227,27 +235,29 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = 6_000, **kw)
             for part in slices(batch, "_text"):
                 win, pl, doc = windows(*vocabulary.keep(*terms(*text_buffer(
                     part.column("_text")))))
+                size = np.bincount(win, minlength=len(doc)).astype("<u4")
                 edge = np.searchsorted(doc, np.arange(part.num_rows + 1))
                 cut = np.searchsorted(win, edge)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("_id"), part.column("_y"), part.column("_n"),
-                     pa.array(np.diff(edge), pa.int64()),
-                     pa.array([(win[a:b] - e).astype("<u4").tobytes() for a, b, e in
-                               zip(cut[:-1], cut[1:], edge[:-1])], pa.binary()),
+                     pa.array([size[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:])],
+                              pa.binary()),
                      pa.array([pl[a:b].astype("<u4").tobytes() for a, b in
                                zip(cut[:-1], cut[1:])], pa.binary())],
-                    names=["_id", "_y", "_n", "_w", "_f", "_p"])
+                    names=["_id", "_y", "_n", "_f", "_p"])
 
-    got = (rows.mapInArrow(run, "_id long, _y int, _n long, _w long, _f binary, _p binary")
+    got = (rows.mapInArrow(run, "_id long, _y int, _n long, _f binary, _p binary")
            .groupBy("_id").agg(F.max("_y").alias("_y"), F.max("_n").alias("_n"),
-                               F.min(F.struct("_p", "_f", "_w")).alias("_s")))
-    data, y, share = [], [], {}
-    for r in sorted(got.collect(), key=lambda r: r["_id"]):
-        s = r["_s"]
-        data.append((np.frombuffer(s["_f"], "<u4"), np.frombuffer(s["_p"], "<u4"), s["_w"]))
-        y.append(r["_y"])
+                               F.min(F.struct("_p", "_f")).alias("_s")))
+    data, share = {}, {}
+    for r in got.toLocalIterator():                     # a partition at a time; bounded
+        size = np.frombuffer(r["_s"]["_f"], "<u4")
+        data[r["_id"]] = (size, np.frombuffer(r["_s"]["_p"], "<u4"), r["_y"])
         share[r["_y"]] = r["_n"]
-    return fit(vocabulary, data, np.array(y, float), sizes=share, **kw)
+    order = sorted(data)
+    y = np.array([data[i][2] for i in order], float)
+    data = [data[i][:2] for i in order]
+    return fit(vocabulary, data, y, sizes=share, **kw)
 
 
 def score_documents(docs: DataFrame, machine: Machine, carry: tuple = ()) -> DataFrame:

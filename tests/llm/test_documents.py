@@ -253,8 +253,8 @@ def test_machine_learns_a_pair():
     win, place, doc = toxicity.windows(*vocabulary.keep(*terms))
     e = np.searchsorted(doc, np.arange(len(texts) + 1))
     c = np.searchsorted(win, e)
-    docs = [(win[c[i]:c[i + 1]] - e[i], place[c[i]:c[i + 1]], int(e[i + 1] - e[i]))
-            for i in range(len(texts))]
+    size = np.bincount(win, minlength=len(doc))
+    docs = [(size[e[i]:e[i + 1]], place[c[i]:c[i + 1]]) for i in range(len(texts))]
     made = {r: toxicity.fit(vocabulary, docs, np.array(y, float), epochs=30, pair_rate=r,
                             lift=0.5) for r in (0.1, 0.0)}
     one = lambda t, r: float(made[r].score(
