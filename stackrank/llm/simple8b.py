@@ -40,6 +40,7 @@ for _s, _n, _w in LAYOUTS:
     COUNT[_s] = _n
 COUNT[ZEROS] = 120
 _PAD = 120
+_BITS = np.array([i.bit_length() for i in range(1 << 16)], np.uint8)
 
 
 def encode_blocks(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -48,10 +49,11 @@ def encode_blocks(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     blocks = -(-n // BLOCK)
     if not blocks:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    v = np.zeros((blocks, BLOCK + _PAD), np.uint64)
-    flat = np.zeros(blocks * BLOCK, np.uint64)
-    flat[:n] = values
-    v[:, :BLOCK] = flat.reshape(blocks, BLOCK)
+    v = np.zeros((blocks, BLOCK + _PAD), values.dtype)
+    whole = n // BLOCK
+    v[:whole, :BLOCK] = values[:whole * BLOCK].reshape(whole, BLOCK)
+    if whole < blocks:
+        v[whole, :n - whole * BLOCK] = values[whole * BLOCK:]
     bits = _bit_length(v)
     # the longest run that fits a layout, as sliding maxima of bit lengths
     top = {1: bits}
@@ -67,8 +69,8 @@ def encode_blocks(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
     choice = np.full(bits.shape, 14, np.uint8)
     for s, count, width in reversed(LAYOUTS[:-1]):
-        choice[runs(count) <= width] = s
-    choice[runs(120) == 0] = ZEROS
+        np.copyto(choice, s, where=runs(count) <= width)
+    np.copyto(choice, ZEROS, where=runs(120) == 0)
     width_of = np.full(blocks, BLOCK, np.int64)
     width_of[-1] = n - (blocks - 1) * BLOCK
     row = v.shape[1]
@@ -93,7 +95,7 @@ def encode_blocks(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for s, count, width in LAYOUTS:
         m = np.flatnonzero(sel == s)
         if len(m):
-            block = vf[at[m][:, None] + np.arange(count)]
+            block = vf[at[m][:, None] + np.arange(count)].astype(np.uint64)
             words[m] = np.bitwise_or.reduce(
                 block << (np.arange(count, dtype=np.uint64) * np.uint64(width)), axis=1)
     high = np.zeros(len(at), bool)
@@ -103,13 +105,15 @@ def encode_blocks(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     words |= sel.astype(np.uint64) << np.uint64(60)
     if high.any():
         where = np.flatnonzero(high)
-        words = np.insert(words, where, vf[at[where]] >> np.uint64(60))
+        words = np.insert(words, where, vf[at[where]].astype(np.uint64) >> np.uint64(60))
         of = np.insert(of, where, of[where])
     return words, np.bincount(of, minlength=blocks)
 
 
 def _bit_length(v: np.ndarray) -> np.ndarray:
     """Bits of each unsigned value, as uint8."""
+    if v.max(initial=0) < len(_BITS):
+        return _BITS[v]
     if v.max(initial=0) < 1 << 32:
         return np.frexp(v.astype(np.float64))[1].astype(np.uint8)
     high = (v >> np.uint64(32)).astype(np.float64)
@@ -248,7 +252,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
                     fs.create_dir(root, recursive=True)
                     sink = fs.open_output_stream(tmp)
                     writer = Writer(sink)
-                ids, lens = enc.encode(part.column("_text").to_pylist())
+                ids, lens = enc.encode(part.column("_text"))
                 ids, lens = with_end(ids, lens, end_id)
                 writer.add(part.column("_id").to_pylist(), ids, lens)
         if writer is not None:

@@ -1,48 +1,103 @@
 """Tokenising with a cache of pieces.
 
-A public tokenizer file encodes a text as the concatenation of its pre-tokens, so
-a text can be cut wherever a pre-token must end, and pieces seen before need not
-be encoded again. Cuts used here:
-
-* byte-level files (GPT-2 pattern): before a single space that follows a
-  non-space, and around a line feed between non-spaces;
-* word files that drop white space: at spaces, tabs and line ends.
-
-Texts with other runs of white space are cut only before a space that follows a
-non-space. ``tests/llm`` compare the ids with whole-text encoding.
+A public tokenizer file encodes a text as the concatenation of its pre-tokens, so a
+text can be cut wherever a pre-token must end, and pieces seen before need not be
+encoded again. Pieces are found, hashed and looked up for a whole batch of bytes by
+array operations; only new pieces become Python strings. Cuts used here:
+
+* byte-level files (GPT-2 pattern): before a single space that follows a non-space, and
+  around a line feed between non-spaces; texts with other runs of white space or
+  control characters are encoded whole;
+* word files that drop white space: at spaces, tabs and line ends;
+* both: between an ASCII letter or digit and the punctuation behind it.
+
+A piece is known by a 64-bit hash of its bytes. ``tests/llm`` compare the ids with
+whole-text encoding.
 """
 
 from __future__ import annotations
 
 import os
-import re
 from itertools import chain
 
 import numpy as np
-
-_ODD = re.compile(r"[\x00-\x09\x0b-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_ENDINGS = ".,;:!?*%$&#"          # never part of a contraction or of a word
-_SAFE = re.compile(r"(?<=\S)(?= )")
-
-
-class _Index(dict):
-    """piece -> number; new pieces are noted in ``new``."""
-
-    def __init__(self):
-        super().__init__()
-        self.new = []
-
-    def __missing__(self, piece):
-        i = self[piece] = len(self)
-        self.new.append(piece)
-        return i
+import pyarrow as pa
+
+from stackrank.llm.wordhash import U, _powers, mix, text_buffer
+
+_TABLE = np.random.Generator(np.random.PCG64(11)).integers(
+    1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
+_KIND = (U(0x51ED2701A3C5E9B7), U(0xD6E8FEB86659FD93))     # without and with a space before
+
+
+def _bytes(*chars: int) -> np.ndarray:
+    t = np.zeros(256, bool)
+    t[list(chars)] = True
+    return t
+
+
+_ENDING = _bytes(*b".,;:!?*%$&#")                 # never part of a contraction or of a word
+_ALNUM = _bytes(*range(48, 58), *range(65, 91), *range(97, 123))
+_CONTROL = _bytes(*range(10), *range(11, 32), 127)
+_BREAK = _bytes(32, 10, 9, 13)
+_WIDE = _bytes(0xC2, 0xE1, 0xE2, 0xE3)            # first bytes of white space beyond ASCII
+_WIDE_SPACE = [c.encode() for c in map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028,
+                                             0x2029, 0x202F, 0x205F, 0x3000))]
+
+
+class HashTable:
+    """uint64 -> consecutive numbers, looked up by arrays (open addressing)."""
+
+    def __init__(self, bits: int):
+        self.bits, self.n = bits, 0
+        self.keys = np.zeros(1 << bits, np.uint64)
+        self.vals = np.zeros(1 << bits, np.int32)
+
+    def _slot(self, h):
+        return (h >> U(64 - self.bits)).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Number of each hash, -1 if unknown."""
+        out = np.full(len(h), -1, np.int64)
+        left, slot, mask = np.arange(len(h)), self._slot(h), (1 << self.bits) - 1
+        while len(left):
+            k = self.keys[slot]
+            hit = k == h[left]
+            out[left[hit]] = self.vals[slot[hit]]
+            on = ~hit & (k != 0)
+            left, slot = left[on], (slot[on] + 1) & mask
+        return out
+
+    def add(self, h: np.ndarray) -> None:
+        """Number new distinct hashes in order; at most half of the slots are used."""
+        if 2 * (self.n + len(h)) > len(self.keys):
+            used = np.flatnonzero(self.keys)
+            old, number = self.keys[used], self.vals[used]
+            self.bits = (2 * (self.n + len(h))).bit_length() + 1
+            self.keys = np.zeros(1 << self.bits, np.uint64)
+            self.vals = np.zeros(1 << self.bits, np.int32)
+            self._put(old, number)
+        self._put(h, np.arange(self.n, self.n + len(h), dtype=np.int32))
+        self.n += len(h)
+
+    def _put(self, h, number):
+        left, slot, mask = np.arange(len(h)), self._slot(h), (1 << self.bits) - 1
+        while len(left):
+            free = self.keys[slot] == 0
+            _, first = np.unique(slot[free], return_index=True)
+            put = np.flatnonzero(free)[first]
+            self.keys[slot[put]] = h[left[put]]
+            self.vals[slot[put]] = number[left[put]]
+            on = np.ones(len(left), bool)
+            on[put] = False
+            left, slot = left[on], (slot[on] + 1) & mask
 
 
 class PieceEncoder:
-    """Encodes texts with a ``tokenizers`` JSON file. The cache is emptied beyond
-    ``max_pieces`` pieces, so memory is bounded."""
+    """Encodes texts with a ``tokenizers`` JSON file. Beyond ``max_pieces`` pieces the less
+    used half is forgotten, so memory is bounded."""
 
-    def __init__(self, path: str, max_pieces: int = 600_000):
+    def __init__(self, path: str, max_pieces: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import json
 
@@ -51,78 +106,127 @@ class PieceEncoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        self.drops_space = spec.get("normalizer") is not None
+            self.drops_space = json.load(f).get("normalizer") is not None
         self.sep = " \x1f " if self.drops_space else "\n"
         (self.sep_id,) = self.tok.encode(self.sep, add_special_tokens=False).ids
         self.max_pieces = max_pieces
+        self.bits = max(10, (4 * max_pieces).bit_length() - 1)
         self._reset()
 
     def _reset(self):
-        self.index = _Index()
+        self.table = HashTable(self.bits)
+        self.hash = np.zeros(0, np.uint64)
         self.flat = np.zeros(1 << 16, np.uint32)
         self.used = 0
         self.off = np.zeros(0, np.int64)
         self.len = np.zeros(0, np.int64)
         self.uses = np.zeros(0, np.int64)
 
-    def _pieces(self, text: str) -> list:
-        if self.drops_space:
-            return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        if (text[0] in " \n" or "  " in text or " \n" in text or "\n " in text
-                or "\n\n" in text or _ODD.search(text)):
-            return ["\x01" + p for p in _SAFE.split(text)]
-        return ("\x00" + text.replace("\n", " \x02 \x00")).split(" ")
-
-    def _string(self, piece: str) -> str:
-        if self.drops_space:
-            return piece
-        if piece[:1] in ("\x00", "\x01"):
-            return piece[1:]
-        return "\n" if piece == "\x02" else " " + piece
-
-    def _learn(self):
-        """Find the ids of the new pieces. A word with punctuation behind it is the word's
-        ids and the punctuation's, as these are always pre-tokens of their own."""
-        new, base = self.index.new, len(self.index) - len(self.index.new)
-        easy, hard, made, k = [], [], [], 0
-        no_space = "" if self.drops_space else "\x00"
-        while k < len(new):                               # grows by stems and endings
-            p = new[k]
-            if p.isalpha():
-                easy.append(k)
-            elif p and p[-1] in _ENDINGS and p[0] != "\x01" and \
-                    (stem := p.rstrip(_ENDINGS)) and stem[-1].isalnum():
-                made.append((k, self.index[stem], self.index[no_space + p[len(stem):]]))
-            else:
-                hard.append(k)
-            k += 1
-        self.index.new = []
-        self.off = np.concatenate([self.off, np.zeros(len(new), np.int64)])
-        self.len = np.concatenate([self.len, np.zeros(len(new), np.int64)])
-        self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
-        space = "" if self.drops_space else " "
-        self._put(base + np.array(easy, np.int64), *self._encode_words(
-            [space + new[k] for k in easy]))
+    def _plain(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """Whether each text can be cut into pieces."""
+        ok = np.ones(len(offs) - 1, bool)
+        if self.drops_space or not len(data):
+            return ok
+        space, feed = data == 32, data == 10
+        white = space | feed
+        bad = _CONTROL[data]
+        bad[:-1] |= white[:-1] & white[1:]
+        filled = offs[1:] > offs[:-1]
+        bad[offs[:-1][filled]] |= white[offs[:-1][filled]]
+        bad[offs[1:][filled] - 1] |= space[offs[1:][filled] - 1]
+        wide = np.flatnonzero(_WIDE[data])
+        if len(wide):
+            raw = data.tobytes()
+            pairs = data[np.minimum(wide + 1, len(data) - 1)]
+            wide = wide[(data[wide] != 0xC2) | (pairs == 0x85) | (pairs == 0xA0)]
+            for i in wide.tolist():
+                if raw[i:i + 2] in _WIDE_SPACE or raw[i:i + 3] in _WIDE_SPACE:
+                    bad[i] = True
+        ok[np.searchsorted(offs, np.flatnonzero(bad), "right") - 1] = False
+        return ok
+
+    def _pieces(self, data, offs):
+        """(starts, ends, whether a space comes before) of the pieces of all texts."""
+        gap = _BREAK[data] if self.drops_space else data == 32
+        feed = np.zeros(len(data), bool) if self.drops_space else data == 10
+        solid = ~gap
+        first = solid.copy()
+        first[1:] &= gap[:-1] | feed[:-1] | feed[1:] | (_ENDING[data[1:]] & _ALNUM[data[:-1]])
+        begin = offs[:-1][offs[:-1] < len(data)]
+        first[begin] = solid[begin]
+        starts = np.flatnonzero(first)
+        stop = np.zeros(len(data) + 1, bool)
+        stop[starts] = True
+        stop[np.flatnonzero(gap)] = True
+        stop[offs] = True
+        stop[-1] = True
+        where = np.flatnonzero(stop)
+        ends = where[np.searchsorted(where, starts, "right")]
+        spaced = np.zeros(len(starts), bool)
+        if not self.drops_space:
+            inner = starts > 0
+            spaced[inner] = gap[starts[inner] - 1]
+            at = np.searchsorted(starts, begin)
+            at = at[at < len(starts)]
+            spaced[at[np.isin(starts[at], begin)]] = False
+        return starts, ends, spaced
+
+    def _encode_plain(self, data, offs):
+        if self.table.n > self.max_pieces:
+            self._shrink()
+        starts, ends, spaced = self._pieces(data, offs)
+        counts = np.diff(np.searchsorted(starts, offs))
+        lens = ends - starts
+        if not len(lens):
+            return np.zeros(0, np.uint32), np.zeros(len(counts), np.int64)
+        at = np.arange(int(lens.sum())) - np.repeat(np.cumsum(lens) - lens - starts, lens)
+        inside = at - np.repeat(starts, lens)
+        h = np.add.reduceat(_TABLE[data[at]] * _powers(int(lens.max()) + 1)[inside],
+                            np.cumsum(lens) - lens)
+        h = mix(h + np.where(spaced, _KIND[1], _KIND[0]) + lens.astype(np.uint64)) | U(1)
+        idx = self.table.find(h)
+        new = np.flatnonzero(idx < 0)
+        if len(new):
+            _, one = np.unique(h[new], return_index=True)
+            one = new[one]
+            raw = data.tobytes()
+            self._learn(h[one], [(" " if s else "") + raw[a:b].decode() for a, b, s in
+                                 zip(starts[one].tolist(), ends[one].tolist(),
+                                     spaced[one].tolist())])
+            idx[new] = self.table.find(h[new])
+        self.uses += np.bincount(idx, minlength=len(self.uses))
+        cum = np.concatenate([[0], np.cumsum(self.len[idx])])
+        edges = np.concatenate([[0], np.cumsum(counts)])
+        return self._gather(idx), cum[edges[1:]] - cum[edges[:-1]]
+
+    def _learn(self, hashes, strings):
+        """Encode new pieces; words many at a time, joined by a pre-token of one id that
+        none of them holds."""
+        word = np.array([s.lstrip(" ").isalpha() for s in strings], bool)
+        order = np.concatenate([np.flatnonzero(word), np.flatnonzero(~word)])
+        n = int(word.sum())
+        easy = [strings[i] for i in order[:n].tolist()]
+        runs = [self.sep.join(easy[i:i + 64]) for i in range(0, n, 64)]
+        ids = np.fromiter(chain.from_iterable(
+            chain(e.ids, (self.sep_id,))
+            for e in self.tok.encode_batch_fast(runs, add_special_tokens=False)), np.uint32)
+        is_sep = ids == self.sep_id
+        lens = np.diff(np.flatnonzero(is_sep), prepend=-1) - 1
         rest = [e.ids for e in self.tok.encode_batch_fast(
-            [self._string(new[k]) for k in hard], add_special_tokens=False)]
-        lens = np.fromiter(map(len, rest), np.int64, len(rest))
-        self._put(base + np.array(hard, np.int64),
-                  np.fromiter(chain.from_iterable(rest), np.uint32, int(lens.sum())), lens)
-        if made:
-            made = np.array(made, np.int64)
-            parts = made[:, 1:].ravel()
-            self._put(base + made[:, 0], self._gather(parts),
-                      self.len[parts].reshape(-1, 2).sum(axis=1))
-
-    def _put(self, where, ids, lens):
+            [strings[i] for i in order[n:].tolist()], add_special_tokens=False)]
+        more = np.fromiter(map(len, rest), np.int64, len(rest))
+        ids = np.concatenate([ids[~is_sep], np.fromiter(chain.from_iterable(rest), np.uint32)])
+        lens = np.concatenate([lens, more])
         total = len(ids)
         if self.used + total > len(self.flat):
             self.flat = np.concatenate(
                 [self.flat, np.zeros(max(len(self.flat), total), np.uint32)])
         self.flat[self.used:self.used + total] = ids
-        self.off[where] = self.used + np.cumsum(lens) - lens
-        self.len[where] = lens
+        self.table.add(hashes[order])
+        self.hash = np.concatenate([self.hash, hashes[order]])
+        self.off = np.concatenate([self.off, self.used + np.cumsum(lens) - lens])
+        self.len = np.concatenate([self.len, lens])
+        self.uses = np.concatenate([self.uses, np.zeros(len(lens), np.int64)])
         self.used += total
 
     def _gather(self, idx):
@@ -133,48 +237,36 @@ class PieceEncoder:
         where += np.arange(len(where))
         return self.flat[where]
 
-    def _encode_words(self, strings: list) -> tuple[np.ndarray, np.ndarray]:
-        """Encode words, many at a time: joined by a pre-token of one id that none holds."""
-        runs = [self.sep.join(strings[i:i + 64]) for i in range(0, len(strings), 64)]
-        ids = np.fromiter(chain.from_iterable(
-            chain(e.ids, (self.sep_id,))
-            for e in self.tok.encode_batch_fast(runs, add_special_tokens=False)), np.uint32)
-        is_sep = ids == self.sep_id
-        return ids[~is_sep], np.diff(np.flatnonzero(is_sep), prepend=-1) - 1
-
     def _shrink(self):
         """Keep the more used half of the pieces."""
         keep = np.sort(np.argsort(-self.uses, kind="stable")[:self.max_pieces // 2])
-        pieces = list(self.index)
-        old_off, old_len, old_flat = self.off[keep], self.len[keep], self.flat
-        kept = [pieces[i] for i in keep.tolist()]
+        hashes, lens, ids = self.hash[keep], self.len[keep], self._gather(keep)
         self._reset()
-        for p in kept:
-            self.index[p] = len(self.index)
-        self.len = old_len
-        self.off = np.cumsum(old_len) - old_len
-        self.used = int(old_len.sum())
-        self.flat = old_flat[np.repeat(old_off - self.off, old_len) + np.arange(self.used)]
-        self.uses = np.zeros(len(kept), np.int64)
-
-    def encode(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts as uint32, number of ids of each text). None is empty."""
-        pieces, counts = [], np.zeros(len(texts), np.int64)
-        for i, t in enumerate(texts):
-            if t:
-                p = self._pieces(t)
-                counts[i] = len(p)
-                pieces += p
-        if len(self.index) > self.max_pieces:
-            self._shrink()
-        idx = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
-        del pieces
-        if self.index.new:
-            self._learn()
-        self.uses += np.bincount(idx, minlength=len(self.uses))
-        cum = np.concatenate([[0], np.cumsum(self.len[idx])])
-        edges = np.concatenate([[0], np.cumsum(counts)])
-        return self._gather(idx), cum[edges[1:]] - cum[edges[:-1]]
+        self.table.add(hashes)
+        self.hash, self.len, self.off = hashes, lens, np.cumsum(lens) - lens
+        self.used = len(ids)
+        self.flat = np.concatenate([ids, np.zeros(1 << 16, np.uint32)])
+        self.uses = np.zeros(len(keep), np.int64)
+
+    def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts as uint32, number of ids of each text). ``texts`` is an Arrow
+        string array or a list; null is empty."""
+        col = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        data, offs = text_buffer(col)
+        plain = self._plain(data, offs)
+        if plain.all():
+            return self._encode_plain(data, offs)
+        odd = np.flatnonzero(~plain)
+        some = text_buffer(col.filter(pa.array(plain)))
+        ids, lens = self._encode_plain(*some)
+        whole = self.tok.encode_batch_fast(col.take(pa.array(odd)).to_pylist(),
+                                           add_special_tokens=False)
+        parts: list = [None] * len(plain)
+        for i, x in zip(np.flatnonzero(plain).tolist(), np.split(ids, np.cumsum(lens)[:-1])):
+            parts[i] = x
+        for i, e in zip(odd.tolist(), whole):
+            parts[i] = np.array(e.ids, np.uint32)
+        return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
 
 
 _CACHE: dict[str, PieceEncoder] = {}
