@@ -160,7 +160,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: i
         ids, lens, doc_ids, size, group = [], [], [], 0, 0
         for batch in batches:
             for piece in slices(batch, "_text"):
-                x, c = with_end(*enc.encode(piece.column("_text").to_pylist()), end_id)
+                x, c = with_end(*enc.encode(piece.column("_text")), end_id)
                 ids.append(x)
                 lens.append(c)
                 doc_ids += piece.column("doc_id").to_pylist()
