@@ -86,9 +86,10 @@ def bucket_of(value: str, bounds: str = "_q") -> Column:
         steps.append(F.lit(s))
         s *= 2
     n = F.coalesce(F.size(bounds), F.lit(0))
-    return F.aggregate(F.array(*reversed(steps)), F.lit(0), lambda lo, k: F.when(
+    found = F.aggregate(F.array(*reversed(steps)), F.lit(0), lambda lo, k: F.when(
         (lo + k <= n) & (F.try_element_at(F.col(bounds), lo + k) < F.col(value)), lo + k)
         .otherwise(lo))
+    return F.when(n == 0, F.lit(0)).otherwise(found)      # no bounds: nothing to search
 
 
 def exclusive_running_sums(df: DataFrame, group_cols, order_col: str, sum_cols,
