@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from functools import lru_cache
 
 import pyarrow as pa
@@ -32,13 +33,27 @@ from stackrank.llm.common import slices, written
 KEY = b"stackrank-surrogates"
 RESERVED = (("example", "com"), ("example", "org"), ("example", "net"))
 
-EMAIL = re.compile(r"(?<![\w.+%-])[^\W_](?:[\w.+%-]*[\w+%-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![\w-])")
-IP = re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\w)", re.A)
-SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", re.A)
-CARD = re.compile(r"(?<![\w+-])(?:\d{4}([ -]?)\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{5}|\d{13,19})(?![\w-])", re.A)
-PHONE = re.compile(r"(?:(?<![\w+(])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}"
-                   r"|(?<![\w+-])\(\d{3}\) ?\d{3}[ .-]\d{4}"
-                   r"|(?<![\w+.-])\d{3}[.-]\d{3}[.-]\d{4})(?![\w-])", re.A)
+# markup such as _ or - may stand around an entity; group e is the entity without it
+EMAIL = re.compile(r"(?<![\w.+%-])[_.+%-]*(?P<e>[^\W_][\w.+%-]*@(?:[^\W_](?:[\w-]*[^\W_])?\.)+"
+                   r"(?:[A-Za-z]{2,24}(?![A-Za-z0-9])|[^\W\d_]{2,24}(?!\w)))")
+IP = re.compile(r"(?<![^\W_])(?<!\d\.)(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![^\W_]|\.\d)", re.A)
+SSN = re.compile(r"(?<![^\W_])(?<![^\W_]-)\d{3}-\d{2}-\d{4}(?![^\W_]|-\d)", re.A)
+CARD = re.compile(r"(?<![^\W_])(?<![^\W_]-)(?<!\+)(?:\d{4}([ -]?)\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{5}|\d{13,19})(?![^\W_]|-\d)", re.A)
+# international; trunk 0 or 00 with an area code set apart, but for dates; then layouts of
+# countries without a trunk 0. The total of digits is checked by _phone_end
+_SEP = r"[ ./\u00a0\u202f\u2011-]"
+PHONE = re.compile(
+    rf"(?:(?<![A-Za-z0-9+])\+[1-9]\d{{0,2}}\)?{_SEP}?(?:\(\d{{1,4}}\){_SEP}?)?\d(?:{_SEP}?\d){{4,}}"
+    rf"|(?<![A-Za-z0-9+])(?<![A-Za-z0-9]-)(?<!\d[./])(?:"
+    rf"(?!\d\d(?P<d>{_SEP})\d\d?(?P=d)(?:19|20)\d\d(?!\d))"
+    rf"(?:0[1-9](?P<p>{_SEP})\d\d(?:(?P=p)\d\d){{3}}(?!\d)"
+    rf"|(?:\(0\d{{1,5}}\){_SEP}?|0\d{{1,5}}{_SEP})\d(?:{_SEP}?\d){{4,}})"
+    rf"|(?:1{_SEP})?(?:\(\d{{3}}\) ?|\d{{3}}{_SEP})\d{{3}}{_SEP}\d{{4}}"
+    r"|(?:8[ -]?)?\(\d{3}\) ?\d{3}[ -]\d\d[ -]\d\d|8[ -]\d{3}[ -]\d{3}[ -]\d\d[ -]\d\d"
+    r"|\(\d\d\) ?\d{5}-\d{4}|1\d\d([ -])\d{4}\3\d{4}|[2-9]\d\d \d\d \d\d \d\d"
+    r"))(?![A-Za-z0-9]|-\d)", re.A)
+# digits of a number with its country code, where that is fixed
+LENGTHS = {"1": 11, "7": 11, "33": 11, "34": 11, "44": 12, "86": 13, "91": 12}
 # titles and given names by gender and script; a name is a title or a given name with a
 # capitalised word behind it
 TITLES = {"m": ("Mr", "Herr", "Señor", "Sr", "Monsieur", "господин"),
@@ -64,15 +79,16 @@ _GIVEN_OF = {n: k for k, ns in GIVEN.items() for n in ns}
 _CAP = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+"
 _ANY_TITLE = "|".join(sorted(_TITLE_OF, key=len, reverse=True))
 _ANY_GIVEN = "|".join(sorted(_GIVEN_OF, key=len, reverse=True))
-_SURNAME = rf"{_CAP}(?:-{_CAP})?(?!\w)"
+_SURNAME = rf"{_CAP}(?:-{_CAP})?(?![^\W_])"
 # group n is the name without its title
-NAME = re.compile(rf"(?<!\w)(?:(?:{_ANY_TITLE})\.? (?P<n>(?:{_CAP} )?{_SURNAME})"
+NAME = re.compile(rf"(?<![^\W_])(?:(?:{_ANY_TITLE})\.? (?P<n>(?:{_CAP} )?{_SURNAME})"
                   rf"|(?P<g>(?:{_ANY_GIVEN}) {_SURNAME}))")
 # surnames keep an ending that marks gender
 ENDINGS = ("ова", "ева", "ина", "ская", "ova", "eva", "ská")
 _DIGIT = re.compile(r"[0-9@]")
 
-# alphabets of a position; a character of none keeps its place unchanged
+# alphabets of a position; another letter or digit has those of its class in its block of
+# 256 characters, and any other character keeps its place unchanged
 LOWER, UPPER, DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 LATIN = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
 CYRILLIC = "абвгдежзийклмнопрстуфхцчшщъыьэюяё"
@@ -81,6 +97,18 @@ _ALPHABET = {c: a for a in (LOWER, UPPER, DIGIT, LATIN, LATIN[:-1].upper(), CYRI
                             CYRILLIC.upper(), GREEK, GREEK.upper()) for c in a}
 
 
+@lru_cache(100_000)
+def _alphabet(c: str) -> str:
+    """Characters that may stand in the place of ``c``; empty if it stays."""
+    if c in _ALPHABET or not c.isalnum():
+        return _ALPHABET.get(c, "")
+    block = range(ord(c) & ~255, (ord(c) | 255) + 1)
+    out = "".join(x for x in map(chr, block) if unicodedata.category(x) == unicodedata.category(c)
+                  and x.upper().lower() == x and x not in _ALPHABET
+                  and unicodedata.normalize("NFKC", x) == x)
+    return out if c in out else ""
+
+
 def _round(key: bytes, tweak: bytes, i: int, value: int, modulus: int) -> int:
     h = hashlib.blake2b(b"%d|%d|" % (i, value) + tweak, key=key[:64], digest_size=16)
     # 64 bits beyond the modulus keep the bias below 2^-64
@@ -104,8 +132,8 @@ def permute(value: int, a: int, b: int, key: bytes, tweak: bytes, rounds: int =
 
 def permute_text(text: str, key: bytes, tweak: bytes) -> str:
     """Keyed permutation of all texts of the same format (alphabet of each position)."""
-    where = [i for i, c in enumerate(text) if c in _ALPHABET]
-    alphabets = [_ALPHABET[text[i]] for i in where]
+    where = [i for i, c in enumerate(text) if _alphabet(c)]
+    alphabets = [_alphabet(text[i]) for i in where]
     half = len(where) // 2
     if not where:
         return text
@@ -115,7 +143,7 @@ def permute_text(text: str, key: bytes, tweak: bytes) -> str:
     value = 0
     for i, al in zip(where, alphabets):
         value = value * len(al) + al.index(text[i])
-    shape = "".join(_ALPHABET.get(c, " " + c)[:2] for c in text).encode()
+    shape = "".join((_alphabet(c) or " " + c)[:2] for c in text).encode()
     value = permute(value, moduli[0], moduli[1], key, tweak + b"|" + shape)
     out = list(text)
     for i, al in zip(reversed(where), reversed(alphabets)):
@@ -140,14 +168,23 @@ def address_class(ip: str) -> str:
 
 
 def _walk(value, step, good):
-    """Follow a permutation from ``value`` to the next good value: a permutation of the good."""
+    """Follow a permutation from ``value`` to the next good value: a permutation of the good.
+    Back at ``value`` there is none."""
+    start = value
     for _ in range(100_000):
         value = step(value)
-        if good(value):
+        if good(value) or value == start:
             return value
     return value
 
 
+def _stand_in(text: str, key: bytes, tweak: bytes) -> str:
+    """Keyed letters in place of a text that is the only one of its format."""
+    n = max(8, len(text))
+    value = _round(key, tweak + b"|stand-in|" + text.encode(), 0, 0, len(LOWER) ** n)
+    return "".join(LOWER[value // len(LOWER) ** i % len(LOWER)] for i in range(n))
+
+
 def canonical(kind: str, text: str) -> str:
     """What makes two mentions one entity."""
     if kind == "email":
@@ -173,16 +210,22 @@ def surrogate(kind: str, entity: str, attempt: int = 0, key: bytes = KEY) -> str
                         lambda s: s != x) for x in labels[:-own]]
         got = _walk(user, lambda s: permute_text(s, key, tweak + domain.encode()),
                     lambda s: s != user)
+        if got == user:
+            got = _stand_in(user, key, tweak + domain.encode())
         return f"{got}@{'.'.join([*labels, tail])}"
     if kind == "phone":
         code, rest = "", entity
         if entity[0] == "+":
             n = 2 if entity[1] in "17" else 3
             code, rest = entity[:n], entity[n:]
+        elif len(rest) == 11 and rest[0] == "8":
+            code, rest = rest[0], rest[1:]
+        zeros = len(rest) - len(rest.lstrip("0"))          # trunk and international prefixes stay
         # area and exchange codes that begin with 2 to 9 go on doing so, others not
         heads = [i for i in ((0, 3) if len(rest) == 10 else (0,)) if i < len(rest)]
         good = lambda s: s != rest and all(
-            (s[i] in "01") == (rest[i] in "01") for i in heads)
+            (s[i] in "01") == (rest[i] in "01") for i in heads) and (
+                len(s) - len(s.lstrip("0")) == zeros)
         return code + _walk(rest, lambda s: permute_text(s, key, tweak + code.encode()), good)
     if kind == "ip":
         cls = address_class(entity)
@@ -244,27 +287,52 @@ def reformat(kind: str, mention: str, replacement: str) -> str:
 
 
 def _valid(kind: str, m: re.Match) -> bool:
-    if kind == "phone":
-        n = len(re.sub(r"\D", "", m[0]))
-        return 10 <= n <= 15
     if kind == "card":
         return 13 <= len(re.sub(r"\D", "", m[0])) <= 19
     return True
 
 
+def _phone_end(mention: str) -> int:
+    """Length of the telephone number that a match begins with, 0 if it is none: whole groups
+    of digits, by the total that its country code has or else the longest that may be."""
+    digits = re.sub(r"\D", "", mention.replace("(0)", ""))
+    plus, prefix = mention[0] == "+", digits[:2] == "00"
+    least, most = (9, 15) if plus else (11, 17) if prefix else (9, 12)
+    number = digits[2 * prefix:]
+    exact = next((n for c, n in LENGTHS.items() if (plus or prefix) and number.startswith(c)), 0)
+    ends, n = {}, 0                                        # digits up to the end of each group
+    for g in re.finditer(r"\(0\)|\d+", mention):
+        n += 0 if g[0] == "(0)" else len(g[0])
+        ends[n] = g.end()
+    return ends.get(exact + 2 * prefix if exact else 0) or max(
+        (e for n, e in ends.items() if least <= n <= most), default=0)
+
+
+def _phones(text: str, taken: list):
+    """(start, end) of the telephone numbers between the spans already taken."""
+    at = 0
+    for s, e, _ in [*sorted(taken), (len(text), len(text), "")]:
+        while m := PHONE.search(text, at, s):
+            n = _phone_end(m[0])
+            if n:
+                yield m.start(), m.start() + n
+            at = m.start() + n if n else m.end()
+        at = e
+
+
 def find(text: str) -> list:
     """Disjoint (start, end, kind) of the entities of a text, in order; where patterns meet,
     the one earlier in the list e-mail, address, card, number, phone wins."""
     taken = []
     if _DIGIT.search(text):
-        for kind, pattern in (("email", EMAIL), ("ip", IP), ("card", CARD), ("ssn", SSN),
-                              ("phone", PHONE)):
+        for kind, pattern in (("email", EMAIL), ("ip", IP), ("card", CARD), ("ssn", SSN)):
             if kind == "email" and "@" not in text:
                 continue
             for m in pattern.finditer(text):
-                if _valid(kind, m) and not any(m.start() < e and s < m.end()
-                                               for s, e, _ in taken):
-                    taken.append((m.start(), m.end(), kind))
+                a, z = m.span("e" if kind == "email" else 0)
+                if _valid(kind, m) and not any(a < e and s < z for s, e, _ in taken):
+                    taken.append((a, z, kind))
+        taken += [(s, e, "phone") for s, e in _phones(text, taken)]
     for m in NAME.finditer(text):
         s, e = m.span("n" if m["n"] else "g")
         if not any(s < y and x < e for x, y, _ in taken):

@@ -187,6 +187,40 @@ def test_surrogates_keep_type_and_format():
     assert pii.replace(CLEAN, {})[0] == CLEAN
 
 
+FORMS = {"email": ("_john@x.com_", "-john@x.com", "john@x.com_", "john@x.com--call", "john.@x.com",
+                   "hans@müller.de", "mail 王小明@x.com的"),
+         "phone": ("+33 6 12 34 56 78", "(+33) 6 12 34 56 78", "555 123 4567", "030 1234567",
+                   "06 12 34 56 78", "06\u00a012\u00a034\u00a056\u00a078", "(030) 1234567",
+                   "0033 6 12 34 56 78", "+44 (0)20 7946 0958", "8 (495) 123-45-67",
+                   "(11) 91234-5678", "138 1234 5678", "555-123-4567--call", "_555-123-4567_"),
+         "ip": ("152.143.123.131.Then", "Server.152.143.123.131", "_192.168.1.20_"),
+         "ssn": ("_123-45-6789_",), "card": ("_4111 1111 1111 1111_",), "name": ("_John Smith_",)}
+NO_FORMS = ("01/02/2023 10:30", "01.02.2023 10:30", "1.2.3.4.5", "0123456789", "ABC-123-456-7890",
+            "ISBN 0-306-40615-2", "123-456-7890-12", "123 456 789 items", "10 000 000 000")
+
+
+def test_common_forms_are_found_and_keep_their_layout():
+    for kind, forms in FORMS.items():
+        for text in forms:
+            out, kinds, ents, subs = pii.replace(text, {})
+            assert kinds == [kind] and ents[0] != subs[0] and out != text, text
+            assert [k for _, _, k in pii.find(out)] == kinds, (text, out)
+            assert re.sub(r"\w", "", out) == re.sub(r"\w", "", text)
+    for text in NO_FORMS:
+        assert pii.find(text) == [], text
+    # equal numbers in other layouts are one entity; what follows a number is not part of it
+    two = "+33 6 12 34 56 78 24 hours, +33612345678 06 12 34 56 78 4111 1111 1111 1111"
+    _, kinds, ents, _ = pii.replace(two, {})
+    assert kinds == ["phone", "phone", "phone", "card"] and ents[0] == ents[1] == "+33612345678"
+
+
+def test_letters_outside_the_alphabets_have_stand_ins():
+    users = [a + b for a in "王李张刘陈" for b in "小明伟芳"] + ["ß", "ʼn", "김철수", "łukasz", "علي"]
+    subs = [pii.surrogate("email", f"{u}@x.com").split("@")[0] for u in users]
+    assert len(set(subs)) == len(users) and not set(subs) & set(users)
+    assert pii.surrogate("email", "ß@x.com", 0, b"other").split("@")[0] != subs[20]
+
+
 def test_surrogates_are_permutations():
     assert len({pii.permute_text(f"{i:04d}", pii.KEY, b"t") for i in range(10_000)}) == 10_000
     cards = [f"4{i:03d}000000000000" for i in range(1000)]
