@@ -15,6 +15,9 @@ different ones different surrogates (distinctness):
   itself an entity of the corpus, or two meet, the entity with the larger text
   draws again under the next attempt number until nothing meets. The few entities with
   a higher attempt are joined to the documents that hold them; the rest needs no table.
+* A format may be too full for that (one-letter user names of a domain, two-letter
+  surnames, 192.168.0.0/16). From attempt ``WIDER`` on user names and surnames are drawn
+  longer and private addresses in 10.0.0.0/8; if entities still meet, it is an error.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ import hashlib
 import re
 import unicodedata
 from functools import lru_cache
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,6 +35,7 @@ from pyspark.sql import functions as F
 from stackrank.llm.common import slices, written
 
 KEY = b"stackrank-surrogates"
+WIDER = 10
 RESERVED = (("example", "com"), ("example", "org"), ("example", "net"))
 
 # markup such as _ or - may stand around an entity; group e is the entity without it
@@ -178,11 +183,11 @@ def _walk(value, step, good):
     return value
 
 
-def _stand_in(text: str, key: bytes, tweak: bytes) -> str:
-    """Keyed letters in place of a text that is the only one of its format."""
-    n = max(8, len(text))
-    value = _round(key, tweak + b"|stand-in|" + text.encode(), 0, 0, len(LOWER) ** n)
-    return "".join(LOWER[value // len(LOWER) ** i % len(LOWER)] for i in range(n))
+def _stand_in(text: str, key: bytes, tweak: bytes, alphabet: str = LOWER) -> str:
+    """Keyed letters in place of a text whose format has too few members."""
+    n, b = max(8, len(text)), len(alphabet)
+    value = _round(key, tweak + b"|stand-in|" + text.encode(), 0, 0, b ** n)
+    return "".join(alphabet[value // b ** i % b] for i in range(n))
 
 
 def canonical(kind: str, text: str) -> str:
@@ -210,7 +215,7 @@ def surrogate(kind: str, entity: str, attempt: int = 0, key: bytes = KEY) -> str
                         lambda s: s != x) for x in labels[:-own]]
         got = _walk(user, lambda s: permute_text(s, key, tweak + domain.encode()),
                     lambda s: s != user)
-        if got == user:
+        if got == user or attempt >= WIDER:
             got = _stand_in(user, key, tweak + domain.encode())
         return f"{got}@{'.'.join([*labels, tail])}"
     if kind == "phone":
@@ -231,6 +236,8 @@ def surrogate(kind: str, entity: str, attempt: int = 0, key: bytes = KEY) -> str
         cls = address_class(entity)
         value = int.from_bytes(bytes(map(int, entity.split("."))), "big")
         dotted = lambda v: ".".join(map(str, v.to_bytes(4, "big")))
+        if attempt >= WIDER and cls.startswith("private"):
+            return dotted((10 << 24) + _round(key, tweak + entity.encode(), 0, 0, 1 << 24))
         lo, bits = (0, 32)
         if cls != "public":                               # walk inside the class's block
             bits = {"private10": 24, "private172": 20, "private192": 16, "private169": 16}.get(
@@ -252,10 +259,10 @@ def surrogate(kind: str, entity: str, attempt: int = 0, key: bytes = KEY) -> str
         return _walk(entity, lambda s: permute_text(s, key, tweak), lambda s: s != entity and
                      s[:3] not in ("000", "666") and s[0] != "9" and s[3:5] != "00"
                      and s[5:] != "0000" or entity[0] == "9" and s != entity and s[0] == "9")
-    return _name(entity, key, tweak)
+    return _name(entity, key, tweak, attempt >= WIDER)
 
 
-def _name(entity: str, key: bytes, tweak: bytes) -> str:
+def _name(entity: str, key: bytes, tweak: bytes, wider: bool = False) -> str:
     """Given names inside their list; other words in their format, alike with and without
     the given name."""
     *given, last = entity.split(" ")
@@ -266,13 +273,16 @@ def _name(entity: str, key: bytes, tweak: bytes) -> str:
             out.append(names[permute(names.index(w), len(names), 1, key, tweak)])
         else:
             out.append(_surname(w, key, tweak))
-    return " ".join([*out, _surname(last, key, tweak)])
+    return " ".join([*out, _surname(last, key, tweak, wider)])
 
 
-def _surname(word: str, key: bytes, tweak: bytes) -> str:
+def _surname(word: str, key: bytes, tweak: bytes, wider: bool = False) -> str:
     end = next((e for e in ENDINGS if word.endswith(e) and len(word) > len(e) + 1), "")
     stem = word[:len(word) - len(end)]
     good = lambda s: s != stem and (end or not s.endswith(ENDINGS))
+    if wider:
+        return _stand_in(stem, key, tweak + end.encode(), CYRILLIC if stem[0].lower() in CYRILLIC
+                         else LOWER).capitalize() + end
     return _walk(stem, lambda s: permute_text(s, key, tweak + end.encode()), good) + end
 
 
@@ -377,15 +387,16 @@ def entities(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "_rid long, kind string, entity string, surrogate string")
 
 
-def redraw(found: DataFrame, rounds: int = 20) -> DataFrame:
+def redraw(found: DataFrame, rounds: int = 100) -> DataFrame:
     """(kind, entity, attempt) of the entities whose surrogate must be drawn again: it is an
     entity of the corpus, or another entity's surrogate. Distinct entities only, so a
-    frequent one is no hot key; every round works on what met in the last one."""
+    frequent one is no hot key; every round works on what met in the last one. An error
+    if entities still meet after ``rounds``."""
     all_ = written(found.groupBy("kind", "entity").agg(F.min("surrogate").alias("surrogate")),
                    "entities").withColumn("attempt", F.lit(0))
     draw = F.udf(lambda k, e, a: surrogate(k, e, a), "string")
     cur = all_
-    for _ in range(rounds):
+    for n in count():
         real = all_.select("kind", F.col("entity").alias("surrogate"))
         first = cur.groupBy("kind", "surrogate").agg(F.min("entity").alias("_first"),
                                                      F.count(F.lit(1)).alias("_c"))
@@ -395,6 +406,9 @@ def redraw(found: DataFrame, rounds: int = 20) -> DataFrame:
                       .select("kind", "entity", "attempt").union(double).distinct(), "redraw")
         if bad.isEmpty():
             break
+        if n == rounds:
+            left = {r["kind"]: r["count"] for r in bad.groupBy("kind").count().collect()}
+            raise ValueError(f"surrogates still meet after {rounds} draws; entities left: {left}")
         again = bad.withColumn("attempt", F.col("attempt") + 1).withColumn(
             "surrogate", draw("kind", "entity", "attempt"))
         cur = written(cur.join(bad, ["kind", "entity"], "left_anti").unionByName(

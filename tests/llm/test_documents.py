@@ -244,6 +244,23 @@ def test_surrogates_that_meet_entities_are_drawn_again(llm):
     assert got[2].text.split()[1] not in (a, b, new_a)
 
 
+def test_full_formats_are_widened_or_an_error(llm):
+    """All one-letter users of a domain: no surrogate of their format is free."""
+    mails = [f"{c}@foo.org" for c in pii.LOWER] + [
+        pii.surrogate("email", "a@foo.org").replace("@", "q@")]
+    mails += [f"{c}@{mails[-1].split('@')[1]}" for c in pii.LOWER]
+    df = llm.createDataFrame([(i, f"to {m} now") for i, m in enumerate(mails)],
+                             "doc_id long, text string")
+    got = [r.text.split()[1] for r in pii.replace_pii(df).collect()]
+    assert len(set(got)) == len(mails) and not set(got) & set(mails)
+    found = pii.entities(df.selectExpr("doc_id AS _rid", "text AS _text"))
+    with pytest.raises(ValueError, match="entities left: {'email': "):
+        pii.redraw(found, rounds=2)
+    assert pii.surrogate("ip", "192.168.1.20", pii.WIDER).startswith("10.")
+    assert re.fullmatch("[А-ЯЁ][а-яё]{7}", pii.surrogate("name", "Ли", pii.WIDER))
+    assert pii.find("Mr " + pii.surrogate("name", "Li", pii.WIDER))
+
+
 def test_surrogates_over_the_corpus(llm, odd_docs):
     docs = table(llm, SF_SMALL, "documents")
     before = {r.doc_id: r.text for r in docs.collect()}
