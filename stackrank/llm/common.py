@@ -14,7 +14,7 @@ import zipfile
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 import stackrank
@@ -133,3 +133,40 @@ def range_shards(df: DataFrame, key: str, weight: Column, shard_bytes: int,
              .repartitionById(len(bounds) + 1, F.col("_shard"))
              .sortWithinPartitions("_shard", key, *extra_sort))
     return out, len(bounds) + 1
+
+
+def same(a: DataFrame, b: DataFrame, names) -> Column:
+    """Equality of the columns ``names`` of two tables; null equals null."""
+    out = F.lit(True)
+    for n in names:
+        out = out & a[n].eqNullSafe(b[n])
+    return out
+
+
+def numbered(df: DataFrame, by: list, order: list, name: str) -> DataFrame:
+    """``df`` with longs ``_pos`` (0-based position within the group ``by``, whose columns are
+    named; nulls are a group) in the order of the columns ``order`` and ``_n`` (the group's rows).
+
+    The rows are sorted by ranges of (by, order), so that a group of any size spreads over
+    many tasks, and written; a row's position is its place in its range plus the group's rows
+    in the ranges before. Only those counts (ranges + groups rows) are joined back. Rows that
+    are equal in all of it are spread too: the place in the input comes last.
+    """
+    keys = [F.col(c) for c in by] + list(order) + [F.col("_tie")]
+    base = written(
+        df.withColumn("_tie", F.monotonically_increasing_id())
+        .repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_tie")
+        # the range in the upper 31 bits, the place in it in the lower 33
+        .withColumn("_row", F.monotonically_increasing_id())
+        .withColumn("_range", F.shiftright("_row", 33)), name)
+    counts = base.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_c"),
+                                             F.min("_row").alias("_low"))
+    group = Window.partitionBy(*by)
+    before = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = written(counts.select(
+        *by, "_range", "_low", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"),
+        F.sum("_c").over(group).alias("_n")), name + "-starts")
+    return (base.join(starts, same(base, starts, [*by, "_range"]))
+            .select(*[base[c] for c in df.columns],
+                    (base["_row"] - starts["_low"] + starts["_before"]).alias("_pos"),
+                    starts["_n"]))

@@ -121,3 +121,27 @@ def op9(spark, sf_dir):
     """Quality of every document."""
     from stackrank.llm.quality import quality
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def _op11_sql():
+    from stackrank.llm.mixing import ORACLE
+    return ORACLE
+
+
+@_query("op11_mixture", oracle=_op11_sql())
+def op11(spark, sf_dir):
+    """Words of every document that the mix of all sources takes."""
+    from stackrank.llm.mixing import taken_words
+    return taken_words(table(spark, sf_dir, "documents"))
+
+
+def _op12_sql():
+    from stackrank.llm.manifest import ORACLE
+    return ORACLE
+
+
+@_query("op12_merkle", oracle=_op12_sql())
+def op12(spark, sf_dir):
+    """Merkle manifest of all documents, with the version of every changed one."""
+    from stackrank.llm.manifest import proofs
+    return proofs(table(spark, sf_dir, "documents"))
