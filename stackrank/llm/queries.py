@@ -145,3 +145,15 @@ def op12(spark, sf_dir):
     """Merkle manifest of all documents, with the version of every changed one."""
     from stackrank.llm.manifest import proofs
     return proofs(table(spark, sf_dir, "documents"))
+
+
+def _op13_sql():
+    from stackrank.llm.vectorcodes import ORACLE
+    return ORACLE
+
+
+@_query("op13_vectorcodes", oracle=_op13_sql())
+def op13(spark, sf_dir):
+    """Embeddings as four-byte codes, trained with adaptive distance bounds."""
+    from stackrank.llm.vectorcodes import vector_codes
+    return vector_codes(table(spark, sf_dir, "embeddings"))
