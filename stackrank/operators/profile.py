@@ -9,10 +9,16 @@ intersection) is semi / anti joins and ``min(position)`` per feature.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MI_BINS = 16
+from stackrank.functions.hashing import h_unit
+
+# Neighbours and sampled rows of the information estimate.
+MI_NEIGHBOURS, MI_ROWS = 3, 200_000
+MI_DIGITS = 9
 
 
 # -- variance ranking and slices ---------------------------------------------------
@@ -74,40 +80,94 @@ def ordered_union(*lists: DataFrame) -> DataFrame:
 
 
 # -- mutual information ------------------------------------------------------------------
-def binned_features(mart: DataFrame, extra_long: DataFrame, dictionary: DataFrame,
-                    cat_cols, bins: int = MI_BINS) -> DataFrame:
-    """Train rows as (customer_id, feature, bin STRING): numeric features in equal-width
-    bins over [min, max] (null read as 0, as the reference fills it), categoricals
-    by value."""
-    num = (extra_long.filter("is_test = 0")
-                     .withColumn("x", F.coalesce("value", F.lit(0.0)))
-                     .join(F.broadcast(dictionary), "pos"))    # one row per feature
-    rng = num.groupBy("feature").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    width = F.col("hi") - F.col("lo")
-    b = F.when(width == 0, F.lit(0)).otherwise(
-        F.least(F.floor((F.col("x") - F.col("lo")) / width * bins), F.lit(bins - 1)))
-    num_b = num.join(F.broadcast(rng), "feature").select("customer_id", "feature", b.cast("string").alias("bin"))
-    cats = mart.filter("is_test = 0").select(
-        "customer_id", F.explode(F.array(*[
-            F.struct(F.lit(c).alias("feature"),
-                     F.coalesce(F.col(c).cast("string"), F.lit("__MISSING__")).alias("bin"))
-            for c in cat_cols])).alias("s")).select("customer_id", "s.feature", "s.bin")
-    return num_b.unionByName(cats)
-
-
-def mutual_information(binned: DataFrame, labels: DataFrame) -> DataFrame:
-    """E7 (re-aimed): plug-in MI in nats per (target, feature).
-
-    Only positive labels are joined to the bins (positives are sparse); the y=0
-    cell of a bin is its total minus its positives. MI = sum over cells of
+def numeric_values(mart: DataFrame, names: list, values) -> DataFrame:
+    """(customer_id, feature, x) of an ARRAY<DOUBLE> column ``values`` with ``names``: null read
+    as 0, plus a jitter of up to 1e-10 of the feature's largest magnitude from a hash of
+    (feature, id), so that no two rows are equal and reruns agree."""
+    spark = mart.sparkSession
+    dic = spark.createDataFrame(list(enumerate(names)), "pos INT, feature STRING")
+    long = (mart.select("customer_id", F.posexplode(values).alias("pos", "v"))
+            .join(F.broadcast(dic), "pos")                           # one row per feature
+            .select("customer_id", "feature", F.coalesce("v", F.lit(0.0)).alias("v")))
+    top = long.groupBy("feature").agg(F.max(F.abs("v")).alias("top"))
+    return long.join(F.broadcast(top), "feature").select(            # one row per feature
+        "customer_id", "feature",
+        (F.col("v") + F.lit(1e-10) * F.greatest(F.lit(1.0), "top")
+         * h_unit("mi", "feature", "customer_id")).alias("x"))
+
+
+def digamma(n: int) -> np.ndarray:
+    """digamma(0..n) of whole numbers (0 at 0): harmonic numbers less Euler's constant."""
+    out = np.zeros(n + 1)
+    out[1:] = np.concatenate([[0.0], np.cumsum(1.0 / np.arange(1, n))]) - np.euler_gamma
+    return out
+
+
+def neighbour_information(x: np.ndarray, y: np.ndarray, k: int = MI_NEIGHBOURS) -> float:
+    """Mutual information (nats) of a number and a class by nearest neighbours: the distance
+    to the k-th neighbour within the class, against how many of all rows are nearer."""
+    n_class = np.bincount(y, minlength=2)
+    ok = n_class[y] > 1
+    x, y = x[ok], y[ok]
+    if not len(x):
+        return 0.0
+    everything = np.sort(x)
+    psi = digamma(len(x))
+    total = 0.0
+    for c in np.unique(y):
+        v = np.sort(x[y == c])
+        kk = min(k, len(v) - 1)
+        far = np.full((2 * kk, len(v)), np.inf)
+        for j in range(1, kk + 1):
+            far[2 * j - 2, j:] = v[j:] - v[:-j]
+            far[2 * j - 1, :-j] = v[j:] - v[:-j]
+        r = np.sort(far, axis=0)[kk - 1]
+        near = (np.searchsorted(everything, v + r, "left")
+                - np.searchsorted(everything, v - r, "right"))
+        total += len(v) * (psi[kk] - psi[len(v)]) - psi[np.maximum(near, 1)].sum()
+    return max(0.0, float(psi[len(x)] + total / len(x)))
+
+
+def numeric_information(values: DataFrame, labels: DataFrame) -> DataFrame:
+    """E7 for numbers: (target, feature, mi). ``values`` are those of a bounded sample of
+    customers; a feature's values and labels (a byte per target) are one group, whose size
+    the sample bounds."""
+    targets = sorted(r["target"] for r in labels.select("target").distinct().collect())
+    ys = labels.groupBy("customer_id").agg(F.array(*[
+        F.max(F.when(F.col("target") == t, F.col("y"))) for t in targets]).alias("ys"))
+
+    def run(key, table):
+        x = table["x"].to_numpy()
+        y = table["ys"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(
+            len(x), -1)
+        return pa.table({"target": targets, "feature": [key[0].as_py()] * len(targets),
+                         "mi": [neighbour_information(x, y[:, j].astype(np.int64))
+                                for j in range(len(targets))]})
+
+    return values.join(ys, "customer_id").groupBy("feature").applyInArrow(
+        run, "target string, feature string, mi double")
+
+
+def category_values(mart: DataFrame, cat_cols) -> DataFrame:
+    """(customer_id, feature, bin STRING) of the categories by value."""
+    return mart.select("customer_id", F.explode(F.array(*[
+        F.struct(F.lit(c).alias("feature"),
+                 F.coalesce(F.col(c).cast("string"), F.lit("__MISSING__")).alias("bin"))
+        for c in cat_cols])).alias("s")).select("customer_id", "s.feature", "s.bin")
+
+
+def category_information(binned: DataFrame, labels: DataFrame) -> DataFrame:
+    """E7 for categories: plug-in MI in nats, (target, feature, mi).
+
+    Only positive labels are joined to the values (positives are sparse); the y=0
+    cell of a value is its total minus its positives. MI = sum over cells of
     n/N * ln(n*N / (n_bin * n_class)).
     """
     n_b = binned.groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("nb"))
     pos = (labels.filter("y = 1").select("customer_id", "target")
                  .join(binned, "customer_id")
                  .groupBy("target", "feature", "bin").agg(F.count(F.lit(1)).alias("nb1")))
-    tot = labels.groupBy("target").agg(F.count(F.lit(1)).alias("N"), F.sum("y").alias("N1"))
-    cells = (n_b.crossJoin(F.broadcast(tot))   # one row per target: bounded
+    cells = (n_b.crossJoin(F.broadcast(class_sizes(labels)))   # one row per target: bounded
                 .join(pos, ["target", "feature", "bin"], "left")
                 .withColumn("nb1", F.coalesce("nb1", F.lit(0)))
                 .withColumn("nb0", F.col("nb") - F.col("nb1"))
@@ -118,8 +178,11 @@ def mutual_information(binned: DataFrame, labels: DataFrame) -> DataFrame:
             F.col(nc) * F.col("N") / (F.col("nb") * F.col(ncls)))).otherwise(F.lit(0.0))
 
     return (cells.groupBy("target", "feature")
-                 .agg(F.sum(term("nb1", "N1") + term("nb0", "N0")).alias("mi"),
-                      F.first("N1").alias("N1"), F.first("N").alias("N")))
+                 .agg(F.sum(term("nb1", "N1") + term("nb0", "N0")).alias("mi")))
+
+
+def class_sizes(labels: DataFrame) -> DataFrame:
+    return labels.groupBy("target").agg(F.count(F.lit(1)).alias("N"), F.sum("y").alias("N1"))
 
 
 def mi_topk(mi: DataFrame, pool: DataFrame, k: int) -> DataFrame:
@@ -128,7 +191,7 @@ def mi_topk(mi: DataFrame, pool: DataFrame, k: int) -> DataFrame:
     j = mi.join(pool, "feature")
     const = (F.col("N1") == 0) | (F.col("N1") == F.col("N"))
     w = Window.partitionBy("target").orderBy(
-        F.when(const, F.lit(0.0)).otherwise(-F.round("mi", 12)),
+        F.when(const, F.lit(0.0)).otherwise(-F.round("mi", MI_DIGITS)),
         F.when(const, F.col("position")).otherwise(F.lit(0)), "feature")
     return (j.withColumn("rank", F.row_number().over(w).cast("int"))
              .filter(F.col("rank") <= k).select("target", "rank", "feature"))

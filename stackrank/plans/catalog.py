@@ -27,5 +27,5 @@ def query(name: str, oracle: str | None = None):
 def load_all_queries() -> None:
     """Import every module that registers queries."""
     from stackrank.plans import (core_queries, feature_queries, route_queries,  # noqa: F401
-                                 report_queries, model_queries, trial_queries,
-                                 audit_queries)
+                                 report_queries, model_queries, forest_queries,
+                                 trial_queries, audit_queries)

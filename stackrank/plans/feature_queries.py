@@ -13,7 +13,7 @@ from stackrank.operators.rowstats import row_stats, row_zeros
 from stackrank.plans.catalog import query
 from stackrank.plans.sqlblocks import block, with_ctes
 from stackrank.sources import mart as MT
-from stackrank.sources.context import context
+from stackrank.sources.context import context, materialize
 
 # Parameters of the selection queries.
 VAR_TOP_K = 10
@@ -47,51 +47,104 @@ block("distinct_counts", ("extra_long", "dict"), """SELECT c.pos, d.feature, c.n
 JOIN dict d USING (pos)""")
 block("pseudo", ("distinct_counts",),
       "SELECT * FROM distinct_counts WHERE n_unique BETWEEN 2 AND 50")
-_bins = f"""SELECT e.customer_id, d.feature,
-  (CASE WHEN r.hi - r.lo = 0 THEN 0 ELSE least(floor((coalesce(e.value, 0) - r.lo) / (r.hi - r.lo)
-     * {PR.MI_BINS}), {PR.MI_BINS - 1}) END)::BIGINT::VARCHAR AS bin
-FROM extra_long e JOIN dict d USING (pos)
-JOIN (SELECT pos, min(coalesce(value, 0)) AS lo, max(coalesce(value, 0)) AS hi
-      FROM extra_long WHERE is_test = 0 GROUP BY pos) r USING (pos)
-WHERE e.is_test = 0"""
+# -- E7: the sample, jittered numbers, neighbours within the class, how many rows are nearer
+MI_STATS = ("row_extra_mean", "row_extra_min", "row_extra_max", "row_extra_sum",
+            "row_extra_null_count", "row_extra_zero_count")
+MI_NUMBERS = (*MT.EXTRA_FEATURES, *MT.NUM_FEATURES, *MI_STATS)
+MI_FEATURES = (*MT.EXTRA_FEATURES, *CAT_COLS, *MT.NUM_FEATURES, *MI_STATS)
+_stat_sql = ("round(list_avg(extra), 6)", "list_min(extra)", "list_max(extra)",
+             "round(coalesce(list_sum(extra), 0), 6)",
+             "len(list_filter(extra, lambda x: x IS NULL))::DOUBLE",
+             "len(list_filter(extra, lambda x: coalesce(x, 0) = 0))::DOUBLE")
+block("mi_sample", ("mart",), f"""SELECT * FROM mart WHERE is_test = 0
+QUALIFY row_number() OVER (ORDER BY {sql_h('sample42', 'customer_id')}, customer_id) <= {PR.MI_ROWS}""")
+block("mi_x", ("mi_sample",), f"""SELECT customer_id, feature,
+  v + (1e-10::DOUBLE * greatest(1.0::DOUBLE, max(abs(v)) OVER (PARTITION BY feature)))
+      * ({sql_h('mi', 'feature', 'customer_id')} / 4294967296.0::DOUBLE) AS x
+FROM (SELECT customer_id, unnest([{', '.join(f"'{f}'" for f in MI_NUMBERS)}]) AS feature,
+             coalesce(unnest(list_concat(extra, [{', '.join(MT.NUM_FEATURES)}, {', '.join(_stat_sql)}])),
+                      0.0::DOUBLE) AS v
+      FROM mi_sample)""")
+block("mi_rows", ("mi_x", "labels"), f"""SELECT *,
+  list_sort(list_filter([{', '.join(f'x - lag(x, {j}) OVER w, lead(x, {j}) OVER w - x'
+                                    for j in range(1, PR.MI_NEIGHBOURS + 1))}],
+                        lambda z: z IS NOT NULL))[k] AS r
+FROM (SELECT v.feature, l.target, l.y, v.customer_id, v.x,
+        count(*) OVER (PARTITION BY v.feature, l.target, l.y) AS nc,
+        least({PR.MI_NEIGHBOURS}, count(*) OVER (PARTITION BY v.feature, l.target, l.y) - 1) AS k
+      FROM mi_x v JOIN labels l USING (customer_id))
+WHERE nc > 1
+WINDOW w AS (PARTITION BY feature, target, y ORDER BY x)""")
+block("mi_near", ("mi_rows",), """SELECT feature, target, customer_id,
+  sum(CASE WHEN kind = 0 THEN below ELSE -below END) AS m
+FROM (SELECT feature, target, customer_id, kind, count(*) FILTER (WHERE kind = 1) OVER (
+        PARTITION BY feature, target ORDER BY v, kind
+        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS below
+      FROM (SELECT feature, target, customer_id, x + r AS v, 0 AS kind FROM mi_rows
+            UNION ALL SELECT feature, target, customer_id, x, 1 FROM mi_rows
+            UNION ALL SELECT feature, target, customer_id, x - r, 2 FROM mi_rows))
+WHERE kind <> 1 GROUP BY ALL""")
+block("psi", ("mi_sample",), """SELECT n, sum(CASE WHEN n = 1 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE / (n - 1) END)
+  OVER (ORDER BY n) - 0.5772156649015329::DOUBLE AS psi
+FROM range(1, (SELECT count(*) FROM mi_sample) + 1) t(n)""")
+block("mi_num", ("mi_rows", "mi_near", "psi"), """SELECT target, feature,
+  greatest(0.0::DOUBLE, avg(n.psi + k.psi - c.psi - m.psi)) AS mi
+FROM (SELECT r.target, r.feature, r.k, r.nc, greatest(e.m, 1) AS m,
+        count(*) OVER (PARTITION BY r.target, r.feature) AS n
+      FROM mi_rows r JOIN mi_near e USING (feature, target, customer_id)) x
+JOIN psi n ON n.n = x.n JOIN psi k ON k.n = x.k JOIN psi c ON c.n = x.nc JOIN psi m ON m.n = x.m
+GROUP BY target, feature""")
 _cat_bins = "\nUNION ALL\n".join(
     f"SELECT customer_id, '{c}' AS feature, coalesce({c}::VARCHAR, '__MISSING__') AS bin "
-    f"FROM mart WHERE is_test = 0" for c in CAT_COLS)
-block("bins", ("extra_long", "dict", "mart"), _bins + "\nUNION ALL\n" + _cat_bins)
-block("mi", ("bins", "labels"), """SELECT c.target, c.feature,
+    f"FROM mi_sample" for c in CAT_COLS)
+block("bins", ("mi_sample",), _cat_bins)
+block("mi_labels", ("labels", "mi_sample"),
+      "SELECT * FROM labels SEMI JOIN mi_sample USING (customer_id)")
+block("mi_cat", ("bins", "mi_labels"), """SELECT c.target, c.feature,
   sum(CASE WHEN c.nb1 > 0 THEN c.nb1 / c.N * ln(c.nb1 * c.N / (c.nb * c.N1)) ELSE 0 END
     + CASE WHEN c.nb - c.nb1 > 0 THEN (c.nb - c.nb1) / c.N
-           * ln((c.nb - c.nb1) * c.N / (c.nb * (c.N - c.N1))) ELSE 0 END) AS mi,
-  first(c.N1) AS N1, first(c.N) AS N
+           * ln((c.nb - c.nb1) * c.N / (c.nb * (c.N - c.N1))) ELSE 0 END) AS mi
 FROM (SELECT b.feature, b.bin, b.nb::DOUBLE AS nb, t.target, t.N::DOUBLE AS N, t.N1::DOUBLE AS N1,
         coalesce(p.nb1, 0)::DOUBLE AS nb1
       FROM (SELECT feature, bin, count(*) AS nb FROM bins GROUP BY ALL) b
-      CROSS JOIN (SELECT target, count(*) AS N, sum(y) AS N1 FROM labels GROUP BY target) t
+      CROSS JOIN (SELECT target, count(*) AS N, sum(y) AS N1 FROM mi_labels GROUP BY target) t
       LEFT JOIN (SELECT l.target, b.feature, b.bin, count(*) AS nb1
-                 FROM labels l JOIN bins b USING (customer_id) WHERE l.y = 1 GROUP BY ALL) p
+                 FROM mi_labels l JOIN bins b USING (customer_id) WHERE l.y = 1 GROUP BY ALL) p
         ON p.target = t.target AND p.feature = b.feature AND p.bin = b.bin) c
 GROUP BY c.target, c.feature""")
-block("mi_pool", ("dict",), "SELECT feature, position FROM (SELECT feature, pos AS position FROM dict "
-      "UNION ALL SELECT * FROM (VALUES " + ", ".join(
-          f"('{c}', {len(MT.EXTRA_FEATURES) + i})" for i, c in enumerate(CAT_COLS))
-      + ") t(feature, position))")
+block("mi", ("mi_num", "mi_cat", "mi_labels"), f"""SELECT m.target, m.feature,
+  round(m.mi, {PR.MI_DIGITS}) AS mi, t.N1, t.N
+FROM (SELECT target, feature, mi FROM mi_num UNION ALL SELECT target, feature, mi FROM mi_cat) m
+JOIN (SELECT target, count(*)::DOUBLE AS N, sum(y)::DOUBLE AS N1 FROM mi_labels GROUP BY target) t
+  USING (target)""")
+block("mi_pool", (), "SELECT * FROM (VALUES " + ", ".join(
+    f"('{c}', {i})" for i, c in enumerate(MI_FEATURES)) + ") t(feature, position)")
 block("mi_top", ("mi", "mi_pool"), f"""SELECT target, rank, feature FROM (
   SELECT m.target, m.feature, row_number() OVER (PARTITION BY m.target ORDER BY
-      CASE WHEN m.N1 = 0 OR m.N1 = m.N THEN 0.0 ELSE -round(m.mi, 12) END,
+      CASE WHEN m.N1 = 0 OR m.N1 = m.N THEN 0.0 ELSE -m.mi END,
       CASE WHEN m.N1 = 0 OR m.N1 = m.N THEN p.position ELSE 0 END, m.feature)::INTEGER AS rank
   FROM mi m JOIN mi_pool p USING (feature)) WHERE rank <= {MI_K}""")
 
 
 def _mi(ctx):
-    spark = ctx.spark
-    binned = PR.binned_features(ctx.mart, ctx.extra_long, _dictionary(spark), CAT_COLS)
-    return PR.mutual_information(binned, ctx.labels)
+    """(target, feature, mi, N1, N) on a sample of the train rows."""
+    train = SA.sample_random(ctx.mart.filter("is_test = 0"), PR.MI_ROWS)
+    sample = materialize(ctx.spark, (*ctx._key, "mi_sample"), lambda: train)
+    labels = ctx.labels.join(sample.select("customer_id"), "customer_id", "left_semi")
+    stats = row_stats(sample)
+    values = F.concat("extra", F.array(*[F.col(c).cast("double") for c in MT.NUM_FEATURES]),
+                      F.array(*[F.round(c, 6) if c in ("row_extra_mean", "row_extra_sum")
+                                else F.col(c) for c in MI_STATS]))
+    num = PR.numeric_information(PR.numeric_values(stats, list(MI_NUMBERS), values), labels)
+    cat = PR.category_information(PR.category_values(sample, CAT_COLS), labels)
+    mi = materialize(ctx.spark, (*ctx._key, "mi"), lambda: num.unionByName(cat))
+    return mi.withColumn("mi", F.round("mi", PR.MI_DIGITS)).join(
+        F.broadcast(PR.class_sizes(labels)), "target")                # one row per target
 
 
 def _mi_pool(spark):
-    rows = [(f, i) for i, f in enumerate(MT.EXTRA_FEATURES)]
-    rows += [(c, len(MT.EXTRA_FEATURES) + i) for i, c in enumerate(CAT_COLS)]
-    return spark.createDataFrame(rows, "feature STRING, position INT")
+    return spark.createDataFrame([(f, i) for i, f in enumerate(MI_FEATURES)],
+                                 "feature STRING, position INT")
 
 
 # -- A3 / A15 ---------------------------------------------------------------------------------
@@ -268,10 +321,10 @@ SELECT feature, (row_number() OVER (ORDER BY best, feature) - 1)::INTEGER AS pos
 QUALIFY position < {IMP_TOTAL}""", "mi"))
 def q_importance_union(spark, sf_dir):
     """Universal features (top by mean importance) union per-target specialists,
-    ordered by best rank then name, first n. Importance = binned MI per target."""
+    ordered by best rank then name, first n. Importance = information per target."""
     from pyspark.sql import Window
     from stackrank.sources import reports as RS
-    mi = _mi(context(spark, sf_dir)).select("target", "feature", F.round("mi", 12).alias("mi"))
+    mi = _mi(context(spark, sf_dir)).select("target", "feature", "mi")
     # The importance report goes through a CSV with a header and an index
     # column and is read back with an explicit schema.
     path = RS.scratch_path(spark, "importance-csv")
