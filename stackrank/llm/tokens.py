@@ -11,8 +11,11 @@ array operations; only new pieces become Python strings. Cuts used here:
 * word files that drop white space: at spaces, tabs and line ends;
 * both: between an ASCII letter or digit and the punctuation behind it.
 
-A piece is known by a 64-bit hash of its bytes. ``tests/llm`` compare the ids with
-whole-text encoding.
+A text that may hold an added token such as ``<|endoftext|>`` (which the library, at its
+defaults, gives an id of its own) is encoded whole. A piece is known by a 64-bit hash of its
+bytes under a key that each worker process draws for itself, so that no text can be made
+whose pieces collide; pieces of more than 64 bytes by keyed BLAKE2b. ``tests/llm`` compare
+the ids with whole-text encoding by an unchanged ``Tokenizer``.
 """
 
 from __future__ import annotations
@@ -23,10 +26,8 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
-from stackrank.llm.wordhash import U, _powers, mix, text_buffer
+from stackrank.llm.wordhash import U, mix, span_hashes, text_buffer
 
-_TABLE = np.random.Generator(np.random.PCG64(11)).integers(
-    1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 _KIND = (U(0x51ED2701A3C5E9B7), U(0xD6E8FEB86659FD93))     # without and with a space before
 
 
@@ -104,12 +105,13 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             self.drops_space = json.load(f).get("normalizer") is not None
         self.sep = " \x1f " if self.drops_space else "\n"
         (self.sep_id,) = self.tok.encode(self.sep, add_special_tokens=False).ids
         self.max_pieces = max_pieces
+        self.key = U(int.from_bytes(os.urandom(8), "little"))
+        self.mark = b"<|"                  # how the added tokens of the files begin
         self.bits = max(10, (4 * max_pieces).bit_length() - 1)
         self._reset()
 
@@ -125,7 +127,11 @@ class PieceEncoder:
     def _plain(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """Whether each text can be cut into pieces."""
         ok = np.ones(len(offs) - 1, bool)
-        if self.drops_space or not len(data):
+        if not len(data):
+            return ok
+        marked = np.flatnonzero((data[:-1] == self.mark[0]) & (data[1:] == self.mark[1]))
+        ok[np.searchsorted(offs, marked, "right") - 1] = False
+        if self.drops_space:
             return ok
         space, feed = data == 32, data == 10
         white = space | feed
@@ -179,11 +185,8 @@ class PieceEncoder:
         lens = ends - starts
         if not len(lens):
             return np.zeros(0, np.uint32), np.zeros(len(counts), np.int64)
-        at = np.arange(int(lens.sum())) - np.repeat(np.cumsum(lens) - lens - starts, lens)
-        inside = at - np.repeat(starts, lens)
-        h = np.add.reduceat(_TABLE[data[at]] * _powers(int(lens.max()) + 1)[inside],
-                            np.cumsum(lens) - lens)
-        h = mix(h + np.where(spaced, _KIND[1], _KIND[0]) + lens.astype(np.uint64)) | U(1)
+        h = span_hashes(data, starts, ends, self.key)
+        h = mix(h ^ np.where(spaced, _KIND[1], _KIND[0])) | U(1)
         idx = self.table.find(h)
         new = np.flatnonzero(idx < 0)
         if len(new):

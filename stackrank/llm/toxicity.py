@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stackrank.llm.common import slices
-from stackrank.llm.wordhash import _VALUE, _powers, mix, text_buffer, word_spans
+from stackrank.llm.wordhash import (LOW_BYTES, LOWER, eights, mix, span_hashes, text_buffer,
+                                    word_spans)
 
 BITS, FACTORS, LEAST_DOCS = 23, 8, 3
 PREFIXES = (4, 5, 6, 7, 8)
@@ -35,15 +36,12 @@ def terms(data: np.ndarray, offs: np.ndarray):
     lens = ends - starts
     if not len(lens):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), counts
-    at = np.arange(int(lens.sum())) - np.repeat(np.cumsum(lens) - lens - starts, lens)
-    inside = at - np.repeat(starts, lens)
-    run = np.cumsum(_VALUE[data[at]] * _powers(int(lens.max()) + 1)[inside], dtype=np.uint64)
-    first = np.cumsum(lens) - lens
-    before = np.where(first > 0, run[first - 1], np.uint64(0))
-    place, word = [mix(run[first + lens - 1] - before)], [np.arange(len(lens))]
+    data = LOWER[data]
+    eight = eights(data)
+    place, word = [span_hashes(data, starts, ends, window=eight)], [np.arange(len(lens))]
     for n in PREFIXES:
         i = np.flatnonzero(lens > n)
-        place.append(mix(run[first[i] + n - 1] - before[i] + np.uint64(n * 2 + 1)))
+        place.append(mix(mix(eight[starts[i]] & LOW_BYTES[n]) + np.uint64(n * 2 + 1)))
         word.append(i)
     place = (np.concatenate(place) >> np.uint64(64 - BITS)).astype(np.int64)
     return place, np.concatenate(word), counts

@@ -4,26 +4,30 @@ objects per word.
 A word is a run of digits, letters a-z (A-Z lower-cased) and characters beyond
 ASCII, i.e. ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z. In UTF-8
 all bytes from 0x80 on belong to such characters, so bytes can be classed by a table.
-A word's hash is a polynomial in a random table of byte values, modulo 2^64, finished
-with a bit mixer.
+A word's hash takes eight bytes at a time through a bit mixer (a bijection of 64 bits that
+is not linear), so no family of words collides by its structure; words of more than 64
+bytes are hashed by BLAKE2b.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240601))
-_VALUE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
-_VALUE[65:91] = _VALUE[97:123]                       # A-Z as a-z
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32                                   # A-Z as a-z
 _IS_WORD = np.zeros(256, bool)
 _IS_WORD[48:58] = _IS_WORD[65:91] = _IS_WORD[97:123] = True
 _IS_WORD[128:] = True
-_BASE = U(0x9E3779B97F4A7C15)
+_LENGTH, _NEXT = U(0x9E3779B97F4A7C15), U(0xD1B54A32D192ED03)
+LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+LONG = 64                                            # bytes of a word hashed eight at a time
 _GRAM = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * U(2) + U(1)
-SEGMENT = 4 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -33,15 +37,31 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-_POW = np.ones(1, np.uint64)
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as little-endian integers (zeros beyond the end)."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
 
 
-def _powers(n: int) -> np.ndarray:
-    global _POW
-    if len(_POW) < n:
-        _POW = np.cumprod(np.concatenate([np.ones(1, np.uint64),
-                                          np.full(max(n, 256), _BASE)]), dtype=np.uint64)
-    return _POW
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed=_LENGTH,
+                window: np.ndarray | None = None) -> np.ndarray:
+    """64-bit hashes of byte ranges; ``window`` is ``eights(data)`` if it is at hand."""
+    lens = ends - starts
+    if not len(lens):
+        return np.zeros(0, np.uint64)
+    u = eights(data) if window is None else window
+    h = mix((u[starts] & LOW_BYTES[np.minimum(lens, 8)]) ^ mix(lens.astype(np.uint64) + seed))
+    at, done = np.flatnonzero((lens > 8) & (lens <= LONG)), 8
+    while len(at):
+        part = u[starts[at] + done] & LOW_BYTES[np.minimum(lens[at] - done, 8)]
+        h[at] = mix(h[at] ^ mix(part + _NEXT))
+        done += 8
+        at = at[lens[at] > done]
+    key = int(seed).to_bytes(8, "little")
+    for i in np.flatnonzero(lens > LONG).tolist():
+        digest = hashlib.blake2b(data[starts[i]:ends[i]].tobytes(), digest_size=8, key=key)
+        h[i] = int.from_bytes(digest.digest(), "little")
+    return h
 
 
 def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -74,29 +94,12 @@ def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, np.flatnonzero(last) + 1
 
 
-def _hash_spans(data, starts, ends):
-    lens = ends - starts
-    if not len(lens):
-        return np.zeros(0, np.uint64)
-    at = np.arange(int(lens.sum())) - np.repeat(np.cumsum(lens) - lens - starts, lens)
-    inside = at - np.repeat(starts, lens)
-    vals = _VALUE[data[at]] * _powers(int(lens.max()) + 1)[inside]
-    return mix(np.add.reduceat(vals, np.cumsum(lens) - lens))
-
-
 def words(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all words in order, number of words of each text)."""
     data, offs = text_buffer(col)
     starts, ends = word_spans(data, offs)
-    parts, a = [], 0
-    while a < len(starts):                            # bounded work space for long texts
-        b = max(a + 1, int(np.searchsorted(ends, starts[a] + SEGMENT, "right")))
-        base = int(starts[a])
-        parts.append(_hash_spans(data[base:int(ends[b - 1])], starts[a:b] - base,
-                                 ends[a:b] - base))
-        a = b
     edge = np.searchsorted(starts, offs)
-    return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), np.diff(edge)
+    return span_hashes(LOWER[data], starts, ends), np.diff(edge)
 
 
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:

@@ -28,6 +28,16 @@ def test_words_match_the_pattern():
     assert len(set(zip(flat, h.tolist()))) == len(set(flat)) == len(set(h.tolist()))
 
 
+def test_regular_words_do_not_collide():
+    made = ["".join("ab"[(bin(i).count("1") + k) % 2] for i in range(n))
+            for n in (8, 9, 16, 63, 64, 65, 1024, 4096) for k in (0, 1)]
+    made += [w[:-1] + "c" for w in made] + ["c" + w[1:] for w in made]
+    h, counts = words(pa.array(made))
+    assert counts.tolist() == [1] * len(made) and len(set(h.tolist())) == len(set(made))
+    upper, _ = words(pa.array([w.upper() for w in made]))
+    assert (upper == h).all()
+
+
 # near duplicates ------------------------------------------------------------------------
 
 def shingles(text):

@@ -18,7 +18,6 @@ ENC = {f: PieceEncoder(public_tokenizers.path(f), max_pieces=50) for f in FILES}
 
 def whole(name, texts):
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -28,7 +27,7 @@ def split(enc, texts):
     return [ids[e - n:e].tolist() for n, e in zip(lens, ends)]
 
 
-ALPHABET = st.sampled_from(list("ab'sZ9.,!<|>é́ŉ中ß \n\t\x00\x1f  ") + ["  ", " \n", "<|endoftext|>"])
+ALPHABET = st.sampled_from(list("ab'sZ9.,!<|>é́ŉ中ß \n\t\x00\x1f  ") + ["  ", " \n", "<|endoftext|>", "<|startoftext|>", "<|"])
 
 
 @pytest.mark.parametrize("name", FILES)
@@ -38,6 +37,24 @@ def test_pieces_give_the_ids_of_whole_texts(name, texts):
     assert split(ENC[name], texts) == whole(name, texts)
 
 
+def thue_morse(n, a="a", b="b"):
+    return "".join((a, b)[bin(i).count("1") % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_added_tokens_and_like_words(name):
+    """Added tokens have ids of their own; long words that differ in a regular way are told
+    apart, also when the one is known already."""
+    texts = ["a <|endoftext|> b", "<|startoftext|>x<|endoftext|>", "<| no token |>", "a<|b", "<|"]
+    assert split(ENC[name], texts) == whole(name, texts)
+    assert 50256 in split(ENC[FILES[0]], texts)[0] and 49407 in split(ENC[FILES[1]], texts)[0]
+    long = [thue_morse(n, *ab) for n in (8, 16, 64, 1024, 2048) for ab in ("ab", "ba")]
+    enc = PieceEncoder(public_tokenizers.path(name))
+    for t in long:
+        assert split(enc, [t]) == whole(name, [t])
+    assert split(enc, long) == whole(name, long)
+
+
 @pytest.mark.parametrize("name", FILES)
 def test_pieces_on_documents(llm, name):
     texts = [r[0] for r in llm.read.parquet("/root/testdata/sf0.001/documents.parquet")
