@@ -16,6 +16,7 @@ One plan for all targets:
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -176,6 +177,96 @@ def optimized_weights(spark: SparkSession, pool: DataFrame, oof: DataFrame, labe
     return chosen.unionByName(uniform)
 
 
+def bounded_projection(w, lo: float, hi: float):
+    """The nearest point to ``w`` with lo <= w_i <= hi and sum 1: clip(w - t), t by
+    bisection (the sum falls as t rises). Bounds that admit no such point are an error."""
+    w = np.asarray(w, float)
+    if len(w) * lo > 1 + 1e-12 or len(w) * hi < 1 - 1e-12:
+        raise ValueError(f"infeasible weight bounds [{lo}, {hi}] for {len(w)} sources")
+    a, b = w.min() - hi, w.max() - lo
+    for _ in range(100):
+        t = (a + b) / 2
+        if np.clip(w - t, lo, hi).sum() > 1:
+            a = t
+        else:
+            b = t
+    return np.clip(w - (a + b) / 2, lo, hi)
+
+
+# Weight moved between two sources, halved from round to round.
+MOVES = (0.05, 0.025, 0.0125, 0.00625, 0.003125)
+
+
+def refined_weights(start: DataFrame, oof: DataFrame, labels: DataFrame, moves=MOVES,
+                    alpha: float = OPT_ALPHA, min_w: float = OPT_MIN_W, max_w: float = OPT_MAX_W,
+                    tries: int = 3) -> DataFrame:
+    """L9 + L10: (target, source, rank, weight, objective) from ``start`` (target, source, rank,
+    weight). Every round evaluates all moves of a weight between two sources of all targets
+    in one pass (exact AUC of targets x sources^2 candidates) and takes each target's best
+    one if it raises AUC - alpha * sum((w - 1/n)^2); a round repeats up to ``tries`` times
+    while any target improves. Never below the start. One-source and constant targets keep
+    their weights (objective null)."""
+    from stackrank.sources.context import cut
+    spark = start.sparkSession
+    flat = labels.groupBy("target").agg(F.min("y").alias("a"), F.max("y").alias("b")).where("a = b")
+    fixed = {r["target"] for r in flat.select("target").collect()}
+    table: dict = {}
+    for r in start.orderBy("target", "rank").collect():            # targets x sources
+        table.setdefault(r["target"], []).append((r["source"], r["weight"]))
+    now = {t: bounded_projection([w for _, w in v], min_w, max_w) for t, v in table.items()
+           if len(v) > 1 and t not in fixed}
+    sources = {t: [s for s, _ in v] for t, v in table.items()}
+    ranks = [(t, s, i) for t, v in sources.items() if t in now for i, s in enumerate(v)]
+    value: dict = {}
+    if now:
+        width = max(len(w) for w in now.values())
+        order = spark.createDataFrame(ranks, "target string, source string, i int")
+        wide = cut(oof.join(F.broadcast(order), ["target", "source"])          # bounded
+                   .groupBy("target", "customer_id").agg(*[
+                       F.max(F.when(F.col("i") == i, F.col("score"))).alias(f"r_{i}")
+                       for i in range(width)]).join(labels, ["target", "customer_id"]))
+
+        def objectives(points: list) -> dict:
+            rows = [(t, c, *map(float, w), *[0.0] * (width - len(w))) for t, c, w in points]
+            cand = spark.createDataFrame(rows, "target string, cand int, " + ", ".join(
+                f"w_{i} double" for i in range(width)))
+            blend = sum((F.col(f"w_{i}") * F.coalesce(f"r_{i}", F.lit(0.0))
+                         for i in range(width)), F.lit(0.0))
+            scored = wide.join(F.broadcast(cand), "target").select(           # bounded
+                "target", "cand", "y", blend.alias("score"))
+            got = exact_auc(scored, ["target", "cand"], score_digits=None).collect()
+            aucs = {(r["target"], r["cand"]): r["auc"] for r in got}
+            return {(t, c): round(aucs[(t, c)] - alpha * float(((w - 1 / len(w)) ** 2).sum()),
+                                  AUC_DIGITS) for t, c, w in points}
+
+        value = {t: v for (t, _), v in objectives([(t, 0, w) for t, w in now.items()]).items()}
+        for move in moves:
+            open_ = set(now)
+            for _ in range(tries):
+                points = []
+                for t in sorted(open_):
+                    pairs = [(i, j) for i in range(len(now[t])) for j in range(len(now[t])) if i != j]
+                    for c, (i, j) in enumerate(pairs):
+                        w = now[t].copy()
+                        w[i] += move
+                        w[j] -= move
+                        points.append((t, c, bounded_projection(w, min_w, max_w)))
+                made = {(t, c): w for t, c, w in points}
+                best: dict = {}
+                for (t, c), v in sorted(objectives(points).items()):
+                    if v > best.get(t, (value[t],))[0]:
+                        best[t] = (v, c)
+                for t, (v, c) in best.items():
+                    now[t], value[t] = made[(t, c)], v
+                open_ = set(best)
+                if not open_:
+                    break
+    out = [(t, s, i + 1, float(now[t][i]) if t in now else float(table[t][i][1]), value.get(t))
+           for t, v in sources.items() for i, s in enumerate(v)]
+    return spark.createDataFrame(out, "target string, source string, rank int, weight double, "
+                                      "objective double")
+
+
 def apply_weights(preds: DataFrame, weights: DataFrame) -> DataFrame:
     """(split, target, customer_id, score): w_1*s_1 + w_2*s_2 + ... in rank order.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stackrank.operators import blend as B
@@ -12,7 +13,7 @@ from stackrank.plans.catalog import query
 from stackrank.plans.sqlblocks import auc_sql, with_ctes
 from stackrank.sources import mart as MT
 from stackrank.sources import predictions as P
-from stackrank.sources.context import context
+from stackrank.sources.context import context, materialize
 
 BLEND_SOURCES = ("s_te_seg", "s_bal")
 
@@ -61,6 +62,25 @@ def q_fold_assign(spark, sf_dir):
     return spark.read.parquet(path)
 
 
+@query("fold_greedy", with_ctes(
+    "SELECT target, fold, n, p, true AS n_even, true AS p_even FROM ("
+    "SELECT target, (count(*) / 5.0::DOUBLE) AS n, (sum(y) / 5.0::DOUBLE) AS p FROM labels "
+    "GROUP BY target), range(5) t(fold)", "labels"))
+def q_fold_greedy(spark, sf_dir):
+    """G1 + G4: the greedy split's balance: per target and fold the even share of rows and
+    positives, and whether the fold is within one of it."""
+    ctx = context(spark, sf_dir)
+    folds = materialize(spark, (*ctx._key, "greedy_folds"), lambda: FO.greedy_folds(ctx.labels))
+    per = ctx.labels.join(folds, "customer_id").groupBy("target", F.col("fold").cast("long").alias(
+        "fold")).agg(F.count(F.lit(1)).alias("rows"), F.sum("y").alias("pos"))
+    w = Window.partitionBy("target")                                  # k rows each
+    return per.select(
+        "target", "fold", (F.sum("rows").over(w) / 5.0).alias("n"),
+        (F.sum("pos").over(w) / 5.0).alias("p"),
+        (F.abs(F.col("rows") - F.sum("rows").over(w) / 5.0) <= 1).alias("n_even"),
+        (F.abs(F.col("pos") - F.sum("pos").over(w) / 5.0) <= 1).alias("p_even"))
+
+
 @query("fold_single", with_ctes(
     "SELECT customer_id, target, ((row_number() OVER (PARTITION BY target, y ORDER BY "
     "('0x' || substr(md5(concat_ws(':', 'fold42', CAST(customer_id AS VARCHAR))), 1, 8))::BIGINT, "

@@ -9,11 +9,11 @@ from stackrank.plans.catalog import query
 from stackrank.plans.sqlblocks import block, with_ctes
 from stackrank.sources import mart as MT
 from stackrank.sources import predictions as P
-from stackrank.sources.context import context, cut
+from stackrank.sources.context import context, cut, materialize
 
 # Parameters of the routing queries.
 POOL_DELTA, POOL_CAP = 0.02, 2
-OPT_CAP = 3
+OPT_WIDTH, OPT_UNITS = len(P.SOURCE_ORDER), 10      # all sources, weights in tenths
 PRIMARY, FALLBACK = "s_spec", "s_bal"
 
 block("const", ("labels",),
@@ -59,10 +59,9 @@ def _fixed_ctes(width: int, delta: float = 0.0, cap: int = 0) -> list[tuple[str,
 
 def _final_ctes() -> list[tuple[str, str]]:
     return [
-        ("routed", "SELECT p.split, p.target, p.customer_id, "
-                   "coalesce(max(CASE WHEN w.rank = 1 THEN w.weight * p.score END), 0.0) + "
-                   "coalesce(max(CASE WHEN w.rank = 2 THEN w.weight * p.score END), 0.0) + "
-                   "coalesce(max(CASE WHEN w.rank = 3 THEN w.weight * p.score END), 0.0) AS score "
+        ("routed", "SELECT p.split, p.target, p.customer_id, " + " + ".join(
+            f"coalesce(max(CASE WHEN w.rank = {i} THEN w.weight * p.score END), 0.0)"
+            for i in range(1, OPT_WIDTH + 1)) + " AS score "
                    "FROM preds p JOIN wts w USING (target, source) GROUP BY ALL"),
         ("rscored", "SELECT r.target, r.score, l.y FROM routed r JOIN labels l "
                     "USING (target, customer_id) WHERE r.split = 'oof'"),
@@ -156,25 +155,26 @@ def q_route_pool(spark, sf_dir):
 def _opt_sql() -> str:
     from stackrank.plans.core_queries import _grid_sql
     grids = []
-    for n in range(1, OPT_CAP + 1):
-        gs = _grid_sql(n, 20) if n > 1 else "SELECT 1 AS grid_id, 20 AS u_0, 1.0::DOUBLE AS w_0"
+    for n in range(1, OPT_WIDTH + 1):
+        gs = _grid_sql(n, OPT_UNITS) if n > 1 else \
+            f"SELECT 1 AS grid_id, {OPT_UNITS} AS u_0, 1.0::DOUBLE AS w_0"
         ok = " AND ".join(f"w_{i} >= 0.01 - 1e-12 AND w_{i} <= 0.99 + 1e-12" for i in range(n)) \
             if n > 1 else "TRUE"
         pen = " + ".join(["0.0::DOUBLE"] + [f"pow(w_{i} - 1.0::DOUBLE / {n}, 2)" for i in range(n)])
-        cols = ", ".join((f"w_{i}" if i < n else "0.0::DOUBLE") + f" AS g_{i + 1}" for i in range(OPT_CAP))
+        cols = ", ".join((f"w_{i}" if i < n else "0.0::DOUBLE") + f" AS g_{i + 1}" for i in range(OPT_WIDTH))
         grids.append(f"SELECT {n} AS width, grid_id, {cols}, {pen} AS pen FROM ({gs}) WHERE {ok}")
     grid = "\nUNION ALL\n".join(grids)
-    piv = ", ".join(f"max(CASE WHEN rank = {i} THEN score END) AS r_{i}" for i in range(1, OPT_CAP + 1))
+    piv = ", ".join(f"max(CASE WHEN rank = {i} THEN score END) AS r_{i}" for i in range(1, OPT_WIDTH + 1))
     blend = " + ".join(["g.g_1 * x.r_1"] + [f"g.g_{i} * coalesce(x.r_{i}, 0.0)"
-                                             for i in range(2, OPT_CAP + 1)])
+                                             for i in range(2, OPT_WIDTH + 1)])
     ctes = [
-        ("pool", _pool_sql(1, 0.0, OPT_CAP)),
+        ("pool", _pool_sql(1, 0.0, 0)),
         ("rk", f"SELECT *, row_number() OVER (PARTITION BY target ORDER BY ord)::INTEGER AS rank "
-               f"FROM pool QUALIFY rank <= {OPT_CAP}"),
+               f"FROM pool QUALIFY rank <= {OPT_WIDTH}"),
         ("widths", "SELECT target, count(*)::INTEGER AS width, first(is_constant) AS is_constant "
                    "FROM rk GROUP BY target"),
         ("grid", grid),
-        ("wide", f"""SELECT x.target, x.customer_id, l.y, w.width, {', '.join(f'x.r_{i}' for i in range(1, OPT_CAP + 1))}
+        ("wide", f"""SELECT x.target, x.customer_id, l.y, w.width, {', '.join(f'x.r_{i}' for i in range(1, OPT_WIDTH + 1))}
 FROM (SELECT p.target, p.customer_id, {piv} FROM preds p JOIN rk USING (target, source)
       WHERE p.split = 'oof' GROUP BY p.target, p.customer_id) x
 JOIN labels l USING (target, customer_id) JOIN widths w USING (target) WHERE NOT w.is_constant"""),
@@ -184,7 +184,7 @@ JOIN labels l USING (target, customer_id) JOIN widths w USING (target) WHERE NOT
 JOIN grid g ON g.width = w.width AND g.grid_id = a.grid_id
 QUALIFY row_number() OVER (PARTITION BY a.target ORDER BY round(a.auc - 0.1 * g.pen, 12) DESC NULLS LAST,
   a.grid_id) = 1"""),
-        ("wts", f"""SELECT r.target, r.source, r.rank, [{', '.join(f'g.g_{i}' for i in range(1, OPT_CAP + 1))}][r.rank] AS weight
+        ("wts", f"""SELECT r.target, r.source, r.rank, [{', '.join(f'g.g_{i}' for i in range(1, OPT_WIDTH + 1))}][r.rank] AS weight
 FROM rk r JOIN best b USING (target) JOIN grid g ON g.width = b.width AND g.grid_id = b.grid_id
 UNION ALL
 SELECT r.target, r.source, r.rank, 1.0::DOUBLE / w.width AS weight FROM rk r JOIN widths w USING (target)
@@ -196,12 +196,27 @@ WHERE w.is_constant"""),
 
 @query("route_optimized", _opt_sql())
 def q_route_optimized(spark, sf_dir):
-    """L9 + L10 (re-aimed): regularised bounded grid search over all rows; the pool's cap
-    (L8) keeps the three best sources of a target."""
+    """L9 (re-aimed): regularised bounded grid search over all rows and all sources."""
+    ctx = context(spark, sf_dir)
+    w = _optimized(ctx)
+    fa = R.final_aucs(R.apply_weights(ctx.preds, w), ctx.labels)
+    return w.join(fa, "target", "left")
+
+
+def _optimized(ctx):
+    _, pool = _routing(ctx, "optimize_weights")
+    oof = ctx.preds.filter("split = 'oof'")
+    return materialize(ctx.spark, (*ctx._key, "route_optimized"), lambda: R.optimized_weights(
+        ctx.spark, pool, oof, ctx.labels, step=1.0 / OPT_UNITS))
+
+
+@query("route_continuous")
+def q_route_continuous(spark, sf_dir):
+    """L9 + L10: continuous weights: from the grid's best point on, moves of weight between two
+    sources, projected onto the bounds, as long as the objective rises."""
     ctx = context(spark, sf_dir)
-    _, pool = _routing(ctx, "optimize_weights", 0.0, OPT_CAP)
     oof = ctx.preds.filter("split = 'oof'")
-    w = cut(R.optimized_weights(spark, pool, oof, ctx.labels))
+    w = cut(R.refined_weights(_optimized(ctx), oof, ctx.labels))
     fa = R.final_aucs(R.apply_weights(ctx.preds, w), ctx.labels)
     return w.join(fa, "target", "left")
 
