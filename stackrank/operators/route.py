@@ -53,9 +53,10 @@ def weight_table(spark: SparkSession, mode: str, top2=TOP2_WEIGHTS, top3=TOP3_WE
     raise ValueError(mode)
 
 
-def source_aucs(oof_scored: DataFrame, labels: DataFrame, manifest: DataFrame) -> DataFrame:
-    """(target, source, position, auc, is_constant, order): per-target source order."""
-    aucs = exact_auc(oof_scored, ["target", "source"]).select("target", "source", "auc")
+def source_aucs(aucs: DataFrame, labels: DataFrame, manifest: DataFrame) -> DataFrame:
+    """(target, source, position, auc, is_constant, order): per-target source order, from the
+    AUC of every (target, source)."""
+    aucs = aucs.select("target", "source", "auc")
     const = labels.groupBy("target").agg((F.min("y") == F.max("y")).alias("is_constant"))
     j = aucs.join(F.broadcast(manifest), "source").join(const, "target")
     w = Window.partitionBy("target").orderBy(

@@ -118,14 +118,14 @@ def q_sources_long(spark, sf_dir):
 @query("auc_by_source", with_ctes(
     "SELECT target, source, n_pos, n_neg, auc FROM src_auc", "src_auc"))
 def q_auc_by_source(spark, sf_dir):
-    return M.exact_auc(context(spark, sf_dir).oof_scored(), ["target", "source"])
+    return context(spark, sf_dir).source_auc()
 
 
 @query("macro_auc", with_ctes(
     "SELECT source, count(auc)::BIGINT AS n_scored, round(avg(auc), 14) AS macro_auc "
     "FROM src_auc GROUP BY source", "src_auc"))
 def q_macro_auc(spark, sf_dir):
-    aucs = M.exact_auc(context(spark, sf_dir).oof_scored(), ["target", "source"])
+    aucs = context(spark, sf_dir).source_auc()
     return M.macro_auc(aucs, ["source"])
 
 

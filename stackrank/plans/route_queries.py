@@ -76,7 +76,7 @@ def _auc(rel, g, digits=9):
 
 def _routing(ctx, mode, delta=0.0, cap=0):
     spark = ctx.spark
-    ordered = cut(R.source_aucs(ctx.oof_scored(), ctx.labels, P.manifest_frame(spark)))
+    ordered = cut(R.source_aucs(ctx.source_auc(), ctx.labels, P.manifest_frame(spark)))
     pool = cut(R.candidate_pool(ordered, mode, delta, cap))
     return ordered, pool
 

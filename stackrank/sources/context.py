@@ -121,6 +121,12 @@ class Context:
             self.labels, ["target", "customer_id"]))
 
 
+    def source_auc(self) -> DataFrame:
+        """AUC per (target, source): sorted once per session, read by reports and routing."""
+        from stackrank.operators.metrics import exact_auc
+        return self._get("source_auc", lambda: exact_auc(self.oof_scored(), ["target", "source"]))
+
+
 def context(spark: SparkSession, sf_dir: str) -> Context:
     return Context(spark, sf_dir)
 
