@@ -79,6 +79,54 @@ def open_fs(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def one_blob(rows: DataFrame, make, name: str) -> str:
+    """``make(batches)`` (bytes) over all of ``rows``, whose size must have a bound, in one
+    task; the place of a file in the shared folder with the result."""
+    place = shared_folder(rows.sparkSession, name)
+
+    def write(raw: bytes) -> str:
+        # every attempt has a file of its own; the one whose name comes back is whole
+        fs, path = open_fs(place)
+        fs.create_dir(path)
+        file = f"part-{uuid.uuid4().hex}"
+        with fs.open_output_stream(f"{path}/{file}") as out:
+            out.write(raw)
+        return file
+
+    def run(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([write(make(batches))])], names=["file"])
+
+    got = rows.repartition(1).mapInArrow(run, "file string").first()
+    # without rows there may be no task
+    return f"{place}/{got['file'] if got else write(make([]))}"
+
+
+_LOADED: dict[str, object] = {}
+
+
+def load_blob(place: str):
+    """The pickled object of such a file; the last one of a worker process stays loaded."""
+    if place not in _LOADED:
+        import pickle
+        fs, path = open_fs(place)
+        with fs.open_input_stream(path) as f:
+            made = pickle.loads(f.read())
+        _LOADED.clear()
+        _LOADED[place] = made
+    return _LOADED[place]
+
+
+def trim() -> None:
+    """Give memory that the worker process has freed back to the system: workers live on
+    through all stages of a job, and an executor pays for the largest each has ever been."""
+    import ctypes
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:                                     # another C library
+        pass
+
+
 def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 2 << 20):
     """Cut a record batch into row ranges of at most ``max_bytes`` of ``column``
     (one row at least), so that memory follows bytes, not rows."""
@@ -93,6 +141,7 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 2 << 20):
             start, size = i, 0
         size += b
     yield batch.slice(start, n - start)
+    trim()
 
 
 def sorted_bounds(df: DataFrame, key: str, shards: int, per_shard: int = 24) -> list:

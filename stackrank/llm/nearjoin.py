@@ -31,13 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stackrank.llm.common import slices, written
+from stackrank.llm.common import slices, trim, written
 from stackrank.llm.components import components
 from stackrank.llm.wordhash import mix, shingle_sets, words
 
 SHINGLE, BANDS, ROWS, STEP = 5, 42, 6, 36
 HASHES = BANDS * ROWS
-BROADCAST_IDS = 2_000_000                               # 16 MB of hashes
+COLUMNS = 1 << 14                          # shingles of a bitmap at a time
 _rng = np.random.Generator(np.random.PCG64(97))
 _A = (_rng.integers(1, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
 _B = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)[:, None]
@@ -126,9 +126,9 @@ def link_counts(sets: list, left: np.ndarray, right: np.ndarray, weights: np.nda
     same = left is right
     links = np.zeros(n, np.int64)
     common = np.zeros((len(left), len(right)), np.int32)
-    for lo in range(0, width, 1 << 16):
-        m = (code >= lo) & (code < lo + (1 << 16))
-        cols = min(1 << 16, width - lo)
+    for lo in range(0, width, COLUMNS):
+        m = (code >= lo) & (code < lo + COLUMNS)
+        cols = min(COLUMNS, width - lo)
         bits = np.zeros((n, -(-cols // 64) * 64), bool)
         bits[owner[m], code[m] - lo] = True
         packed = np.packbits(bits, axis=1).view(np.uint64)
@@ -284,6 +284,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, tolerance: float =
                 forest.join(i, j)
         roots = [forest.find(i) for i in range(len(keys))]
         pairs = [(keys[i], keys[r]) for i, r in enumerate(roots) if i != r]
+        trim()
         return pd.DataFrame(pairs, columns=["a", "b"])
 
     edges = blocks.groupBy("bucket", "_lo", "_hi").applyInPandas(prune, "a binary, b binary")
@@ -293,12 +294,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, tolerance: float =
     nodes = written(groups.join(classes.select("_key", "_n", F.col("_one.r").alias("_rid")),
                                 "_key"), "near-nodes")
 
-    # the shingle sets of the classes that are left, made again from one text of each; up
-    # to BROADCAST_IDS hashes are sent to the scan, which then shuffles those texts alone
-    some = slim.select("_rid", "_text")
-    if nodes.count() <= BROADCAST_IDS:
-        some = some.join(F.broadcast(nodes.select("_rid")), "_rid", "left_semi")
-    texts = some.join(nodes, "_rid")
+    # the shingle sets of the classes that are left, made again from one text of each; the
+    # written table's size decides how it is joined to the texts
+    texts = slim.select("_rid", "_text").join(nodes, "_rid")
     sets = _shingle_rows(texts.withColumnRenamed("_key", "_own"), True).where("_key = _own")
     sets = written(sets.drop("_own").dropDuplicates(["_key"]), "near-sets")
     blocks = _blocks(sets, "_group", verify_chunk, F.octet_length("_data") / 8 + 512)
@@ -313,6 +311,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, tolerance: float =
         links = link_counts([np.frombuffer(s, "<u8") for s in pdf["_data"]], left, right,
                             pdf["_n"].to_numpy(), threshold, forest) \
             if len(left) and len(right) else np.zeros(len(keys), np.int64)
+        trim()
         return pd.DataFrame({"_key": keys, "_l": links,
                              "_root": [keys[forest.find(i)] for i in range(len(keys))]})
 

@@ -7,18 +7,21 @@ repeat; a hidden layer follows. Gated attention gives each passage a weight,
 sum of the encodings is scored by a logistic unit. Only document labels are used;
 the weights show which passages decided.
 
-The model has about 10,000 numbers and is fitted on the driver on a bounded sample of
-labelled rows (``rows_per_class`` of each class, those with the lowest hash of their id).
+The model has about 10,000 numbers and is fitted in one task on a bounded sample of labelled
+rows (at most ``rows_per_class`` of each class and ``sample_bytes`` of text, those with the
+lowest hash of their id).
 """
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stackrank.llm.common import slices
+from stackrank.llm.common import dropped, load_blob, one_blob, slices
 from stackrank.llm.toxicity import held_out, labelled_sample
 from stackrank.llm.wordhash import grams, text_buffer, word_spans, words
 
@@ -171,10 +174,11 @@ def fit(bags: list, labels: np.ndarray, sizes: dict | None = None, epochs: int =
     return m
 
 
-def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = 4_000, **kw) -> Bags:
-    """Fit on at most ``rows_per_class`` labelled documents of each class whose crc32(id)
-    mod 3 is not 1. Repeated ids count once."""
-    rows = labelled_sample(docs, labels, "quality", 3, 1, rows_per_class)
+def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = 4_000,
+          sample_bytes: int = 256 << 20, **kw) -> str:
+    """Fit in one task on a sample (see ``labelled_sample``) of the documents whose crc32(id)
+    mod 3 is not 1; the place of the fitted model in the shared folder."""
+    rows = labelled_sample(docs, labels, "quality", 3, 1, rows_per_class, sample_bytes)
 
     def run(batches):
         for batch in batches:
@@ -186,29 +190,35 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = 4_000, **kw)
                     [part.column("_id"), part.column("_y"), part.column("_n"),
                      pa.array(out, pa.binary())], names=["_id", "_y", "_n", "_f"])
 
-    got = (rows.mapInArrow(run, "_id long, _y int, _n long, _f binary").groupBy("_id")
-           .agg(F.max("_y").alias("_y"), F.max("_n").alias("_n"), F.min("_f").alias("_f")))
-    bags, y, sizes = [], [], {}
-    for r in sorted(got.collect(), key=lambda r: r["_id"]):
-        bags.append(np.frombuffer(r["_f"], "<f4").reshape(-1, FEATURES))
-        y.append(r["_y"])
-        sizes[r["_y"]] = r["_n"]
-    return fit(bags, np.array(y, float), sizes, **kw)
+    def fitted(batches):
+        data = {}
+        for batch in batches:
+            for i, y, n, f in zip(*[batch.column(c).to_pylist() for c in
+                                    ("_id", "_y", "_n", "_f")]):
+                data[i] = (np.frombuffer(f, "<f4").reshape(-1, FEATURES), y, n)
+        order = sorted(data)
+        return pickle.dumps(fit([data[i][0] for i in order],
+                                np.array([data[i][1] for i in order], float),
+                                {y: n for _, y, n in data.values()}, **kw))
+
+    place = one_blob(rows.mapInArrow(run, "_id long, _y int, _n long, _f binary"), fitted,
+                     "quality-model")
+    dropped(rows)
+    return place
 
 
-def score_documents(docs: DataFrame, model: Bags) -> DataFrame:
+def score_documents(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, score, predicted, n_passages, top_passage (byte offset of the passage with the
-    largest attention) of every row.
+    largest attention) of every row. ``model`` is the place that ``train`` gave.
 
-    Null and empty texts are one empty passage; repeated rows get equal scores; null ids
+    Null and empty texts are one empty passage; very long texts are scored by all passages; repeated rows get equal scores; null ids
     are kept; other columns are ignored; an empty table gives no row.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.col("text").alias("_text"))
 
     def run(batches):
-        m = sent.value
+        m = load_blob(model)
         for batch in batches:
             for part in slices(batch, "_text", 1 << 20):
                 x, per = passages(part.column("_text"))

@@ -9,18 +9,22 @@ its windows of 128 words (half overlapping, so that every pair within 64 words s
 a window) and takes its highest window's score: one insult weighs as much in a long
 text as in a short one.
 
-The model is fitted on the driver on a bounded sample of labelled rows (``max_rows``,
-those with the lowest hash of their id), and sent to the tasks: 9 floats a place.
+The model is fitted in one task on a bounded sample of labelled rows (at most
+``rows_per_class`` of each class and ``sample_bytes`` of text, those with the lowest hash of
+their id) and handed to the scoring tasks as a file in the shared folder: 9 floats a place.
+Neither the sample nor the model passes the driver.
 """
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stackrank.llm.common import slices
+from stackrank.llm.common import dropped, load_blob, one_blob, slices, written
 from stackrank.llm.wordhash import (LOW_BYTES, LOWER, eights, mix, span_hashes, text_buffer,
                                     word_spans)
 
@@ -66,24 +70,23 @@ class Vocabulary:
     """Places with parameters, numbered; others are left out of a text's terms."""
 
     def __init__(self, places: np.ndarray):
-        self.places, self._number = np.sort(places), None
+        self.places, self._known = np.sort(places), None
 
     def __getstate__(self):
         return self.places
 
     def __setstate__(self, places):
-        self.places, self._number = places, None
+        self.places, self._known = places, None
 
     def __len__(self):
         return len(self.places)
 
     def keep(self, place, word, counts):
-        if self._number is None:
-            self._number = np.full(1 << BITS, -1, np.int32)
-            self._number[self.places] = np.arange(len(self.places))
-        n = self._number[place]
-        known = n >= 0
-        return n[known].astype(np.int64), word[known], counts
+        if self._known is None:
+            self._known = np.zeros(1 << BITS, bool)
+            self._known[self.places] = True
+        known = self._known[place]
+        return np.searchsorted(self.places, place[known]), word[known], counts
 
 
 class Machine:
@@ -110,9 +113,11 @@ class Machine:
         squares = np.zeros(n)
         live = edges[1:] > edges[:-1]
         if live.any():
-            v = self.v[place].astype(np.float64)
-            sums[live] = np.add.reduceat(v, edges[:-1][live], axis=0)
-            squares[live] = np.add.reduceat((v * v).sum(axis=1), edges[:-1][live])
+            at = edges[:-1][live]
+            for f in range(FACTORS):                    # one factor at a time: 8 bytes a term
+                v = self.v[place, f].astype(np.float64)
+                sums[live, f] = np.add.reduceat(v, at)
+                squares[live] += np.add.reduceat(v * v, at)
         return self.w0 + lin + 0.5 * ((sums * sums).sum(axis=1) - squares), sums
 
     def score(self, place, word, counts) -> np.ndarray:
@@ -172,9 +177,10 @@ def fit(vocabulary: Vocabulary, docs: list, labels: np.ndarray, epochs: int = 6,
             m.w[u] = np.sign(w) * np.maximum(0, np.abs(w) - rate * sparse / np.sqrt(gw[u]))
             if epoch < epochs // 2:
                 continue
-            part_v = g[:, None] * (sums[win] - m.v[place])
-            dv = np.stack([np.bincount(inv, weights=part_v[:, f]) for f in range(FACTORS)], 1)
-            dv += pair_decay * m.v[u]
+            if not len(u):                              # no known term in the batch
+                continue
+            dv = np.stack([np.bincount(inv, weights=g * (sums[win, f] - m.v[place, f]))
+                           for f in range(FACTORS)], 1) + pair_decay * m.v[u]
             gv[u] += dv * dv
             m.v[u] -= (pair_rate * dv / np.sqrt(gv[u])).astype(np.float32)
     return m.pruned()
@@ -186,9 +192,16 @@ def held_out(id_col, mod: int, rest: int):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, rest: int,
-                    rows_per_class: int) -> DataFrame:
-    """(_id, _y, _text) of at most ``rows_per_class`` labelled ids of each class outside the
-    held-out ids, those with the lowest hash; a column ``_n`` holds the class's size."""
+                    rows_per_class: int, sample_bytes: int) -> DataFrame:
+    """(_id, _y, _n, _text) of at most ``rows_per_class`` labelled ids of each class outside the
+    held-out ids, those with the lowest hash, as long as their texts stay within
+    ``sample_bytes`` in all (half for each class); a column ``_n`` holds the class's size.
+
+    Ids or labels that are null and labels other than 0 and 1 take no part; an id that occurs
+    more than once counts once, with its smallest text (null counts as empty); very long
+    texts count whole, and one that does not fit ends the sample of its class; other
+    columns are ignored; empty tables give no row.
+    """
     known = (labels.select(F.col("doc_id").cast("long").alias("_id"),
                            F.col(label).cast("int").alias("_y"))
              .where(F.col("_id").isNotNull() & F.col("_y").isin(0, 1)
@@ -202,15 +215,22 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, re
     chosen = spark.createDataFrame([], "_id long, _y int, _n long") if not parts else parts[0]
     for p in parts[1:]:
         chosen = chosen.union(p)
-    # at most 2 x rows_per_class rows, whatever the input
-    return (docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text"))
-            .join(F.broadcast(chosen), "_id"))
-
-
-def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = 6_000, **kw) -> Machine:
-    """Fit on at most ``rows_per_class`` labelled documents of each class whose crc32(id)
-    mod 5 is not 0. Repeated ids count once (the smallest text's features)."""
-    rows = labelled_sample(docs, labels, "toxic", 5, 0, rows_per_class)
+    # at most 2 x rows_per_class rows, whatever the input; copies of an id meet before the shuffle
+    texts = (docs.select(F.col("doc_id").cast("long").alias("_id"),
+                         F.coalesce("text", F.lit("")).alias("_text"))
+             .join(F.broadcast(chosen), "_id")
+             .groupBy("_id", "_y", "_n").agg(F.min("_text").alias("_text")))
+    run = Window.partitionBy("_y").orderBy(F.xxhash64("_id"), "_id")
+    kept = texts.withColumn("_to", F.sum(F.octet_length("_text").cast("long")).over(run)).where(
+        F.col("_to") <= sample_bytes // 2)
+    return written(kept.select("_id", "_y", "_n", "_text"), "labelled-sample")
+
+
+def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = 6_000,
+          sample_bytes: int = 256 << 20, **kw) -> str:
+    """Fit on a sample (see ``labelled_sample``) of the documents whose crc32(id) mod 5 is not 0;
+    the place of the fitted machine in the shared folder."""
+    rows = labelled_sample(docs, labels, "toxic", 5, 0, rows_per_class, sample_bytes)
 
     def places(batches):
         for batch in batches:
@@ -224,6 +244,7 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = 6_000, **kw)
 
     known = (rows.select("_text").mapInArrow(places, "place long, n long").groupBy("place")
              .agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_DOCS).select("place"))
+    # at most 2^BITS places
     vocabulary = Vocabulary(known.toPandas()["place"].to_numpy(np.int64))
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
@@ -244,34 +265,41 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = 6_000, **kw)
                                zip(cut[:-1], cut[1:])], pa.binary())],
                     names=["_id", "_y", "_n", "_f", "_p"])
 
-    got = (rows.mapInArrow(run, "_id long, _y int, _n long, _f binary, _p binary")
-           .groupBy("_id").agg(F.max("_y").alias("_y"), F.max("_n").alias("_n"),
-                               F.min(F.struct("_p", "_f")).alias("_s")))
-    data, share = {}, {}
-    for r in got.toLocalIterator():                     # a partition at a time; bounded
-        size = np.frombuffer(r["_s"]["_f"], "<u4")
-        data[r["_id"]] = (size, np.frombuffer(r["_s"]["_p"], "<u4"), r["_y"])
-        share[r["_y"]] = r["_n"]
-    order = sorted(data)
-    y = np.array([data[i][2] for i in order], float)
-    data = [data[i][:2] for i in order]
-    return fit(vocabulary, data, y, sizes=share, **kw)
-
-
-def score_documents(docs: DataFrame, machine: Machine, carry: tuple = ()) -> DataFrame:
+    bags = rows.mapInArrow(run, "_id long, _y int, _n long, _f binary, _p binary")
+
+    def fitted(batches):
+        data = {}
+        for batch in batches:
+            for i, y, n, f, p in zip(*[batch.column(c).to_pylist() for c in
+                                       ("_id", "_y", "_n", "_f", "_p")]):
+                data[i] = (np.frombuffer(f, "<u4"), np.frombuffer(p, "<u4"), y, n)
+        order = sorted(data)
+        y = np.array([data[i][2] for i in order], float)
+        return pickle.dumps(fit(sent.value, [data[i][:2] for i in order], y,
+                                sizes={v[2]: v[3] for v in data.values()}, **kw))
+
+    place = one_blob(bags, fitted, "toxicity-model")
+    sent.destroy()
+    dropped(rows)
+    return place
+
+
+def score_documents(docs: DataFrame, machine: str, carry: tuple = ()) -> DataFrame:
     """doc_id, score, predicted of every row, with the columns in ``carry`` unchanged.
+    ``machine`` is the place that ``train`` gave.
 
     Null and empty texts and texts without words get the score of no terms. Repeated
-    rows get equal scores; null ids are kept; an empty table gives no row.
+    rows get equal scores; null ids are kept; very long texts are scored whole, by all
+    their windows; other columns are dropped unless carried, and one that clashes with
+    the result's is not read; an empty table gives no row.
     """
-    model = docs.sparkSession.sparkContext.broadcast(machine)
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.col("text").alias("_text"), *[docs[c] for c in carry])
     schema = "doc_id long, score double" + "".join(
         f", `{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[2:])
 
     def run(batches):
-        m = model.value
+        m = load_blob(machine)
         for batch in batches:
             for part in slices(batch, "_text", 1 << 20):
                 s = m.score(*terms(*text_buffer(part.column("_text"))))
