@@ -56,6 +56,43 @@ def distinct_counts(extra_long: DataFrame, dictionary: DataFrame) -> DataFrame:
                                             F.col("n_unique").cast("bigint").alias("n_unique"))
 
 
+def few_distinct(mart: DataFrame, dictionary: DataFrame, cap: int = 50,
+                 block: str = "extra") -> DataFrame:
+    """(pos, feature, n_unique) of the features of an ARRAY<DOUBLE> with at most ``cap`` distinct
+    non-null values (NaN is one value, the zeros are one). A task keeps a set of values per
+    feature and gives the feature up when it holds more than ``cap``, so the values of a
+    continuous feature are never sent; at most ``cap`` + 1 rows leave a task per feature."""
+    def run(batches):
+        seen: dict[int, set] = {}
+        over: set[int] = set()
+        for b in batches:
+            col = b.column("x")
+            n = b.num_rows
+            flat = col.flatten()
+            width = len(flat) // n if n else 0
+            null = flat.is_null().to_numpy(zero_copy_only=False).reshape(n, width)
+            x = flat.to_numpy(zero_copy_only=False).astype(float).reshape(n, width) + 0.0
+            for j in range(width):
+                if j not in over:
+                    got = seen.setdefault(j, set())
+                    got.update(np.unique(x[~null[:, j], j]).view(np.int64).tolist())
+                    if len(got) > cap:
+                        over.add(j)
+                        del seen[j]
+        rows = [(j, v) for j, s in seen.items() for v in s] + [(j, None) for j in over]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64())],
+            names=["pos", "bits"])
+
+    parts = mart.select(F.col(block).alias("x")).where(F.size("x") > 0).mapInArrow(
+        run, "pos int, bits long")
+    counts = parts.groupBy("pos").agg(F.countDistinct("bits").alias("n_unique"),
+                                      F.count_if(F.col("bits").isNull()).alias("_over"))
+    return (counts.where((F.col("_over") == 0) & (F.col("n_unique") <= cap))
+            .join(F.broadcast(dictionary), "pos")                     # one row per feature
+            .select("pos", "feature", F.col("n_unique").cast("bigint").alias("n_unique")))
+
+
 def pseudo_categorical(counts: DataFrame, min_unique: int = 2, max_unique: int = 50) -> DataFrame:
     """Features whose distinct count lies in [min, max] (listed by name)."""
     return counts.filter((F.col("n_unique") >= min_unique) & (F.col("n_unique") <= max_unique))

@@ -217,7 +217,7 @@ def q_rank_block(spark, sf_dir):
 @query("pseudo_categorical", with_ctes("SELECT feature, n_unique FROM pseudo", "pseudo"))
 def q_pseudo_categorical(spark, sf_dir):
     ctx = context(spark, sf_dir)
-    counts = PR.distinct_counts(ctx.extra_long, _dictionary(spark))
+    counts = PR.few_distinct(ctx.mart, _dictionary(spark))
     return PR.pseudo_categorical(counts).select("feature", "n_unique")
 
 
@@ -226,7 +226,7 @@ def q_pseudo_categorical(spark, sf_dir):
     f"::INTEGER AS rank FROM pseudo) WHERE rank <= {LOWEST_N}", "pseudo"))
 def q_pseudo_cat_lowest(spark, sf_dir):
     ctx = context(spark, sf_dir)
-    pseudo = PR.pseudo_categorical(PR.distinct_counts(ctx.extra_long, _dictionary(spark)))
+    pseudo = PR.pseudo_categorical(PR.few_distinct(ctx.mart, _dictionary(spark)))
     return PR.lowest_unique(pseudo, LOWEST_N).select("feature", "n_unique", "rank")
 
 
@@ -242,7 +242,7 @@ def q_cat_list(spark, sf_dir):
     (by name) that are in the selected feature set, de-duplicated in order."""
     ctx = context(spark, sf_dir)
     dic = _dictionary(spark)
-    pseudo = PR.pseudo_categorical(PR.distinct_counts(ctx.extra_long, dic))
+    pseudo = PR.pseudo_categorical(PR.few_distinct(ctx.mart, dic))
     selected = PR.take_slice(PR.variance_ranking(ctx.extra_long, dic), top_k=VAR_TOP_K)
     in_set = pseudo.join(selected.select("feature"), "feature", "left_semi")
     from pyspark.sql import Window

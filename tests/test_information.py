@@ -58,3 +58,16 @@ def test_information_over_tables(spark):
           for f in ("signal",)}
     x = np.array([v for _, v in by["signal"]])
     assert got[("t", "signal")] == pytest.approx(brute(x[:n], y), abs=1e-9)
+
+
+def test_few_distinct_values(spark):
+    nan = float("nan")
+    rows = [(i, [float(i % 3), float(i), None if i % 2 else 1.0, [nan, 0.0, -0.0][i % 3], None,
+                 float(i % 50), float(i % 51)]) for i in range(600)]
+    mart = spark.createDataFrame(rows, "customer_id long, extra array<double>").repartition(5)
+    dic = spark.createDataFrame([(j, f"f{j}") for j in range(7)], "pos int, feature string")
+    got = {r.feature: r.n_unique for r in PR.few_distinct(mart, dic).collect()}
+    assert got == {"f0": 3, "f2": 1, "f3": 2, "f5": 50}
+    whole = PR.distinct_counts(mart.select(F.posexplode("extra").alias("pos", "value")), dic)
+    assert {r.feature: r.n_unique for r in whole.collect() if 0 < r.n_unique <= 50} == got
+    assert PR.few_distinct(mart.limit(0), dic).count() == 0
