@@ -84,15 +84,6 @@ def build_sources(spark: SparkSession, mart: DataFrame, labels: DataFrame,
     return seg.unionByName(nat).unionByName(bal).unionByName(spec).unionByName(dup)
 
 
-def long_to_wide(preds: DataFrame, split: str, targets=TARGETS) -> DataFrame:
-    """One source's frame in the contest spelling: OOF -> target_x, test -> predict_x."""
-    prefix = "target_" if split == "oof" else "predict_"
-    cols = [t.replace("target_", prefix, 1) for t in targets]
-    named = preds.filter(F.col("split") == split).withColumn(
-        "col", F.regexp_replace("target", "^target_", prefix))
-    return named.groupBy(ID).pivot("col", cols).agg(F.first("score"))
-
-
 def write_wide_sources(preds: DataFrame, split: str, path: str, targets=TARGETS) -> None:
     """Every source's frame of one split in the contest spelling, as folders
     ``source=<name>`` below ``path``: one scan and one pivot for all sources."""
