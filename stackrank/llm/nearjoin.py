@@ -37,6 +37,7 @@ from stackrank.llm.wordhash import mix, shingle_sets, words
 
 SHINGLE, BANDS, ROWS, STEP = 5, 42, 6, 36
 HASHES = BANDS * ROWS
+BROADCAST_IDS = 2_000_000                  # 16 MB of hashes
 COLUMNS = 1 << 14                          # shingles of a bitmap at a time
 _rng = np.random.Generator(np.random.PCG64(97))
 _A = (_rng.integers(1, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
@@ -294,9 +295,13 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, tolerance: float =
     nodes = written(groups.join(classes.select("_key", "_n", F.col("_one.r").alias("_rid")),
                                 "_key"), "near-nodes")
 
-    # the shingle sets of the classes that are left, made again from one text of each; the
-    # written table's size decides how it is joined to the texts
-    texts = slim.select("_rid", "_text").join(nodes, "_rid")
+    # the shingle sets of the classes that are left, made again from one text of each; up
+    # to BROADCAST_IDS hashes are sent to the scan, so that only those texts are shuffled;
+    # beyond that size the join shuffles all
+    some = slim.select("_rid", "_text")
+    if nodes.count() <= BROADCAST_IDS:
+        some = some.join(F.broadcast(nodes.select("_rid")), "_rid", "left_semi")
+    texts = some.join(nodes, "_rid")
     sets = _shingle_rows(texts.withColumnRenamed("_key", "_own"), True).where("_key = _own")
     sets = written(sets.drop("_own").dropDuplicates(["_key"]), "near-sets")
     blocks = _blocks(sets, "_group", verify_chunk, F.octet_length("_data") / 8 + 512)
