@@ -21,7 +21,7 @@ import itertools
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stackrank.operators.metrics import AUC_DIGITS, exact_auc, grid_contenders
+from stackrank.operators.metrics import AUC_DIGITS, GRID_ROUNDS, exact_auc, grid_contenders
 from stackrank.operators.rank import rank_normalize
 
 STEP = 0.05
@@ -74,7 +74,7 @@ def blend_search(spark: SparkSession, preds: DataFrame, labels: DataFrame, sourc
                  step: float = STEP, use_rank: bool = True) -> DataFrame:
     """L2 search: (target, grid_id, w_0..w_{n-1}, auc) — the best grid point per target."""
     sources = list(sources)
-    from stackrank.sources.context import cut
+    from stackrank.sources.context import cut, stored
     n = len(sources)
     oof = preds.filter((F.col("split") == "oof") & F.col("source").isin(sources))
     if use_rank:
@@ -83,17 +83,19 @@ def blend_search(spark: SparkSession, preds: DataFrame, labels: DataFrame, sourc
         oof = oof.withColumn("r", F.col("score"))
     cols = [F.col(f"r_{i}") for i in range(n)]
     wide = _pivot_sources(oof, sources, "r").join(labels, ["target", "customer_id"])
-    wide = cut(wide)                                    # read by the three passes below
-    span = wide.groupBy("target").agg(
+    wide = stored(wide)                                 # read by the passes below
+    span = cut(wide.groupBy("target").agg(
         F.min(F.least(*cols) if n > 1 else cols[0]).alias("_min"),
-        F.max(F.greatest(*cols) if n > 1 else cols[0]).alias("_max"))
+        F.max(F.greatest(*cols) if n > 1 else cols[0]).alias("_max")))
     grid = simplex_grid(spark, n, step)
     score = F.round(_blend_expr(n), SCORE_DIGITS).alias("score")
     # bounds of all points by counts in bins, then the exact AUC of those that can win
-    binned = (wide.join(F.broadcast(span), "target").crossJoin(F.broadcast(grid))
-              .select("target", "grid_id", "y", score, "_min", "_max"))
-    able = cut(grid_contenders(binned, ["target"], "grid_id", "_min", "_max"))
-    points = able.join(F.broadcast(grid), "grid_id")    # at most targets x grid rows
+    points = span.select("target").crossJoin(F.broadcast(grid))
+    for bins in GRID_ROUNDS:
+        binned = (wide.join(F.broadcast(span), "target").join(F.broadcast(points), "target")
+                  .select("target", "grid_id", "y", score, "_min", "_max"))
+        able = cut(grid_contenders(binned, ["target"], "grid_id", "_min", "_max", bins=bins))
+        points = able.join(F.broadcast(grid), "grid_id")    # at most targets x grid rows
     blended = wide.join(F.broadcast(points), "target").select("target", "grid_id", "y", score)
     aucs = exact_auc(blended, ["target", "grid_id"])
     w = Window.partitionBy("target").orderBy(F.col("auc").desc_nulls_last(), "grid_id")
