@@ -52,3 +52,28 @@ def test_repeated_and_null_customers_multiply_as_in_the_joins(spark):
     assert got[("oof", "s_te_seg", 1)] == 4 * 7 and got[("oof", "s_bal", 1)] == 2 * 7
     assert ("oof", "s_te_seg", None) not in got and got[("oof", "s_spec", None)] == 2
     assert got[("test", "s_te_nation", 3)] == 7 and got[("oof", "s_te_seg", 2)] == 7
+
+
+def _grid_rows(spark, ys):
+    """Scores of three points for rows with labels ``ys``: the last point ranks best."""
+    rows = [("t", g, float((i * (7, 5, 1)[g]) % len(ys)), y) for i, y in enumerate(ys)
+            for g in range(3)]
+    return spark.createDataFrame(rows, "target STRING, grid_id INT, score DOUBLE, y INT").withColumns(
+        {"_min": F.lit(0.0), "_max": F.lit(float(len(ys)))})
+
+
+def test_finer_bins_leave_fewer_points_and_keep_the_best(spark):
+    df = _grid_rows(spark, [0] * 40 + [1] * 24)
+    best = M.exact_auc(df, ["target", "grid_id"]).orderBy(F.desc("auc")).first()["grid_id"]
+    left = [{r["grid_id"] for r in M.grid_contenders(df, ["target"], "grid_id", "_min", "_max",
+                                                     bins=n).collect()} for n in (1, 4096)]
+    assert left[0] == {0, 1, 2} and left[1] == {best}
+
+
+def test_missing_labels_never_drop_the_best_point(spark):
+    for k in range(2, 6):
+        df = _grid_rows(spark, [None if i % k == 0 else int(i % 7 in (1, 2)) for i in range(64)])
+        aucs = {r["grid_id"]: r["auc"] for r in M.exact_auc(df, ["target", "grid_id"]).collect()}
+        left = {r["grid_id"] for r in M.grid_contenders(df, ["target"], "grid_id", "_min", "_max",
+                                                        bins=4096).collect()}
+        assert max(aucs, key=aucs.get) in left
