@@ -583,10 +583,14 @@ JOIN (SELECT *, row_number() OVER (PARTITION BY pos, fold ORDER BY {sql_h('perm4
                                         "JOIN folds f USING (customer_id)")]))
 def q_shuffle_column(spark, sf_dir):
     ctx = context(spark, sf_dir)
-    t = ctx.extra_long.join(ctx.folds, "customer_id").select("customer_id", "pos", "fold", "value")
-    shuffled = SA.shuffle_within(t, ["pos", "fold"], "value")
-    return shuffled.join(t, ["customer_id", "pos", "fold"]).select(
-        "customer_id", "pos", "fold", "value", "shuffled")
+    # the hash order of a fold is the same for every position: whole arrays change places
+    t = ctx.mart.select("customer_id", "extra").join(ctx.folds, "customer_id").select(
+        "customer_id", "fold", "extra")
+    shuffled = SA.shuffle_within(t, ["fold"], "extra")
+    each = F.posexplode(F.arrays_zip(F.col("extra").alias("value"), F.col("shuffled").alias("shuffled")))
+    return shuffled.join(t, ["customer_id", "fold"]).select(
+        "customer_id", "fold", each.alias("pos", "_e")).select(
+        "customer_id", "pos", "fold", "_e.value", "_e.shuffled")
 
 
 # -- E10 + J4: audit candidate sets ------------------------------------------------------------
