@@ -12,6 +12,7 @@ from stackrank.operators import blend as B
 from stackrank.operators import metrics as M
 from stackrank.operators import route as R
 from stackrank.operators.positions import hash_positions
+from stackrank.operators import rank as RK
 from stackrank.operators.rank import rank_average, rank_normalize
 from stackrank.plans.route_queries import assemble_submission
 
@@ -141,3 +142,73 @@ def test_manifest_load_checks_labels_and_columns(spark, tmp_path):
     got = sorted(tuple(r) for r in load_sources(spark, [entry], "skip").collect())
     assert got == [("oof", "s", "target_a", 1, 0.5), ("test", "s", "target_a", 2, 0.4),
                    ("test", "s", "target_b", 2, 0.3)]
+
+
+def test_rank_ranges_split_a_tied_score_and_keep_order(spark):
+    """A score that most rows share is cut into several ranges; positions, ties by equal hashes
+    and null, NaN and infinite scores are those of one window, in a null group too."""
+    inf, nan = float("inf"), float("nan")
+    odd = [None, nan, inf, -inf, 0.0, -0.0]
+    rows = [(None if i % 7 == 0 else "g", i % 400, 0.5 if i % 10 else odd[i // 10 % 6])
+            for i in range(6000)]
+    df = spark.createDataFrame(rows, "g string, customer_id long, score double").repartition(5)
+    w = Window.partitionBy("g")
+    want = df.select("*", F.round(
+        (F.row_number().over(w.orderBy("score", h("tie", "customer_id"), "customer_id")) - 1)
+        / (F.count(F.lit(1)).over(w) - 1), 12).alias("r"))
+    mean = df.select("*", F.round((F.rank().over(w.orderBy("score")) + (F.count(F.lit(1)).over(
+        Window.partitionBy("g", "score")) - 1) / 2.0) / F.count(F.lit(1)).over(w), 12).alias("r"))
+    for n in (None, 50):
+        got = rank_normalize(df, ["g"], rows_per_bucket=n).select(
+            *df.columns, F.round("rank_score", 12).alias("r"))
+        assert want.exceptAll(got).count() == 0 and got.count() == 6000
+        got = rank_average(df, ["g"], rows_per_bucket=n).select(
+            *df.columns, F.round("rank_avg", 12).alias("r"))
+        assert mean.where("score IS NOT NULL").exceptAll(got).count() == 0
+
+
+def test_no_range_of_a_tied_score_holds_a_fifth_of_its_rows(spark):
+    """The rows of one score went into one task when their average rank was joined to them."""
+    df = spark.range(20_000).select(F.lit("g").alias("g"), F.col("id").alias("customer_id"),
+                                    F.when(F.col("id") % 10 == 0, F.col("id") / 1e5).otherwise(
+                                        0.5).alias("score"))
+    ranges = RK._Ranges(df, ["g"], "score", "customer_id", F.xxhash64("customer_id").bitwiseAND(
+        F.lit((1 << 32) - 1)), 500)
+    most = ranges.rows.groupBy("_k").count().agg(F.max("count")).first()[0]
+    assert most < 3_600
+
+
+def test_shared_scores_are_ranked_as_the_long_table(spark, ctx):
+    from stackrank.sources import predictions as P
+    key = ["split", "source", "target", "customer_id", "score"]
+    named = P.named_cells(P.score_cells(ctx.scores)).select(*key)
+    long = ctx.preds.select(*key)
+    assert named.exceptAll(long).count() == 0 and long.exceptAll(named).count() == 0
+
+
+def test_routed_sums_are_plain_aggregates(spark):
+    """Lists of terms are gathered by object aggregates, which sort all predictions."""
+    preds = spark.createDataFrame(
+        [("oof", "t", c, f"s{i}", None if (c, i) == (2, 1) else 0.1 * (c + i))
+         for c in (1, 2) for i in range(3)] + [("oof", "t", 1, "s2", 0.7)],
+        "split string, target string, customer_id long, source string, score double")
+    weights = spark.createDataFrame([("t", f"s{i}", 3 - i, w) for i, w in enumerate((.2, .3, .5))],
+                                    "target string, source string, rank int, weight double")
+    got = R.apply_weights(preds, weights)
+    assert "Object" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {r.customer_id: r.score for r in got.collect()} == {
+        1: pytest.approx(.5 * (.3 + .7) + .3 * .2 + .2 * .1), 2: pytest.approx(.5 * .4 + .2 * .2)}
+
+
+def test_sources_are_written_without_a_sort(spark, tmp_path):
+    from stackrank.sources import predictions as P
+    df = spark.createDataFrame([(f"s{i % 3}", i) for i in range(300)], "source string, v long"
+                               ).coalesce(1)
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    with P.open_writers(spark, 3):
+        assert int(spark.conf.get(name)) >= 3
+        df.write.partitionBy("source").parquet(str(tmp_path / "x"))
+    assert spark.conf.get(name) == before
+    back = spark.read.parquet(str(tmp_path / "x")).select("source", "v")
+    assert df.exceptAll(back).count() == 0 and back.count() == 300
