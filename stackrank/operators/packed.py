@@ -174,44 +174,56 @@ def packed_auc(rows: DataFrame, linear: Linear, targets, rows_per_bucket: int,
                     blob = pack(v[m], None if weight is None else weight[m])
                     if blob:
                         found.setdefault((trial, t, fold, j, k), [b"", b"", b""])[c] = blob
-            out, size = [], 0
-            for key, blobs in found.items():
-                out.append((*key, *blobs))
-                size += sum(map(len, blobs))
-                if size >= BATCH_BYTES:
-                    yield _batch(out)
-                    out, size = [], 0
-            if out:
-                yield _batch(out)
+            yield from key_batches(KEYS, found)
+
+    counts = range_aucs(rows.select(*cols).mapInArrow(packs, PACKS), KEYS, unpack)
+    names = F.array(*[F.lit(t) for t in targets])
+    return counts.select("trial", names[F.col("target_no")].alias("target"), "fold", "pos", "auc")
 
+
+def range_aucs(packs: DataFrame, keys, unpack) -> DataFrame:
+    """(keys without the last, n_pos, n_neg, auc) of packed scores (keys, CLASSES); the last key
+    numbers the ranges of the score upwards."""
     def count(key, table):
         p, n, u = (merged([unpack(b) for b in table.column(c).to_pylist()]) for c in CLASSES)
         # a row without a label counts as a negative beside labelled rows of its score only
         beside = np.isin(u[0], p[0]) | np.isin(u[0], n[0])
         n = merged([n, (u[0][beside], u[1][beside])])
-        return pa.table({**{k: pa.array([v.as_py()], pa.int32()) for k, v in zip(KEYS, key)},
+        return pa.table({**{k: pa.array([v.as_py()], pa.int32()) for k, v in zip(keys, key)},
                          "n_pos": pa.array([int(p[1].sum())], pa.int64()),
                          "n_neg": pa.array([int(n[1].sum())], pa.int64()),
                          "twice": pa.array([twice_pairs(p, n)], pa.int64())})
 
-    counts = rows.select(*cols).mapInArrow(packs, PACKS).groupBy(*KEYS).applyInArrow(
-        count, ", ".join(f"{k} int" for k in KEYS) + ", n_pos long, n_neg long, twice long")
-    keys = list(KEYS[:-1])
-    w = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = packs.groupBy(*keys).applyInArrow(
+        count, ", ".join(f"{k} int" for k in keys) + ", n_pos long, n_neg long, twice long")
+    *group, last = keys
+    w = Window.partitionBy(*group).orderBy(last).rowsBetween(Window.unboundedPreceding, -1)
     whole = "decimal(20,0)"
     below = F.coalesce(F.sum("n_neg").over(w), F.lit(0)).cast(whole)
     c = counts.withColumn("twice", F.col("twice").cast(whole)
                           + F.col("n_pos").cast("decimal(17,0)") * below * F.lit(2))
-    c = c.groupBy(*keys).agg(F.sum("twice").cast("double").alias("_t"),
-                             F.sum("n_pos").cast("double").alias("_p"),
-                             F.sum("n_neg").cast("double").alias("_n"))
-    names = F.array(*[F.lit(t) for t in targets])
-    return c.select("trial", names[F.col("target_no")].alias("target"), "fold", "pos", F.round(
-        F.try_divide("_t", F.col("_p") * F.col("_n") * 2), AUC_DIGITS).alias("auc"))
+    c = c.groupBy(*group).agg(F.sum("twice").cast("double").alias("_t"),
+                              F.sum("n_pos").alias("n_pos"), F.sum("n_neg").alias("n_neg"))
+    pairs = F.col("n_pos").cast("double") * F.col("n_neg").cast("double") * 2
+    return c.select(*group, "n_pos", "n_neg",
+                    F.round(F.try_divide("_t", pairs), AUC_DIGITS).alias("auc"))
+
+
+def key_batches(keys, found: dict):
+    """Record batches (keys, CLASSES) of a dictionary from keys to the blobs of the classes."""
+    out, size = [], 0
+    for key, blobs in found.items():
+        out.append((*key, *blobs))
+        size += sum(map(len, blobs))
+        if size >= BATCH_BYTES:
+            yield _batch(keys, out)
+            out, size = [], 0
+    if out:
+        yield _batch(keys, out)
 
 
-def _batch(rows):
+def _batch(keys, rows):
     cols = list(zip(*rows))
     return pa.RecordBatch.from_arrays(
-        [pa.array(c, pa.int32()) for c in cols[:len(KEYS)]]
-        + [pa.array(c, pa.binary()) for c in cols[len(KEYS):]], names=[*KEYS, *CLASSES])
+        [pa.array(c, pa.int32()) for c in cols[:len(keys)]]
+        + [pa.array(c, pa.binary()) for c in cols[len(keys):]], names=[*keys, *CLASSES])
