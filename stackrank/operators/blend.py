@@ -5,9 +5,9 @@ One plan scores all targets at once: ``target`` is a grouping key, not a loop.
 1. rank-normalise each (split, target, source) group (skew-safe);
 2. pivot the blend's sources into columns per (target, customer) — a fixed,
    known source list, so a conditional aggregation rather than a dynamic pivot;
-3. cross join with the broadcast grid (its size is fixed by the number of
-   sources and the step, never by the data), blended = sum(w_i * r_i); counts in
-   score bins bound the AUC of every grid point, and most points drop out;
+3. the rows are packed, and tasks blend them for every grid point (the grid's size is
+   fixed by the number of sources and the step, never by the data); counts in score
+   bins bound the AUC of every grid point, and most points drop out;
 4. exact AUC of the points that are left, first-wins argmax on the rounded AUC.
 
 A constant target keeps uniform weights and a null AUC, and its blend is the
@@ -17,11 +17,13 @@ uniform mean of the *raw* scores (as the reference does).
 from __future__ import annotations
 
 import itertools
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stackrank.operators.metrics import AUC_DIGITS, GRID_ROUNDS, exact_auc, grid_contenders
+from stackrank.operators.blends import Blends
+from stackrank.operators.metrics import AUC_DIGITS, GRID_ROUNDS
 from stackrank.operators.rank import rank_normalize
 
 STEP = 0.05
@@ -74,30 +76,23 @@ def blend_search(spark: SparkSession, preds: DataFrame, labels: DataFrame, sourc
                  step: float = STEP, use_rank: bool = True) -> DataFrame:
     """L2 search: (target, grid_id, w_0..w_{n-1}, auc) — the best grid point per target."""
     sources = list(sources)
-    from stackrank.sources.context import cut, stored
     n = len(sources)
     oof = preds.filter((F.col("split") == "oof") & F.col("source").isin(sources))
     if use_rank:
         oof = rank_normalize(oof, ["split", "target", "source"], "score", out="r")
     else:
         oof = oof.withColumn("r", F.col("score"))
-    cols = [F.col(f"r_{i}") for i in range(n)]
     wide = _pivot_sources(oof, sources, "r").join(labels, ["target", "customer_id"])
-    wide = stored(wide)                                 # read by the passes below
-    span = cut(wide.groupBy("target").agg(
-        F.min(F.least(*cols) if n > 1 else cols[0]).alias("_min"),
-        F.max(F.greatest(*cols) if n > 1 else cols[0]).alias("_max")))
     grid = simplex_grid(spark, n, step)
-    score = F.round(_blend_expr(n), SCORE_DIGITS).alias("score")
+    own = [(g["grid_id"], [g[f"w_{i}"] for i in range(n)]) for g in grid.collect()]    # bounded
+    points = {r["target"]: own for r in labels.select("target").distinct().collect()}
+    lost = reduce(lambda a, b: a | b, [F.col(f"r_{i}").isNull() for i in range(n)])
+    rows = Blends(wide, points, [f"r_{i}" for i in range(n)], lost, SCORE_DIGITS)
     # bounds of all points by counts in bins, then the exact AUC of those that can win
-    points = span.select("target").crossJoin(F.broadcast(grid))
     for bins in GRID_ROUNDS:
-        binned = (wide.join(F.broadcast(span), "target").join(F.broadcast(points), "target")
-                  .select("target", "grid_id", "y", score, "_min", "_max"))
-        able = cut(grid_contenders(binned, ["target"], "grid_id", "_min", "_max", bins=bins))
-        points = able.join(F.broadcast(grid), "grid_id")    # at most targets x grid rows
-    blended = wide.join(F.broadcast(points), "target").select("target", "grid_id", "y", score)
-    aucs = exact_auc(blended, ["target", "grid_id"])
+        points = rows.contenders(points, bins, lambda t, i: 0.0)
+    aucs = rows.aucs(points).withColumnRenamed("point", "grid_id") if points else \
+        spark.createDataFrame([], "target string, grid_id int, auc double")
     w = Window.partitionBy("target").orderBy(F.col("auc").desc_nulls_last(), "grid_id")
     best = (aucs.withColumn("_rk", F.row_number().over(w)).filter("_rk = 1")
                 .join(F.broadcast(grid), "grid_id"))
