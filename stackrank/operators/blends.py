@@ -25,6 +25,7 @@ from stackrank.operators.partials import partial_rows, summed
 from stackrank.operators.positions import ROWS_PER_BUCKET, SAMPLE, value_bounds
 
 BLOCK = 32_768                              # rows of a block
+PER_FILE = 16                               # blocks of a file
 CELLS = 4 << 20                             # counts that a task holds at once
 NULL_SCORE = 4                              # flag of a row that has no score
 CODES = (1, 0, 2)                           # labels 1, 0 and null, in the order of CLASSES
@@ -117,7 +118,7 @@ class Blends:
                 if len(ys):
                     yield block(t, ys, np.concatenate([p[1] for p in parts], axis=1))
 
-        self.blocks = stored(rows.mapInArrow(run, BLOCKS))
+        self.blocks = stored(rows.mapInArrow(run, BLOCKS), PER_FILE)
         self.span = self._span()
 
     def _span(self) -> dict:
